@@ -50,7 +50,6 @@ def decode_entities(text: Column | str) -> Column:
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
 
     def decoded(entity: Column) -> Column:
-        body = F.substring(entity, 2, 12)
         digits = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
         hexes = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);$", 1)
         name = F.regexp_extract(entity, r"^&([A-Za-z0-9]+);$", 1)
@@ -58,7 +57,7 @@ def decode_entities(text: Column | str) -> Column:
             F.when(entity == "&amp;", F.lit("&"))
             .when(digits != "", _codepoint_char(digits.cast("bigint")))
             .when(hexes != "", _codepoint_char(F.conv(hexes, 16, 10).cast("bigint")))
-            .otherwise(F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), F.substr(body, F.lit(1)))))
+            .otherwise(F.coalesce(F.try_element_at(names, name), entity))
         )
 
     pieces = F.split(text, _ENTITY, -1)
@@ -118,7 +117,7 @@ def unfence(text: Column | str) -> Column:
     A fence of fewer than three lines holds nothing.
     """
     stripped = strip(text)
-    lines = F.split(stripped, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]", -1)
+    lines = F.split(stripped, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", -1)
     inner = F.when(
         F.size(lines) >= 3, strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n"))
     ).otherwise(F.lit(""))
@@ -165,7 +164,6 @@ def rfc822_utc(text: Column | str) -> Column:
     def part(group: int) -> Column:
         return F.regexp_extract(text, _RFC822, group)
 
-    month_at = F.locate(F.lower(part(2)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) if False else F.expr("0")
     month_at = F.position(F.lower(part(2)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
     month = F.when((month_at > 0) & ((month_at - 1) % 3 == 0), ((month_at + 2) / 3).cast("int"))
     raw_year = part(3).cast("int")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.operators.counters import side_by_side
 from sigmill.operators.dedup import keep_first, not_stored
 from sigmill.schemas import natural_id
 
@@ -24,8 +25,8 @@ def insert_if_absent(
 ) -> tuple[DataFrame, DataFrame]:
     """First wins. Returns ``(rows to append, counts)`` with ``inserted`` and ``skipped``."""
     fresh = not_stored(keep_first(new, keys, order), stored, keys)
-    counts = new.agg(F.count(F.lit(1)).alias("offered")).crossJoin(
-        fresh.agg(F.count(F.lit(1)).alias("inserted"))
+    counts = side_by_side(
+        new.agg(F.count(F.lit(1)).alias("offered")), fresh.agg(F.count(F.lit(1)).alias("inserted"))
     )
     return fresh, counts.select("inserted", (F.col("offered") - F.col("inserted")).alias("skipped"))
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from sigmill.functions import text as tx
 from sigmill.operators import answers as an
 from sigmill.operators import merge
+from sigmill.operators.counters import side_by_side
 from sigmill.operators.leaders import DEFAULT_THRESHOLD, leader_clusters
 from sigmill.plans import reports
 from sigmill.schemas import natural_id
+from sigmill.session import cut
 
 REVALIDATE_DAYS = 7
 DEMAND_THRESHOLD = 100
@@ -88,7 +90,8 @@ def extract(
         .join(completions, "post_id")
         .join(price, "model", "left")
     )
-    judged = an.validate_extract(joined.filter("NOT call_failed"), max_pains=max_pains)
+    # Written down once without the texts: four outputs are read from it.
+    judged = cut(an.validate_extract(joined.filter("NOT call_failed"), max_pains=max_pains).drop("text", "answer"))
     pains = an.accepted_pains(judged, "post_id").select(
         natural_id(F.col("raw_post_id"), F.lit(prompt_version_id), F.col("pos")).alias("id"),
         "raw_post_id", "body", "audience", "quote",
@@ -113,7 +116,7 @@ def extract(
         F.coalesce(F.sum(cost), zero.cast("decimal(28,10)")).alias("cost"),
     )
     failures = joined.agg(F.count(F.lit(1)).alias("processed"), F.count_if("call_failed").alias("llm_errors"))
-    counters = totals.crossJoin(failures).select(  # one row each
+    counters = side_by_side(totals, failures).select(
         "processed", "extracted", "failed", "llm_errors", *an.EXTRACT_COUNTERS,
         an.micro_units(F.col("cost")).alias("cost_micro"), "cost",
     )
@@ -135,7 +138,8 @@ def cluster(
 ) -> Clustered:
     """A full recompute of the partition. Scores of the old partition are dropped with it."""
     kinds = post.select(F.col("id").alias("raw_post_id"), "kind")
-    assigned = leader_clusters(pain, "id", "embedding", order, threshold)
+    # Written down once: assignment, clusters and counters are all read from it.
+    assigned = cut(leader_clusters(pain, "id", "embedding", order, threshold))
     members = assigned.join(pain.select("id", "raw_post_id"), "id").join(kinds, "raw_post_id")
     leader_kind = F.max(F.when(F.col("id") == F.col("cluster_id"), F.col("kind"))).alias("leader_kind")
     mixes = reports.kind_mix(members).drop("demand", "complaint", "discussion")
@@ -234,13 +238,12 @@ def validate(
         F.count("frequency").alias("validated"),
         F.count_if(F.col("frequency").isNull()).alias("api_errors"),
     )
-    counters = (  # one row each
-        judged.agg(F.count(F.lit(1)).alias("clusters"), F.count("reason").alias("rejected"))
-        .crossJoin(totals)
-        .crossJoin(confirmed.agg(F.count(F.lit(1)).alias("demand_confirmed")))
-        .crossJoin(updated.agg(F.count(F.lit(1)).alias("rationale_updated")))
-        .select("clusters", "phrases", "validated", "rejected", "api_errors", "demand_confirmed", "rationale_updated")
-    )
+    counters = side_by_side(
+        judged.agg(F.count(F.lit(1)).alias("clusters"), F.count("reason").alias("rejected")),
+        totals,
+        confirmed.agg(F.count(F.lit(1)).alias("demand_confirmed")),
+        updated.agg(F.count(F.lit(1)).alias("rationale_updated")),
+    ).select("clusters", "phrases", "validated", "rejected", "api_errors", "demand_confirmed", "rationale_updated")
     return Validated(next_checks, noted, counters)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -20,6 +20,15 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound to a variable, so it is evaluated once.
+
+    A column used in many places is copied into each of them when the optimizer moves a filter
+    below the projection that defines it. A bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column | str) -> Column:
     """Trim Unicode white space on both ends (``trim`` only removes spaces)."""
     return F.regexp_replace(_c(text), rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
@@ -106,6 +115,9 @@ def main_text(markup: Column | str) -> Column:
 # --- model answers --------------------------------------------------------------------------
 
 
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
 def is_fenced(text: Column | str) -> Column:
     stripped = strip(text)
     return stripped.startswith("```") & stripped.endswith("```")
@@ -116,12 +128,19 @@ def unfence(text: Column | str) -> Column:
 
     A fence of fewer than three lines holds nothing.
     """
-    stripped = strip(text)
-    lines = F.split(stripped, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", -1)
-    inner = F.when(
-        F.size(lines) >= 3, strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n"))
-    ).otherwise(F.lit(""))
-    return F.when(is_fenced(text), inner).otherwise(stripped)
+
+    def inside(stripped: Column) -> Column:
+        fenced = stripped.startswith("```") & stripped.endswith("```")
+        inner = let(
+            F.split(stripped, _LINE_END, -1),
+            lambda lines: F.when(
+                F.size(lines) >= 3,
+                strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")),
+            ).otherwise(F.lit("")),
+        )
+        return F.when(fenced, inner).otherwise(stripped)
+
+    return let(strip(text), inside)
 
 
 def braces_slice(text: Column | str) -> Column:
@@ -135,12 +154,18 @@ def strict_json(text: Column | str) -> Column:
     The built-in parser stops after the first value and ignores what follows. Parsing the text as
     the first of exactly two array items makes trailing text an error.
     """
-    text = _c(text)
-    guard = F.xxhash64(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), guard.cast("string"), F.lit("]")))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    whole = (F.size(items) == 2) & (F.try_variant_get(F.try_element_at(items, F.lit(2)), "$", "bigint") == guard)
-    return F.when(whole, F.try_element_at(items, F.lit(1)))
+
+    def first_of_two(raw: Column) -> Column:
+        guard = F.xxhash64(raw)
+        wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), guard.cast("string"), F.lit("]")))
+
+        def checked(items: Column) -> Column:
+            last = F.try_variant_get(F.try_element_at(items, F.lit(2)), "$", "bigint")
+            return F.when((F.size(items) == 2) & (last == guard), F.try_element_at(items, F.lit(1)))
+
+        return let(F.try_variant_get(wrapped, "$", "array<variant>"), checked)
+
+    return let(_c(text), first_of_two)
 
 
 # --- dates ----------------------------------------------------------------------------------

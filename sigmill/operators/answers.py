@@ -60,19 +60,16 @@ def validate_extract(
     verdict) and the counters. Entries are judged in order until ``max_pains`` valid ones are in;
     later ones are not counted at all.
     """
-    body = tx.unfence(answer_col)
-    staged = (
-        answers.withColumn("_fenced", tx.is_fenced(answer_col))
-        .withColumn("_body", body)
-        .withColumn("_json", tx.strict_json("_body"))
-        .withColumn(
-            "_json",
-            F.when(F.col("_json").isNull() & F.col("_fenced"), tx.strict_json(tx.braces_slice("_body"))).otherwise(
-                F.col("_json")
-            ),
+
+    def pains_list(body: Column) -> Column:
+        direct = tx.strict_json(body)
+        # Prose inside the fence: fall back to the span between the outer braces.
+        salvaged = F.when(tx.is_fenced(answer_col), tx.strict_json(tx.braces_slice(body)))
+        return tx.let(
+            F.coalesce(direct, salvaged), lambda json: F.when(_is_object(json), _array_field(json, "$.pains"))
         )
-        .withColumn("_pains", F.when(_is_object(F.col("_json")), _array_field(F.col("_json"), "$.pains")))
-    )
+
+    staged = answers.withColumn("_pains", tx.let(tx.unfence(answer_col), pains_list))
 
     def judged(entry: Column, pos: Column) -> Column:
         is_object = _is_object(entry)
@@ -110,24 +107,28 @@ def validate_extract(
         .withColumn("hallucinated", count(lambda e: e["ok"] & ~e["grounded"]))
         .withColumn("schema_invalid", count(lambda e: ~e["ok"]))
         .withColumn("invalid_json", (~F.col("parsed")).cast("bigint"))
-        .withColumn("degraded_parse", (F.col("parsed") & F.col("_fenced")).cast("bigint"))
+        .withColumn("degraded_parse", (F.col("parsed") & tx.is_fenced(answer_col)).cast("bigint"))
         .withColumn("extra_fields", count(lambda e: e["ok"] & e["extra"]))
-        .drop("_fenced", "_body", "_json", "_pains", "_all", "_stop")
+        .drop("_pains", "_all", "_stop")
     )
 
 
+def _exploded(validated: DataFrame, post_id: str, entries: Column) -> DataFrame:
+    # The outer form: a plain explode infers a non-empty filter and judges every answer twice.
+    rows = validated.select(F.col(post_id).alias("raw_post_id"), F.explode_outer(entries).alias("e"))
+    return rows.filter("e.pos IS NOT NULL")
+
+
 def accepted_pains(validated: DataFrame, post_id: str) -> DataFrame:
     """One row per accepted pain: ``raw_post_id, pos, body, audience, quote``."""
     kept = F.filter("entries", lambda e: e["ok"] & e["grounded"])
-    return validated.select(F.col(post_id).alias("raw_post_id"), F.explode(kept).alias("e")).select(
-        "raw_post_id", "e.pos", "e.body", "e.audience", "e.quote"
-    )
+    return _exploded(validated, post_id, kept).select("raw_post_id", "e.pos", "e.body", "e.audience", "e.quote")
 
 
 def rejected_pains(validated: DataFrame, post_id: str) -> DataFrame:
     """One row per rejected entry with its reason."""
     bad = F.filter("entries", lambda e: ~(e["ok"] & e["grounded"]))
-    return validated.select(F.col(post_id).alias("raw_post_id"), F.explode(bad).alias("e")).select(
+    return _exploded(validated, post_id, bad).select(
         "raw_post_id",
         "e.pos",
         F.when(~F.col("e.ok"), F.lit("schema_invalid")).otherwise(F.lit("hallucinated")).alias("reason"),
@@ -148,36 +149,37 @@ def parse_score(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
 
     All or nothing; ``reason`` is the first rule broken. Grounding is checked by ``ground_scores``.
     """
-    json = F.col("_json")
-    kind = _kind(_field(json, "$.score"))
-    number = F.when(
-        (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), _field(json, "$.score", "double")
-    )
-    staged = (
-        answers.withColumn("_json", tx.strict_json(answer_col))
-        .withColumn("score", number)
-        .withColumn("rationale_md", _string_field(json, "$.rationale_md"))
-        .withColumn("_quotes", _array_field(json, "$.quotes"))
-    )
-    rules = {
-        "invalid_json": json.isNotNull(),
-        "not_an_object": _is_object(json),
-        "score_not_a_number": F.col("score").isNotNull(),
-        "score_out_of_range": F.col("score").between(0, 100),
-        "empty_rationale": tx.has_text("rationale_md"),
-        "no_quotes": F.size("_quotes") > 0,
-        "quote_not_a_string": F.forall("_quotes", lambda q: _kind(q) == "STRING"),
-    }
-    staged = staged.withColumn("reason", first_violation(rules))
-    ok = F.col("reason").isNull()
-    return (
-        staged.withColumn(
-            "quotes", F.when(ok, F.transform("_quotes", lambda q: F.try_variant_get(q, "$", "string")))
+
+    def verdict(json: Column) -> Column:
+        kind = _kind(_field(json, "$.score"))
+        number = F.when(
+            (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), _field(json, "$.score", "double")
         )
-        .withColumn("score", F.when(ok, F.col("score")))
-        .withColumn("rationale_md", F.when(ok, F.col("rationale_md")))
-        .drop("_json", "_quotes")
-    )
+        rationale, quotes = _string_field(json, "$.rationale_md"), _array_field(json, "$.quotes")
+        rules = {
+            "invalid_json": json.isNotNull(),
+            "not_an_object": _is_object(json),
+            "score_not_a_number": number.isNotNull(),
+            "score_out_of_range": number.between(0, 100),
+            "empty_rationale": tx.has_text(rationale),
+            "no_quotes": F.size(quotes) > 0,
+            "quote_not_a_string": F.forall(quotes, lambda q: _kind(q) == "STRING"),
+        }
+        return F.struct(
+            first_violation(rules).alias("reason"),
+            number.alias("score"),
+            rationale.alias("rationale_md"),
+            F.transform(quotes, lambda q: F.try_variant_get(q, "$", "string")).alias("quotes"),
+        )
+
+    judged = answers.withColumn("_v", tx.let(tx.strict_json(answer_col), verdict))
+    return _unless_rejected(judged.withColumn("reason", F.col("_v.reason")), "_v", ("score", "rationale_md", "quotes"))
+
+
+def _unless_rejected(judged: DataFrame, verdict: str, names: tuple[str, ...]) -> DataFrame:
+    """The verdict's values as columns, NULL on a rejected answer."""
+    ok = F.col("reason").isNull()
+    return judged.withColumns({n: F.when(ok, F.col(f"{verdict}.{n}")) for n in names}).drop(verdict)
 
 
 def ground_scores(parsed: DataFrame, bodies: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -186,7 +188,8 @@ def ground_scores(parsed: DataFrame, bodies: DataFrame, key: str = "cluster_id")
     ``bodies`` holds ``(key, body)`` and is never gathered per cluster: each body reports which
     quotes it holds, and the hits are deduplicated on the map side before they are counted.
     """
-    wanted = parsed.filter("reason IS NULL").select(key, F.array_distinct("quotes").alias("_quotes"))
+    # A rejected answer has no quotes, so it finds nothing.
+    wanted = parsed.select(key, F.array_distinct("quotes").alias("_quotes"))
     hits = (
         bodies.select(key, "body")
         .join(wanted, key)
@@ -201,9 +204,7 @@ def ground_scores(parsed: DataFrame, bodies: DataFrame, key: str = "cluster_id")
         "reason", F.when(bad, F.lit("quote_not_grounded")).otherwise(F.col("reason"))
     )
     ok = F.col("reason").isNull()
-    for name in ("score", "rationale_md", "quotes"):
-        out = out.withColumn(name, F.when(ok, F.col(name)))
-    return out.drop("_found")
+    return out.withColumns({n: F.when(ok, F.col(n)) for n in ("score", "rationale_md", "quotes")}).drop("_found")
 
 
 def stored_score(score: Column) -> Column:
@@ -216,61 +217,55 @@ def parse_phrases(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
 
     Three to five non-blank strings, counted before dedup, each at most 120 characters.
     """
-    json = F.col("_json")
-    staged = answers.withColumn("_json", tx.strict_json(answer_col)).withColumn(
-        "_raw", F.when(_is_object(json), _array_field(json, "$.phrases"))
-    )
-    is_text = F.forall(
-        "_raw",
-        lambda p: F.coalesce(
-            (_kind(p) == "STRING") & tx.has_text(F.try_variant_get(p, "$", "string")), F.lit(False)
-        ),
-    )
-    staged = staged.withColumn(
-        "_texts", F.transform("_raw", lambda p: tx.strip(F.try_variant_get(p, "$", "string")))
-    )
-    rules = {
-        "invalid_json": json.isNotNull(),
-        "not_an_object": _is_object(json),
-        "no_phrases": F.size("_raw") > 0,
-        "blank_or_not_a_string": is_text,
-        "wrong_count": F.size("_texts").between(MIN_PHRASES, MAX_PHRASES),
-        "too_long": F.forall("_texts", lambda p: F.length(p) <= MAX_PHRASE_CHARS),
-    }
-    staged = staged.withColumn("reason", first_violation(rules))
-    return staged.withColumn(
-        "phrases", F.when(F.col("reason").isNull(), F.array_distinct("_texts"))
-    ).drop("_json", "_raw", "_texts")
+
+    def verdict(json: Column) -> Column:
+        return tx.let(F.when(_is_object(json), _array_field(json, "$.phrases")), lambda raw: judged(json, raw))
+
+    def judged(json: Column, raw: Column) -> Column:
+        texts = F.transform(raw, lambda p: F.when(_kind(p) == "STRING", tx.strip(F.try_variant_get(p, "$", "string"))))
+        rules = {
+            "invalid_json": json.isNotNull(),
+            "not_an_object": _is_object(json),
+            "no_phrases": F.size(raw) > 0,
+            "blank_or_not_a_string": F.forall(texts, lambda p: F.coalesce(p != "", F.lit(False))),
+            "wrong_count": F.size(raw).between(MIN_PHRASES, MAX_PHRASES),
+            "too_long": F.forall(texts, lambda p: F.length(p) <= MAX_PHRASE_CHARS),
+        }
+        return F.struct(first_violation(rules).alias("reason"), F.array_distinct(texts).alias("phrases"))
+
+    out = answers.withColumn("_v", tx.let(tx.strict_json(answer_col), verdict))
+    return _unless_rejected(out.withColumn("reason", F.col("_v.reason")), "_v", ("phrases",))
 
 
 def parse_completion(raw: DataFrame, body_col: str, default_model: Column) -> DataFrame:
     """Completion JSON to ``answer, prompt_tokens, completion_tokens, model, call_failed``."""
-    json = F.col("_json")
-    # A non-string model name is shown as its JSON text.
-    model = F.coalesce(
-        _string_field(json, "$.model"), F.to_json(_field(json, "$.model")), default_model
-    )
+
+    def read(json: Column) -> Column:
+        found = _is_object(json)
+        content = F.coalesce(_string_field(json, "$.choices[0].message.content"), F.lit(""))
+        # A non-string model name is shown as its JSON text.
+        model = F.coalesce(_string_field(json, "$.model"), F.to_json(_field(json, "$.model")))
+        zero = F.lit(0).cast("bigint")
+        return F.struct(
+            (~found).alias("call_failed"),
+            F.when(found, content).alias("answer"),
+            F.coalesce(_int_field(json, "$.usage.prompt_tokens"), zero).alias("prompt_tokens"),
+            F.coalesce(_int_field(json, "$.usage.completion_tokens"), zero).alias("completion_tokens"),
+            model.alias("model"),
+        )
+
+    parts = ("call_failed", "answer", "prompt_tokens", "completion_tokens")
     return (
-        raw.withColumn("_json", tx.strict_json(body_col))
-        .withColumn("call_failed", ~_is_object(json))
-        .withColumn("answer", F.when(_is_object(json), F.coalesce(
-            _string_field(json, "$.choices[0].message.content"), F.lit(""))))
-        .withColumn("prompt_tokens", F.coalesce(_int_field(json, "$.usage.prompt_tokens"), F.lit(0)))
-        .withColumn("completion_tokens", F.coalesce(_int_field(json, "$.usage.completion_tokens"), F.lit(0)))
-        .withColumn("model", model)
-        .drop("_json")
+        raw.withColumn("_v", tx.let(tx.strict_json(body_col), read))
+        .withColumns({n: F.col(f"_v.{n}") for n in parts} | {"model": F.coalesce(F.col("_v.model"), default_model)})
+        .drop("_v")
     )
 
 
 def parse_frequency(raw: DataFrame, body_col: str) -> DataFrame:
     """Frequency report JSON to ``frequency``; NULL when there is no usable total."""
-    json = F.col("_json")
-    total = _int_field(json, "$.results[0].total")
-    return (
-        raw.withColumn("_json", tx.strict_json(body_col))
-        .withColumn("frequency", F.when(total >= 0, total))
-        .drop("_json")
-    )
+    total = tx.let(tx.strict_json(body_col), lambda json: _int_field(json, "$.results[0].total"))
+    return raw.withColumn("frequency", tx.let(total, lambda n: F.when(n >= 0, n)))
 
 
 def token_cost(prompt_tokens: Column, completion_tokens: Column, price_per_mtok: Column) -> Column:

@@ -179,7 +179,8 @@ def score(todo: DataFrame, answers: DataFrame, bodies: DataFrame, now: Column) -
     cluster stays unscored.
     """
     wanted = answers.join(todo.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
-    judged = an.ground_scores(an.parse_score(wanted), bodies)
+    # Written down once: scores, rejects and counters are all read from it.
+    judged = cut(an.ground_scores(an.parse_score(wanted), bodies))
     kept = judged.filter("reason IS NULL")
     scores = kept.select(
         natural_id(F.col("cluster_id")).alias("id"),
@@ -220,7 +221,7 @@ def validate(
     and leaves no check. Returns the next state of the checks and of the annotated scores.
     """
     wanted = answers.join(stale.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
-    judged = an.parse_phrases(wanted)
+    judged = cut(an.parse_phrases(wanted).drop("answer"))
     phrases = judged.filter("reason IS NULL").select("cluster_id", F.explode("phrases").alias("phrase"))
     looked_up = phrases.join(frequencies.select("phrase", "frequency"), "phrase", "left")
     new_checks = looked_up.filter("frequency IS NOT NULL").select(

@@ -81,10 +81,13 @@ def decode_entities(text: Column | str) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-@F.pandas_udf("string")
-def decode_entities_html5(text: pd.Series) -> pd.Series:
-    """The full HTML 5 entity table, for corpora that use more than the HTML 4 names."""
-    return text.map(html.unescape, na_action="ignore")
+def decode_entities_html5(text: Column | str) -> Column:
+    """The full HTML 5 entity table, for corpora that use more than the HTML 4 names (Arrow batches)."""
+
+    def unescape(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(unescape, "string")(_c(text))
 
 
 def _without_blocks(markup: Column) -> Column:

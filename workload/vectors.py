@@ -129,7 +129,22 @@ def vector_text(t: Tables) -> DataFrame:
     return back.select("vec_id", F.size("copy").cast("bigint").alias("dim"), close.alias("close"))
 
 
-@query("encode_documents")
+_TRIGRAMS = """
+    SELECT doc_id, ((unicode(z[1]) * CAST(1000003 AS HUGEINT) + unicode(z[2])) * 1000003 + unicode(z[3])) % 64 AS bucket
+    FROM (SELECT doc_id, unnest(list_zip(c[:-3], c[2:-2], c[3:])) AS z
+          FROM (SELECT doc_id, string_split('passage: ' || text, '') AS c FROM documents))"""
+
+
+@query(
+    "encode_documents",
+    f"""SELECT doc_id, max(n) FILTER (WHERE bucket = 5) IS NOT NULL AS has_five, count(*) AS filled,
+               round(coalesce(max(n) FILTER (WHERE bucket = 5), 0) / sqrt(sum(n * n)), 4) AS five
+        FROM (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM ({_TRIGRAMS}) GROUP BY ALL) GROUP BY doc_id""",
+)
 def encode_documents(t: Tables) -> DataFrame:
     vectors = encode_texts(t.documents, "doc_id", "text", lambda: trigram_encoder(64))
-    return vectors.select("doc_id", F.round(vx.norm("embedding"), 4).alias("norm"), F.size("embedding").alias("dim"))
+    five = F.get("embedding", F.lit(5)).cast("double")
+    return vectors.select(
+        "doc_id", (five > 0).alias("has_five"),
+        F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("filled"), F.round(five, 4).alias("five"),
+    )

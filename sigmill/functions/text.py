@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import let
+
 SHORT_TEXT_CHARS = 200
 
 # Unicode white space plus the four separator controls.
@@ -20,15 +22,6 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` bound to a variable, so it is evaluated once.
-
-    A column used in many places is copied into each of them when the optimizer moves a filter
-    below the projection that defines it. A bound variable is not.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def strip(text: Column | str) -> Column:
     """Trim Unicode white space on both ends (``trim`` only removes spaces)."""
     return F.regexp_replace(_c(text), rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
@@ -64,6 +57,9 @@ def decode_entities(text: Column | str) -> Column:
         name = F.regexp_extract(entity, r"^&([A-Za-z0-9]+);$", 1)
         return (
             F.when(entity == "&amp;", F.lit("&"))
+            .when(entity == "&quot;", F.lit('"'))
+            .when(entity == "&lt;", F.lit("<"))
+            .when(entity == "&gt;", F.lit(">"))
             .when(digits != "", _codepoint_char(digits.cast("bigint")))
             .when(hexes != "", _codepoint_char(F.conv(hexes, 16, 10).cast("bigint")))
             .otherwise(F.coalesce(F.try_element_at(names, name), entity))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import let
+
 # Tracking parameters dropped by the canonical form (case-sensitive).
 TRACKING_PREFIX = "utm_"
 TRACKING_PARAMS = ("fbclid", "gclid")
@@ -21,7 +23,7 @@ _ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(
 
 def _clean(url: Column) -> Column:
     # Leading control characters and blanks are ignored, as are tabs and line breaks anywhere.
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return F.regexp_replace(url, r"\A[\x00-\x20]+|[\t\r\n]", "")
 
 
 def _decode(part: Column) -> Column:
@@ -40,9 +42,8 @@ def _kept_query(query: Column) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda pair: pair != "")
 
     def parsed(pair: Column) -> Column:
-        cut_at = F.locate("=", pair)
-        name = F.when(cut_at > 0, F.substring_index(pair, "=", 1)).otherwise(pair)
-        value = F.when(cut_at > 0, F.substr(pair, cut_at + 1)).otherwise(F.lit(""))
+        # Cut at the first '='; a name alone has an empty value.
+        name, value = F.substring_index(pair, "=", 1), F.regexp_extract(pair, r"(?s)^[^=]*=(.*)$", 1)
         return F.struct(_decode(name).alias("name"), _decode(value).alias("value"))
 
     kept = F.filter(
@@ -52,37 +53,57 @@ def _kept_query(query: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&")
 
 
+# Separates the parts of a matched URL. A URL with this control character inside is malformed.
+_MARK = "\u0001"
+
+
+def _path(path: Column) -> Column:
+    trimmed = F.regexp_replace(path, r"/+$", "")
+    return F.when(~path.endswith("/") | (F.length(path) <= 1), path).otherwise(
+        F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/"))
+    )
+
+
+def _path_and_params(scheme: Column, path: Column) -> Column:
+    """Path without trailing slashes; parameters of its last segment are kept apart and put back."""
+
+    def split_off(p: Column) -> Column:
+        params = F.regexp_extract(p, r";([^/]*)$", 1)
+        bare = _path(F.regexp_replace(p, r";[^/]*$", ""))
+        # Parameters without a path still need the separating slash.
+        return F.when(params == "", bare).otherwise(
+            F.concat(F.coalesce(F.nullif(bare, F.lit("")), F.lit("/")), F.lit(";"), params)
+        )
+
+    has_params = scheme.isin(*SCHEMES_WITH_PARAMS) & path.rlike(r";[^/]*$")
+    return F.when(F.contains(path, F.lit(";")) & has_params, split_off(path)).otherwise(_path(path))
+
+
 def canonical_url(url: Column | str) -> Column:
     """Canonical form used as the dedup key; NULL for a relative, blank or malformed URL.
 
     Lower-case scheme and authority; tracking parameters dropped and the others re-encoded; no
     trailing slashes except on the root path; path parameters and fragment kept.
     """
-    cleaned = _clean(F.col(url) if isinstance(url, str) else url)
-    scheme = F.lower(F.regexp_extract(cleaned, _ABSOLUTE, 1))
-    authority = F.lower(F.regexp_extract(cleaned, _ABSOLUTE, 2))
-    full_path = F.regexp_extract(cleaned, _ABSOLUTE, 3)
-    query = _kept_query(F.regexp_extract(cleaned, _ABSOLUTE, 4))
-    fragment = F.regexp_extract(cleaned, _ABSOLUTE, 5)
-
-    has_params = scheme.isin(*SCHEMES_WITH_PARAMS) & full_path.rlike(r";[^/]*$")
-    path = F.when(has_params, F.regexp_replace(full_path, r";[^/]*$", "")).otherwise(full_path)
-    params = F.when(has_params, F.regexp_extract(full_path, r";([^/]*)$", 1)).otherwise(F.lit(""))
-    trimmed = F.regexp_replace(path, r"/+$", "")
-    path = F.when(F.length(path) <= 1, path).when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    # Path parameters without a path still need the separating slash.
-    path = F.when((path == "") & (params != ""), F.lit("/")).otherwise(path)
 
     def optional(mark: str, part: Column) -> Column:
         return F.when(part != "", F.concat(F.lit(mark), part)).otherwise(F.lit(""))
 
-    return F.when(
-        scheme != "",
-        F.concat(
-            scheme, F.lit("://"), authority, path,
-            optional(";", params), optional("?", query), optional("#", fragment),
-        ),
-    )
+    def rebuilt(part: Column) -> Column:
+        scheme, authority, path, query, fragment = (F.get(part, F.lit(i)) for i in range(5))
+        kept = F.when(query == "", F.lit("")).otherwise(let(_kept_query(query), lambda q: optional("?", q)))
+        return F.when(
+            F.size(part) == 5,
+            F.concat(
+                F.lower(scheme), F.lit("://"), F.lower(authority),
+                let(path, lambda p: _path_and_params(F.lower(scheme), p)), kept, optional("#", fragment),
+            ),
+        )
+
+    cleaned = _clean(F.col(url) if isinstance(url, str) else url)
+    # One match per URL; a URL that does not match stays in one piece.
+    parts = F.split(F.regexp_replace(cleaned, _ABSOLUTE, _MARK.join(f"${i}" for i in range(1, 6))), _MARK, -1)
+    return let(parts, rebuilt)
 
 
 def url_host(url: Column | str) -> Column:

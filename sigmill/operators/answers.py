@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
+from sigmill.functions.expr import let
 from sigmill.schemas import first_violation
 
 # Fixed values.
@@ -65,11 +66,11 @@ def validate_extract(
         direct = tx.strict_json(body)
         # Prose inside the fence: fall back to the span between the outer braces.
         salvaged = F.when(tx.is_fenced(answer_col), tx.strict_json(tx.braces_slice(body)))
-        return tx.let(
+        return let(
             F.coalesce(direct, salvaged), lambda json: F.when(_is_object(json), _array_field(json, "$.pains"))
         )
 
-    staged = answers.withColumn("_pains", tx.let(tx.unfence(answer_col), pains_list))
+    staged = answers.withColumn("_pains", let(tx.unfence(answer_col), pains_list))
 
     def judged(entry: Column, pos: Column) -> Column:
         is_object = _is_object(entry)
@@ -172,7 +173,7 @@ def parse_score(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
             F.transform(quotes, lambda q: F.try_variant_get(q, "$", "string")).alias("quotes"),
         )
 
-    judged = answers.withColumn("_v", tx.let(tx.strict_json(answer_col), verdict))
+    judged = answers.withColumn("_v", let(tx.strict_json(answer_col), verdict))
     return _unless_rejected(judged.withColumn("reason", F.col("_v.reason")), "_v", ("score", "rationale_md", "quotes"))
 
 
@@ -219,7 +220,7 @@ def parse_phrases(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """
 
     def verdict(json: Column) -> Column:
-        return tx.let(F.when(_is_object(json), _array_field(json, "$.phrases")), lambda raw: judged(json, raw))
+        return let(F.when(_is_object(json), _array_field(json, "$.phrases")), lambda raw: judged(json, raw))
 
     def judged(json: Column, raw: Column) -> Column:
         texts = F.transform(raw, lambda p: F.when(_kind(p) == "STRING", tx.strip(F.try_variant_get(p, "$", "string"))))
@@ -233,7 +234,7 @@ def parse_phrases(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
         }
         return F.struct(first_violation(rules).alias("reason"), F.array_distinct(texts).alias("phrases"))
 
-    out = answers.withColumn("_v", tx.let(tx.strict_json(answer_col), verdict))
+    out = answers.withColumn("_v", let(tx.strict_json(answer_col), verdict))
     return _unless_rejected(out.withColumn("reason", F.col("_v.reason")), "_v", ("phrases",))
 
 
@@ -256,7 +257,7 @@ def parse_completion(raw: DataFrame, body_col: str, default_model: Column) -> Da
 
     parts = ("call_failed", "answer", "prompt_tokens", "completion_tokens")
     return (
-        raw.withColumn("_v", tx.let(tx.strict_json(body_col), read))
+        raw.withColumn("_v", let(tx.strict_json(body_col), read))
         .withColumns({n: F.col(f"_v.{n}") for n in parts} | {"model": F.coalesce(F.col("_v.model"), default_model)})
         .drop("_v")
     )
@@ -264,8 +265,8 @@ def parse_completion(raw: DataFrame, body_col: str, default_model: Column) -> Da
 
 def parse_frequency(raw: DataFrame, body_col: str) -> DataFrame:
     """Frequency report JSON to ``frequency``; NULL when there is no usable total."""
-    total = tx.let(tx.strict_json(body_col), lambda json: _int_field(json, "$.results[0].total"))
-    return raw.withColumn("frequency", tx.let(total, lambda n: F.when(n >= 0, n)))
+    total = let(tx.strict_json(body_col), lambda json: _int_field(json, "$.results[0].total"))
+    return raw.withColumn("frequency", let(total, lambda n: F.when(n >= 0, n)))
 
 
 def token_cost(prompt_tokens: Column, completion_tokens: Column, price_per_mtok: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from importlib.util import find_spec
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest dictionary, in characters, that is sent to every task.
@@ -41,6 +41,12 @@ def _scan(texts: DataFrame, rows: list) -> DataFrame:
     return texts.filter("text IS NOT NULL").mapInPandas(run, f"id {id_type}, pos bigint")
 
 
+def _gram_hashes(n: int) -> Column:
+    starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.substr("text", i, F.lit(n))))
+    return F.coalesce(hashes, F.array().cast("array<bigint>"))
+
+
 def _anchored(texts: DataFrame, phrases: DataFrame, salts: int) -> DataFrame:
     """Equi-join on a hashed anchor, then verify; exact for a dictionary of any size.
 
@@ -59,16 +65,7 @@ def _anchored(texts: DataFrame, phrases: DataFrame, salts: int) -> DataFrame:
     used = [r["n"] for r in dictionary.select("n").distinct().collect()]  # at most five numbers
     grams = None
     for n in used:
-        starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        part = texts.select(
-            "id",
-            F.lit(n).alias("n"),
-            F.explode(
-                F.array_distinct(F.transform(starts, lambda i, n=n: F.xxhash64(F.substr("text", i, F.lit(n)))))
-            ).alias("anchor"),
-        )
+        part = texts.select("id", F.lit(n).alias("n"), F.explode(F.array_distinct(_gram_hashes(n))).alias("anchor"))
         grams = part if grams is None else grams.unionByName(part)
     if grams is None:
         return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
 from sigmill.plans.reports import kind_mix
-from sigmill.session import configure
+from sigmill.session import configure, spread
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A table for heavy row work, spread over the cores when it is one small file."""
+        return spread(getattr(self, name))
+
     def minutes_after_start(self, col: str):
         return F.timestamp_seconds(F.unix_seconds(F.lit(START).cast("timestamp")) + F.col(col) * 60)
 

@@ -93,7 +93,7 @@ def url_hosts(t: Tables) -> DataFrame:
     f"SELECT page_id, md5(body) AS body_md5, length(body) AS n_chars, length(body) < 200 AS suspect_short FROM ({_PAGE_TEXT})",
 )
 def page_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", tx.main_text("html").alias("body")).select(
+    return t.wide("pages").select("page_id", tx.main_text("html").alias("body")).select(
         "page_id", F.md5("body").alias("body_md5"), F.length("body").cast("bigint").alias("n_chars"),
         tx.is_short("body").alias("suspect_short"),
     )
@@ -110,7 +110,7 @@ def page_text(t: Tables) -> DataFrame:
 def page_text_health(t: Tables) -> DataFrame:
     from sigmill.plans.reports import share
 
-    rows = t.pages.select(urls.url_host("url").alias("host"), F.length(tx.main_text("html")).alias("n"))
+    rows = t.wide("pages").select(urls.url_host("url").alias("host"), F.length(tx.main_text("html")).alias("n"))
     counted = rows.groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.col("n") < tx.SHORT_TEXT_CHARS).alias("short_pages"),
@@ -303,7 +303,7 @@ def quote_match(t: Tables) -> DataFrame:
 
 
 def _texts(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+    return t.wide("documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def _phrases(t: Tables) -> DataFrame:

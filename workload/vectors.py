@@ -142,7 +142,7 @@ _TRIGRAMS = """
         FROM (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM ({_TRIGRAMS}) GROUP BY ALL) GROUP BY doc_id""",
 )
 def encode_documents(t: Tables) -> DataFrame:
-    vectors = encode_texts(t.documents, "doc_id", "text", lambda: trigram_encoder(64))
+    vectors = encode_texts(t.wide("documents"), "doc_id", "text", lambda: trigram_encoder(64))
     five = F.get("embedding", F.lit(5)).cast("double")
     return vectors.select(
         "doc_id", (five > 0).alias("has_five"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +15,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     below the projection that defines it. A bound variable is not.
     """
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def lookup(table: Mapping[str, object]) -> Column:
+    """A constant map from strings to strings, as one expression rather than two per entry."""
+    text = "\u0001".join(f"{key}\u0002{value}" for key, value in table.items())
+    return F.str_to_map(F.lit(text), F.lit("\u0001"), F.lit("\u0002"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sigmill.functions.expr import let
+from sigmill.functions.expr import let, lookup
 
 SHORT_TEXT_CHARS = 200
 
@@ -49,7 +49,7 @@ def _codepoint_char(code: Column) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Decode numeric and HTML 4 named entities in one pass; unknown names stay as text."""
     text = _c(text)
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    names = lookup({name: chr(code) for name, code in name2codepoint.items()})
 
     def decoded(entity: Column) -> Column:
         digits = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
@@ -198,11 +198,10 @@ def rfc822_utc(text: Column | str) -> Column:
     signed = F.regexp_extract(zone, r"^([+-])(\d{2})(\d{2})$", 2).cast("int") * 60 + F.regexp_extract(
         zone, r"^([+-])(\d{2})(\d{2})$", 3
     ).cast("int")
-    names = F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
     offset = (
         F.when(zone.startswith("+"), signed)
         .when(zone.startswith("-"), -signed)
-        .otherwise(F.coalesce(F.try_element_at(names, zone), F.lit(0)))
+        .otherwise(F.coalesce(F.try_element_at(lookup(ZONE_MINUTES), zone).cast("int"), F.lit(0)))
     )
     local = F.try_make_timestamp(
         year, month, part(1).cast("int"), part(4).cast("int"), part(5).cast("int"),
@@ -243,7 +242,7 @@ KIND_LABELS = {"demand": "заказ", "complaint": "жалоба", "discussion"
 
 def kinds_label(kind_mix: Column | str, labels: Mapping[str, str] = KIND_LABELS) -> Column:
     """``"label count, ..."`` over the non-zero counters, a dash when there are none."""
-    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    names = lookup(labels)
     shown = F.filter(F.map_entries(_c(kind_mix)), lambda e: e["value"] != 0)
     text = F.array_join(
         F.transform(

@@ -19,7 +19,7 @@ range partitioning that establishes the order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.operators.ordering import order_ids
-from sigmill.session import cut, scratch_dir
+from sigmill.session import cut, discard, scratch_dir
 
 DEFAULT_THRESHOLD = 0.88
 
 # Size bounds of what leaves the executors: one block of points, one group of leaders.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 GROUP_BYTES = 128 << 20
-MAX_BLOCK_ROWS = 8192
+MAX_BLOCK_ROWS = 16384
 # Leader groups scanned in one job before the running best is written down.
 GROUPS_PER_JOB = 4
 
@@ -102,29 +102,34 @@ def block_rows(dim: int) -> int:
     return max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * max(dim, 1))))
 
 
+def _bounded_rows(vectors: DataFrame, bound: Callable[[int], int]) -> int:
+    first = vectors.select(F.size("vector").alias("dim")).take(1)
+    return bound(first[0]["dim"]) if first else 1
+
+
 def find_leaders(points: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
     """Leaders among ``(seq, id, vector)`` points, as a written table of the same columns."""
     spark = points.sparkSession
     out = scratch_dir(spark, "leaders")
     undecided, round_no = points, 0
-    rows = block
+    rows = block or _bounded_rows(points, block_rows)
     while True:
-        if rows is None:
-            first = undecided.select(F.size("vector").alias("dim")).take(1)
-            rows = block_rows(first[0]["dim"] if first else 1)
-        # Bounded by `rows`: the only point data that ever reaches the driver.
-        head = undecided.orderBy("seq").limit(rows).toArrow()
-        if head.num_rows == 0 and round_no:
-            break
+        # The block's end is found from the order column alone; its vectors are then read through
+        # a range filter that skips every later row group. Bounded by `rows`, this is the only
+        # point data that ever reaches the driver.
+        ends = undecided.select("seq").orderBy("seq").limit(rows).agg(F.max("seq").alias("last"), F.count("seq").alias("n"))
+        last, n = ends.first()
+        head = undecided.filter(F.col("seq") <= F.lit(last)).orderBy("seq").toArrow()
         vectors = _unit_rows(head.column("vector"))
         picks = _block_leaders(vectors, threshold)
-        leaders = head.take(pa.array(picks))
-        spark.createDataFrame(leaders).write.mode("overwrite").parquet(f"{out}/round={round_no:06d}")
+        spark.createDataFrame(head.take(pa.array(picks))).write.parquet(f"{out}/round={round_no:06d}")
         round_no += 1
-        if head.num_rows < rows:
+        if n < rows:
             break
-        last = head.column("seq")[-1].as_py()
-        undecided = cut(_drop_covered(undecided.filter(F.col("seq") > last), vectors[picks], threshold))
+        rest = cut(_drop_covered(undecided.filter(F.col("seq") > last), vectors[picks], threshold), "undecided")
+        if undecided is not points:
+            discard(undecided)
+        undecided = rest
     return spark.read.schema(points.schema).parquet(out).select(*points.columns)
 
 
@@ -172,17 +177,16 @@ def _best_in_group(
 def nearest_leaders(
     points: DataFrame, leaders: DataFrame, threshold: float, group_rows: int | None = None
 ) -> DataFrame:
-    """Most similar leader before each point, if it reaches the threshold: ``id, leader_id, similarity``.
+    """Most similar leader before each point, if it reaches the threshold: adds ``leader_id, similarity``.
 
-    Both sides hold ``(seq, id, vector)``. Among equally similar leaders the latest wins.
+    Both sides hold ``(seq, id, vector)``; other columns of the points stay. Among equally
+    similar leaders the latest wins.
     """
     id_type = points.schema["id"].dataType.simpleString()
     state = points.withColumn("leader_id", F.lit(None).cast(id_type)).withColumn(
         "similarity", F.lit(None).cast("double")
     )
-    if group_rows is None:
-        first = leaders.select(F.size("vector").alias("dim")).take(1)
-        group_rows = max(1, GROUP_BYTES // (8 * max(first[0]["dim"], 1))) if first else 1
+    group_rows = group_rows or _bounded_rows(leaders, lambda dim: max(1, GROUP_BYTES // (8 * max(dim, 1))))
     after, done = -1, 0
     while True:
         group = leaders.filter(F.col("seq") > after).orderBy("seq").limit(group_rows).toArrow()
@@ -195,8 +199,8 @@ def nearest_leaders(
         if group.num_rows < group_rows:
             break
         if done % GROUPS_PER_JOB == 0:
-            state = cut(state)
-    return state.select("id", "seq", "leader_id", "similarity")
+            state = cut(state, "nearest")
+    return state.drop("vector")
 
 
 def leader_clusters(
@@ -207,11 +211,12 @@ def leader_clusters(
     threshold: float = DEFAULT_THRESHOLD,
     block: int | None = None,
     group_rows: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Cluster assignment of every point that has a vector: ``id, seq, cluster_id, similarity``.
 
     ``cluster_id`` is the id of the cluster's leader; a leader has no similarity. ``order`` must
-    end in a unique column.
+    end in a unique column. ``keep`` columns travel along, which saves a join afterwards.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be in (0, 1]")
@@ -220,10 +225,11 @@ def leader_clusters(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)],
         F.col(id_col).alias("id"),
         F.col(vector_col).cast("array<float>").alias("vector"),
+        *keep,
     )
-    ordered = order_ids(base, [f"_o{i}" for i in range(len(keys))]).select("seq", "id", "vector")
-    leaders = find_leaders(ordered, threshold, block)
+    ordered = order_ids(base, [f"_o{i}" for i in range(len(keys))]).select("seq", "id", "vector", *keep)
+    leaders = find_leaders(ordered.select("seq", "id", "vector"), threshold, block)
     nearest = nearest_leaders(ordered, leaders, threshold, group_rows)
     return nearest.select(
-        "id", "seq", F.coalesce("leader_id", "id").alias("cluster_id"), "similarity"
+        "id", "seq", F.coalesce("leader_id", "id").alias("cluster_id"), "similarity", *keep
     )

@@ -14,11 +14,11 @@ def order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -
     """Adds a bigint that increases with ``order`` (unique, with gaps between partitions).
 
     Range partitioning spreads the rows evenly whatever the values, provided ``order`` ends in a
-    unique column. The result is checkpointed: range bounds are sampled, so a recomputed
+    unique column. The result is written down: range bounds are sampled, so a recomputed
     partition could otherwise number its rows differently.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
+    return cut(ordered.withColumn(name, F.monotonically_increasing_id()), "ordered")
 
 
 def dense_order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -> DataFrame:

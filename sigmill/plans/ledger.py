@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import lookup
 from sigmill.schemas import STAGES
 
 # Counters shown per stage, in display order.
@@ -116,8 +117,8 @@ def stage_progress(runs: DataFrame) -> DataFrame:
 
     The four stages are a constant array exploded per run.
     """
-    labels = F.create_map(*[F.lit(x) for pair in COUNTER_LABELS.items() for x in pair])
-    statuses = F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair])
+    labels = lookup(COUNTER_LABELS)
+    statuses = lookup(STATUS_LABELS)
     plan = F.array(
         *[
             F.struct(F.lit(stage).alias("stage"), F.array(*[F.lit(k) for k in keys]).alias("keys"))

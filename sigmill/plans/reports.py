@@ -215,10 +215,10 @@ def cluster_facts(members: DataFrame, post: DataFrame) -> DataFrame:
     )
 
 
-def kind_mix(members_with_kind: DataFrame, key: str = "cluster_id") -> DataFrame:
+def kind_mix(members_with_kind: DataFrame, key: str = "cluster_id", extra: Sequence[Column] = ()) -> DataFrame:
     """Size and kind histogram per cluster, in one aggregate over the closed set of kinds."""
     counted = members_with_kind.groupBy(key).agg(
-        F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("kind") == k).alias(k) for k in POST_KINDS]
+        F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("kind") == k).alias(k) for k in POST_KINDS], *extra
     )
     pairs = F.create_map(*[x for k in POST_KINDS for x in (F.lit(k), F.col(k))])
     return counted.withColumn("kind_mix", F.map_filter(pairs, lambda k, v: v > 0))

@@ -139,12 +139,12 @@ def cluster(
     """A full recompute of the partition. Scores of the old partition are dropped with it."""
     kinds = post.select(F.col("id").alias("raw_post_id"), "kind")
     # Written down once: assignment, clusters and counters are all read from it.
-    assigned = cut(leader_clusters(pain, "id", "embedding", order, threshold))
-    members = assigned.join(pain.select("id", "raw_post_id"), "id").join(kinds, "raw_post_id")
+    members = cut(
+        leader_clusters(pain.join(kinds, "raw_post_id"), "id", "embedding", order, threshold, keep=("kind",)), "members"
+    )
     leader_kind = F.max(F.when(F.col("id") == F.col("cluster_id"), F.col("kind"))).alias("leader_kind")
-    mixes = reports.kind_mix(members).drop("demand", "complaint", "discussion")
-    titles = members.filter(F.col("id") == F.col("cluster_id")).groupBy("cluster_id").agg(leader_kind)
-    clusters = mixes.join(titles, "cluster_id").select(
+    mixes = reports.kind_mix(members, extra=[leader_kind]).drop("demand", "complaint", "discussion")
+    clusters = mixes.select(
         F.col("cluster_id").alias("id"),
         F.concat(F.lit("cluster "), F.col("leader_kind")).alias("title"),
         "size",
@@ -159,7 +159,7 @@ def cluster(
         (F.coalesce(F.sum("size"), F.lit(0)) - F.count(F.lit(1))).alias("clusters_merged"),
         F.count_if(F.col("size") == 1).alias("singletons"),
     )
-    return Clustered(assigned.select("id", "cluster_id", "similarity"), clusters, counters)
+    return Clustered(members.select("id", "cluster_id", "similarity"), clusters, counters)
 
 
 def unscored_clusters(cluster: DataFrame, score: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key's join even where the next aggregate then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -40,16 +42,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root or current
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: the result outlives lost executors and has no lineage to replay."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/sigmill-{purpose}-{uuid.uuid4().hex}"
 
 
+
+def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
+    """The frame written down in the shared folder and read back.
+
+    The result outlives lost executors and has no lineage to replay. A columnar table rather than
+    a row checkpoint: later passes read only the columns and row groups they need.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame returned by ``cut`` once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/sigmill-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for heavy row work on an input that arrives in fewer splits than cores.
 

@@ -67,7 +67,7 @@ class Tables:
     @property
     def source(self) -> DataFrame:
         names = self.documents.select(F.col("source").alias("name")).distinct()
-        idle = self.spark.range(1).select(F.lit("idle").alias("name"))
+        idle = self.spark.createDataFrame([("idle",)], "name string")
         return names.unionByName(idle).select(
             F.concat(F.lit("id-"), "name").alias("id"),
             "name",

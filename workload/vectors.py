@@ -36,6 +36,12 @@ _LEADERS = f"""
         GROUP BY p.vec_id)"""
 
 
+# The stage only sees pains whose post exists.
+_LEADERS_OF_POSTS = _LEADERS.replace(
+    f"v FROM ({_UNIT}))", f"v FROM ({_UNIT}) WHERE vec_id IN (SELECT doc_id FROM documents))"
+)
+
+
 def _clusters(t: Tables) -> DataFrame:
     return leader_clusters(t.embeddings, "vec_id", "embedding", ["vec_id"], THRESHOLD)
 
@@ -60,7 +66,7 @@ def leader_cluster_sizes(t: Tables) -> DataFrame:
 
 @query(
     "cluster_stage",
-    _LEADERS
+    _LEADERS_OF_POSTS
     + """ SELECT count(*) AS pains, count(DISTINCT cluster_id) AS clusters_new,
                  count(*) - count(DISTINCT cluster_id) AS clusters_merged,
                  (SELECT count(*) FROM (SELECT cluster_id FROM assigned GROUP BY 1 HAVING count(*) = 1)) AS singletons
@@ -73,7 +79,7 @@ def cluster_stage(t: Tables) -> DataFrame:
 
 @query(
     "cluster_titles",
-    _LEADERS
+    _LEADERS_OF_POSTS
     + """ SELECT a.cluster_id AS id, 'cluster ' || max(CASE WHEN a.vec_id = a.cluster_id THEN k END) AS title, count(*) AS size,
                  concat_ws(', ', 'demand=' || nullif(count(*) FILTER (WHERE k = 'demand'), 0),
                            'complaint=' || nullif(count(*) FILTER (WHERE k = 'complaint'), 0),

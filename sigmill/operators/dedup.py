@@ -30,8 +30,16 @@ def duplicate_report(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def not_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return new.join(stored.select(*keys), list(keys), "left_anti")
+def not_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str], offered: DataFrame | None = None) -> DataFrame:
+    """Rows of ``new`` whose key is not stored.
+
+    The stored keys are first cut down to those on offer. With a small batch that is a broadcast
+    of the batch, so a huge stored table is scanned for its keys but never shuffled. ``offered``
+    may name a cheaper frame with (at least) the same keys.
+    """
+    names = list(keys)
+    seen = stored.select(*names).join((new if offered is None else offered).select(*names), names, "left_semi")
+    return new.join(seen, names, "left_anti")
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ def insert_if_absent(
     stored: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """First wins. Returns ``(rows to append, counts)`` with ``inserted`` and ``skipped``."""
-    fresh = not_stored(keep_first(new, keys, order), stored, keys)
+    fresh = not_stored(keep_first(new, keys, order), stored, keys, offered=new)
     counts = side_by_side(
         new.agg(F.count(F.lit(1)).alias("offered")), fresh.agg(F.count(F.lit(1)).alias("inserted"))
     )
@@ -42,20 +42,29 @@ def get_or_create(stored: DataFrame, names: DataFrame, name_col: str) -> DataFra
 def upsert_last_wins(
     stored: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] = ("id",)
 ) -> DataFrame:
-    """The latest change per key replaces the stored row; ``keep`` columns stay as stored."""
+    """The latest change per key replaces the stored row; ``keep`` columns stay as stored.
+
+    Updates and inserts are two joins rather than one full outer join: with a small batch both
+    broadcast it, and the stored table is not shuffled.
+    """
     rest = [c for c in changes.columns if c not in keys]
     latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_new"))
-    merged = stored.withColumn("_old", F.lit(True)).join(latest, list(keys), "full")
-
-    def value(name: str) -> Column:
-        if name in keys:
-            return F.col(name)
-        old, new = F.col(name), F.col(f"_new.`{name}`") if name in rest else F.lit(None)
-        if name in keep:
-            return F.when(F.col("_old"), old).otherwise(new).alias(name)
-        return F.when(F.col("_new").isNotNull(), new).otherwise(old).alias(name)
-
-    return merged.select(*[value(c) for c in stored.columns])
+    joined = stored.join(latest, list(keys), "left")
+    changed = F.col("_new").isNotNull()
+    updated = joined.select(
+        *[
+            F.when(changed, F.col(f"_new.`{c}`")).otherwise(F.col(c)).alias(c) if c in rest and c not in keep else F.col(c)
+            for c in stored.columns
+        ]
+    )
+    types = {f.name: f.dataType for f in stored.schema.fields}
+    inserted = not_stored(latest, stored, keys, offered=changes).select(
+        *[
+            F.col(c) if c in keys else (F.col(f"_new.`{c}`") if c in rest else F.lit(None)).cast(types[c]).alias(c)
+            for c in stored.columns
+        ]
+    )
+    return updated.unionByName(inserted)
 
 
 def update_keyed(stored: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:

@@ -68,29 +68,38 @@ def fold_stats(events: DataFrame) -> DataFrame:
 def fold_runs(events: DataFrame) -> DataFrame:
     """One row per run: stages and stats as maps, summed cost, first pinned prompt version.
 
-    The maps are gathered after the aggregation, so they are as long as the stage and counter
-    lists, not as the event history.
+    The history is first folded to one row per run and stage, then to one per run: the maps are
+    as long as the stage and counter lists, not as the event history.
     """
     when = F.struct("ts", "event_id")
-    pinned = F.col("prompt_version_id").isNotNull()
-    heads = events.groupBy("run_id").agg(
-        F.min("ts").alias("started_at"),
-        F.max(F.when(F.col("stage").isNull() & (F.col("status") == "finished"), F.col("ts"))).alias("finished_at"),
-        F.coalesce(F.sum("cost_delta"), F.lit(0)).alias("cost"),
-        F.min_by(F.when(pinned, F.col("prompt_version_id")), F.when(pinned, when)).alias("prompt_version_id"),
+    finish = F.col("stage").isNull() & (F.col("status") == "finished")
+    pin = F.when(F.col("prompt_version_id").isNotNull(), F.struct("ts", "event_id", "prompt_version_id"))
+    per_stage = events.groupBy("run_id", "stage").agg(
+        F.max_by("status", F.when(F.col("status").isNotNull(), when)).alias("status"),
+        F.min("ts").alias("lo"),
+        F.max(F.when(finish, F.col("ts"))).alias("end"),
+        F.sum("cost_delta").alias("cost"),
+        F.min(pin).alias("pin"),
     )
-
-    def as_map(folded: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        entries = F.array_sort(F.collect_list(F.struct(key, value)))
-        return folded.groupBy("run_id").agg(F.map_from_entries(entries).alias(name))
-
-    stages = as_map(fold_stages(events), "stage", "status", "stages")
-    stats = as_map(fold_stats(events), "counter", "value", "stats")
-    return (
-        heads.join(stages, "run_id", "left")
-        .join(stats, "run_id", "left")
-        .withColumn("stages", F.coalesce("stages", F.create_map().cast("map<string,string>")))
-        .withColumn("stats", F.coalesce("stats", F.create_map().cast("map<string,bigint>")))
+    known = F.col("stage").isNotNull() & F.col("status").isNotNull()
+    heads = per_stage.groupBy("run_id").agg(
+        F.min("lo").alias("started_at"),
+        F.max("end").alias("finished_at"),
+        F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"),
+        F.min("pin").alias("pin"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("stage", "status")))).alias("stages"),
+    )
+    stats = fold_stats(events).groupBy("run_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", "value")))).alias("stats")
+    )
+    return heads.join(stats, "run_id", "left").select(
+        "run_id",
+        "started_at",
+        "finished_at",
+        "cost",
+        F.col("pin.prompt_version_id").alias("prompt_version_id"),
+        F.map_from_entries("stages").alias("stages"),
+        F.coalesce("stats", F.create_map().cast("map<string,bigint>")).alias("stats"),
     )
 
 

@@ -90,37 +90,35 @@ def extract(
         .join(completions, "post_id")
         .join(price, "model", "left")
     )
-    # Written down once without the texts: four outputs are read from it.
-    judged = cut(an.validate_extract(joined.filter("NOT call_failed"), max_pains=max_pains).drop("text", "answer"))
-    pains = an.accepted_pains(judged, "post_id").select(
+    # Written down once without the texts: every output is read from it.
+    judged = cut(an.validate_extract(joined, max_pains=max_pains).drop("text", "answer"), "judged")
+    answered = judged.filter("NOT call_failed")
+    pains = an.accepted_pains(answered, "post_id").select(
         natural_id(F.col("raw_post_id"), F.lit(prompt_version_id), F.col("pos")).alias("id"),
         "raw_post_id", "body", "audience", "quote",
         F.lit(None).cast("array<float>").alias("embedding"),
         F.lit(prompt_version_id).alias("prompt_version_id"),
         now.alias("created_at"),
     )
-    statuses = judged.select(
+    statuses = answered.select(
         F.col("post_id").alias("id"), an.extract_status(F.col("parsed"), F.lit(False)).alias("fetch_status")
     )
     # An unparseable answer is not billed.
     cost = F.when(
-        F.col("parsed"),
+        F.col("parsed") & ~F.col("call_failed"),
         an.token_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_per_mtok")),
     )
-    zero = F.lit(0)
-    totals = judged.agg(
-        F.count(F.lit(1)).alias("answered"),
-        F.coalesce(F.sum("valid"), zero).alias("extracted"),
-        F.count_if(~F.col("parsed")).alias("failed"),
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in an.EXTRACT_COUNTERS],
-        F.coalesce(F.sum(cost), zero.cast("decimal(28,10)")).alias("cost"),
-    )
-    failures = joined.agg(F.count(F.lit(1)).alias("processed"), F.count_if("call_failed").alias("llm_errors"))
-    counters = side_by_side(totals, failures).select(
-        "processed", "extracted", "failed", "llm_errors", *an.EXTRACT_COUNTERS,
-        an.micro_units(F.col("cost")).alias("cost_micro"), "cost",
-    )
-    return Extracted(pains, an.rejected_pains(judged, "post_id"), statuses, counters)
+    ok = ~F.col("call_failed")
+    total = lambda name: F.coalesce(F.sum(F.when(ok, F.col(name))), F.lit(0)).alias(name)
+    counters = judged.agg(
+        F.count(F.lit(1)).alias("processed"),
+        F.coalesce(F.sum(F.when(ok, F.col("valid"))), F.lit(0)).alias("extracted"),
+        F.count_if(ok & ~F.col("parsed")).alias("failed"),
+        F.count_if("call_failed").alias("llm_errors"),
+        *[total(name) for name in an.EXTRACT_COUNTERS],
+        F.coalesce(F.sum(cost), F.lit(0).cast("decimal(28,10)")).alias("cost"),
+    ).withColumn("cost_micro", an.micro_units(F.col("cost")))
+    return Extracted(pains, an.rejected_pains(answered, "post_id"), statuses, counters)
 
 
 class Clustered(NamedTuple):
@@ -180,7 +178,7 @@ def score(todo: DataFrame, answers: DataFrame, bodies: DataFrame, now: Column) -
     """
     wanted = answers.join(todo.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
     # Written down once: scores, rejects and counters are all read from it.
-    judged = cut(an.ground_scores(an.parse_score(wanted), bodies))
+    judged = cut(an.ground_scores(an.parse_score(wanted), bodies), "scored")
     kept = judged.filter("reason IS NULL")
     scores = kept.select(
         natural_id(F.col("cluster_id")).alias("id"),
@@ -221,9 +219,9 @@ def validate(
     and leaves no check. Returns the next state of the checks and of the annotated scores.
     """
     wanted = answers.join(stale.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
-    judged = cut(an.parse_phrases(wanted).drop("answer"))
+    judged = cut(an.parse_phrases(wanted).drop("answer"), "phrases")
     phrases = judged.filter("reason IS NULL").select("cluster_id", F.explode("phrases").alias("phrase"))
-    looked_up = phrases.join(frequencies.select("phrase", "frequency"), "phrase", "left")
+    looked_up = cut(phrases.join(frequencies.select("phrase", "frequency"), "phrase", "left"), "looked-up")
     new_checks = looked_up.filter("frequency IS NOT NULL").select(
         natural_id(F.col("cluster_id"), F.col("phrase")).alias("id"),
         "cluster_id", "phrase", "frequency", now.alias("checked_at"),

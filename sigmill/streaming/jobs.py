@@ -14,11 +14,15 @@ from sigmill.plans.tables import append_new
 
 
 def canonical_posts(landed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Landed posts with their canonical URL; repeats within the watermark are dropped early."""
+    """Landed posts with their canonical URL; repeats landed within ``delay`` are dropped early.
+
+    The watermark runs on landing time: an old post that lands today is not late.
+    """
     return (
         landed.withColumn("url_canon", urls.canonical_url("url"))
         .filter("url_canon IS NOT NULL")
-        .withWatermark("published_at", delay)
+        .withColumn("landed_at", F.current_timestamp())
+        .withWatermark("landed_at", delay)
         .dropDuplicatesWithinWatermark(["url_canon"])
     )
 

@@ -164,6 +164,14 @@ def unscored_clusters(cluster: DataFrame, score: DataFrame) -> DataFrame:
     return cluster.join(score.select(F.col("cluster_id").alias("id")), "id", "left_anti")
 
 
+def unscored_summary(cluster: DataFrame, score: DataFrame, members: DataFrame, post: DataFrame) -> DataFrame:
+    """Unscored clusters with their facts, oldest first. Only their own members are aggregated."""
+    todo = unscored_clusters(cluster, score)
+    own = members.join(todo.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+    facts = reports.cluster_facts(own, post).withColumnRenamed("cluster_id", "id")
+    return todo.join(facts, "id").orderBy("first_seen", "id")
+
+
 class Scored(NamedTuple):
     scores: DataFrame
     rejects: DataFrame

@@ -52,13 +52,8 @@ def pending_posts_all(t: Tables) -> DataFrame:
     ("cluster_v", "score_v"),
 )
 def unscored_cluster_summary(t: Tables) -> DataFrame:
-    facts = reports.cluster_facts(t.members, t.post).withColumnRenamed("cluster_id", "id")
-    return (
-        stages.unscored_clusters(t.cluster, t.score)
-        .join(facts, "id")
-        .orderBy("first_seen", "id")
-        .select(F.col("id").alias("cluster_id"), "size", "posts", "sources", stamp("first_seen"), stamp("last_seen"))
-    )
+    rows = stages.unscored_summary(t.cluster, t.score, t.members, t.post)
+    return rows.select(F.col("id").alias("cluster_id"), "size", "posts", "sources", stamp("first_seen"), stamp("last_seen"))
 
 
 @query(

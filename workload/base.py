@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
 from sigmill.plans.reports import kind_mix
-from sigmill.session import configure, spread
+from sigmill.session import configure, ship, spread
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = configure(spark)
+        ship(spark, "sigmill", "workload")
         self.dir = sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

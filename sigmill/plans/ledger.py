@@ -108,6 +108,10 @@ def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), "run_id").limit(limit)
 
 
+def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
+    return runs.filter(F.col("run_id") == run_id)
+
+
 def is_running(stages: Column | str) -> Column:
     stages = F.col(stages) if isinstance(stages, str) else stages
     return F.exists(F.map_values(stages), lambda s: s == "running")

@@ -224,6 +224,22 @@ def kind_mix(members_with_kind: DataFrame, key: str = "cluster_id", extra: Seque
     return counted.withColumn("kind_mix", F.map_filter(pairs, lambda k, v: v > 0))
 
 
+def embedding_counts(pain: DataFrame) -> DataFrame:
+    """Rows that have a vector and rows that wait for one."""
+    return pain.agg(
+        F.count("embedding").alias("skipped"), (F.count(F.lit(1)) - F.count("embedding")).alias("pending")
+    )
+
+
+def demand_checks(checks: DataFrame, cluster_id: str) -> DataFrame:
+    """Phrase checks of one cluster, newest first."""
+    return (
+        checks.filter(F.col("cluster_id") == cluster_id)
+        .select("phrase", "frequency", "checked_at")
+        .orderBy(F.desc("checked_at"), "phrase")
+    )
+
+
 def score_band(scores: DataFrame, column: str = "score") -> DataFrame:
     """Sanity flag of a scoring pass: three or more scores within ten points of each other."""
     flag = (F.count(column) >= 3) & (F.max(column) - F.min(column) < 10)

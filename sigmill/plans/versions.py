@@ -27,6 +27,10 @@ def versions_of(versions: DataFrame, name: str) -> DataFrame:
     return versions.filter(F.col("name") == name).orderBy("version")
 
 
+def version(versions: DataFrame, name: str, number: int) -> DataFrame:
+    return versions.filter((F.col("name") == name) & (F.col("version") == number))
+
+
 def next_versions(versions: DataFrame, bodies: DataFrame, order: Sequence[str], now: Column, source: str = "ui") -> DataFrame:
     """Rows to append for new ``(name, body, *order)``: versions continue from the highest stored.
 
@@ -34,22 +38,22 @@ def next_versions(versions: DataFrame, bodies: DataFrame, order: Sequence[str],
     """
     top = versions.groupBy("name").agg(F.max("version").alias("_top"))
     numbered = with_rank_in_group(bodies, "name", order)
-    version = (F.coalesce("_top", F.lit(0)) + F.col("rank")).cast("int")
+    number = (F.coalesce("_top", F.lit(0)) + F.col("rank")).cast("int")
     return numbered.join(top, "name", "left").select(
-        natural_id(F.col("name"), version).alias("id"),
+        natural_id(F.col("name"), number).alias("id"),
         "name",
-        version.alias("version"),
+        number.alias("version"),
         "body",
         F.lit(source).alias("source"),
         now.alias("created_at"),
     )
 
 
-def rollback(versions: DataFrame, name: str, version: int, now: Column) -> DataFrame:
+def rollback(versions: DataFrame, name: str, number: int, now: Column) -> DataFrame:
     """Row to append: the old body under the next version. History is never rewritten."""
-    target = versions.filter((F.col("name") == name) & (F.col("version") == version))
+    target = version(versions, name, number)
     if target.isEmpty():
-        raise UnknownKeyError(f"{name} has no version {version}")
+        raise UnknownKeyError(f"{name} has no version {number}")
     return next_versions(versions, target.select("name", "body"), ["body"], now)
 
 

@@ -161,6 +161,17 @@ def review_posts(landed: DataFrame, cutoff: datetime | None = None) -> DataFrame
     return keep_first(posts, ["url_canon"], ["seq"])
 
 
+def with_source_ids(posts: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posts tagged with a source name get the source's id: ``(posts, warnings)``.
+
+    Rows of a name nobody registered are left out and counted, one warning row per name.
+    """
+    ids = source.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    joined = posts.join(ids, "source_name", "left")
+    unknown = joined.filter("source_id IS NULL").groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"))
+    return joined.filter("source_id IS NOT NULL"), unknown
+
+
 def gather(
     spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame]], enabled: DataFrame
 ) -> tuple[DataFrame, dict[str, str]]:

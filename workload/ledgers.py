@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigmill.functions import text as tx
 from sigmill.operators.ordering import with_rank_in_group
 from sigmill.plans import ledger, versions
-from sigmill.streaming.jobs import windowed_health
+from sigmill.streaming.jobs import ledger_stream, windowed_health
 from workload.base import Tables, query, stamp
 
 _STAGES = "string_agg(stage || '=' || status, ', ' ORDER BY stage)"
@@ -127,6 +127,21 @@ def health_by_day(t: Tables) -> DataFrame:
     return windowed_health(rows, "ts", "event_type", F.col("value") < 10).withColumn("window_start", stamp("window_start"))
 
 
+@query(
+    "stage_ledger",
+    """SELECT run_id, stage, arg_max(status, (ts, event_id)) AS status, CAST(sum(cost_delta) AS DOUBLE) AS cost, count(*) AS events
+       FROM run_event_v GROUP BY run_id, stage""",
+    ("run_event_v",),
+)
+def stage_ledger(t: Tables) -> DataFrame:
+    return ledger_stream(t.run_event).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query("run_by_id", _RUN + " WHERE r.run_id = 7", _RUN_VIEWS)
+def run_by_id(t: Tables) -> DataFrame:
+    return _flat(ledger.run_by_id(ledger.fold_runs(t.run_event), 7))
+
+
 _VERSIONS = """
     SELECT source AS name, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS version,
            text AS body, doc_id FROM documents
@@ -189,3 +204,40 @@ def version_delta(t: Tables) -> DataFrame:
         "name", "version", "previous_version",
         F.size("added").cast("bigint").alias("added"), F.size("dropped").cast("bigint").alias("dropped"),
     )
+
+
+@query(
+    "version_rollback",
+    f"""SELECT name, CAST((SELECT max(version) FROM ({_VERSIONS}) WHERE name = 'src1') + 1 AS INTEGER) AS version,
+               md5(body) AS body_md5, 'ui' AS source
+        FROM ({_VERSIONS}) WHERE name = 'src1' AND version = 2""",
+)
+def version_rollback(t: Tables) -> DataFrame:
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    row = versions.rollback(_versions(t), "src1", 2, now)
+    return row.select("name", "version", F.md5("body").alias("body_md5"), "source")
+
+
+@query(
+    "version_register",
+    f"""SELECT n.name, n.version FROM (SELECT lang AS name, CAST(doc_id AS INTEGER) AS version FROM documents
+                                       UNION ALL SELECT source, CAST(doc_id % 60 AS INTEGER) FROM documents) n
+        WHERE NOT EXISTS (SELECT 1 FROM ({_VERSIONS}) v WHERE v.name = n.name AND v.version = n.version)""",
+)
+def version_register(t: Tables) -> DataFrame:
+    number = F.col("doc_id").cast("int")
+    shipped = t.documents.select(F.col("lang").alias("name"), number.alias("version")).unionByName(
+        t.documents.select(F.col("source").alias("name"), (number % 60).alias("version"))
+    )
+    return versions.register(_versions(t), shipped)
+
+
+@query(
+    "version_seed",
+    "SELECT lang AS name, count(*) AS rows FROM documents WHERE lang NOT IN (SELECT source FROM documents) GROUP BY lang",
+)
+def version_seed(t: Tables) -> DataFrame:
+    docs = t.documents
+    shipped = docs.select(F.col("lang").alias("name"), "doc_id").unionByName(docs.select(F.col("source").alias("name"), "doc_id"))
+    seeded = versions.seed(docs.select(F.col("source").alias("name")), shipped)
+    return seeded.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sigmill.functions.text import keep_if_blank
 from sigmill.operators import merge
+from sigmill.plans import providers
+from sigmill.sources import landed
 from workload.base import Tables, query
 
 
@@ -162,3 +164,67 @@ def merge_maps(t: Tables) -> DataFrame:
 def keep_blank(t: Tables) -> DataFrame:
     new = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_mktsegment"))
     return t.customer.select("c_custkey", keep_if_blank(new, F.col("c_name")).alias("secret"))
+
+
+def _providers(t: Tables) -> DataFrame:
+    key = F.col("s_suppkey")
+    return t.supplier.select(
+        F.col("s_name").alias("name"),
+        F.when(key % 2 == 0, "fake").otherwise("openai_compat").alias("kind"),
+        F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("https://m"), key.cast("string"))).alias("base_url"),
+        F.concat(F.lit("m"), (key % 5).cast("string")).alias("model"),
+        F.substr("s_name", F.lit(1), (key % 25).cast("int")).alias("api_key"),
+        (key == 4).alias("is_active"),
+        (key * 3 % 7).cast("decimal(12,4)").alias("price_per_mtok"),
+    )
+
+
+_PROVIDERS = """
+    SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'fake' ELSE 'openai_compat' END AS kind,
+           CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'https://m' || s_suppkey END AS base_url, 'm' || s_suppkey % 5 AS model,
+           substr(s_name, 1, CAST(s_suppkey % 25 AS INTEGER)) AS api_key, s_suppkey = 4 AS is_active, s_suppkey FROM supplier"""
+_MASKED = "CASE WHEN length(api_key) > 4 THEN '****' || right(api_key, 4) ELSE '****' END AS key_masked"
+
+
+@query(
+    "provider_list",
+    f"SELECT name, kind, base_url, model, {_MASKED}, is_active FROM ({_PROVIDERS}) ORDER BY is_active DESC, name",
+)
+def provider_list(t: Tables) -> DataFrame:
+    return providers.listing(_providers(t))
+
+
+@query(
+    "provider_update",
+    f"""SELECT name, kind, base_url, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE model END AS model, {_MASKED}, is_active
+        FROM (SELECT * REPLACE (CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'secret-' || s_suppkey ELSE api_key END
+              AS api_key) FROM ({_PROVIDERS}))""",
+)
+def provider_update(t: Tables) -> DataFrame:
+    key = F.substring("name", 10, 9).cast("int")
+    changes = _providers(t).filter(key % 3 == 0).select(
+        "name", "kind", "base_url", F.lit(" new ").alias("model"),
+        F.when(key % 2 == 0, F.concat(F.lit("secret-"), key.cast("string"))).otherwise("").alias("api_key"),
+    )
+    return providers.listing(providers.update(_providers(t), changes))
+
+
+@query("active_provider", f"SELECT name, model FROM ({_PROVIDERS}) WHERE is_active")
+def active_provider(t: Tables) -> DataFrame:
+    return providers.active(_providers(t)).select("name", "model")
+
+
+@query(
+    "post_source_ids",
+    """SELECT d.doc_id, s.id AS source_id FROM documents d JOIN source_v s ON s.name = d.source WHERE s.enabled""",
+    ("source_v",),
+)
+def post_source_ids(t: Tables) -> DataFrame:
+    posts = t.documents.select("doc_id", F.col("source").alias("source_name"))
+    return landed.with_source_ids(posts, t.source.filter("enabled"))[0].select("doc_id", "source_id")
+
+
+@query("unknown_sources", "SELECT source AS source_name, count(*) AS rows FROM documents WHERE source = 'src3' GROUP BY source")
+def unknown_sources(t: Tables) -> DataFrame:
+    posts = t.documents.select("doc_id", F.col("source").alias("source_name"))
+    return landed.with_source_ids(posts, t.source.filter("enabled"))[1]

@@ -380,6 +380,16 @@ def latest_checks(t: Tables) -> DataFrame:
     return current.orderBy(F.desc("checked_at"), "phrase").select("cluster_id", "phrase", "frequency", stamp("checked_at"))
 
 
+@query(
+    "cluster_checks",
+    """SELECT phrase, frequency, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at FROM check_v
+       WHERE cluster_id = 5 ORDER BY check_v.checked_at DESC, phrase""",
+    ("check_v",),
+)
+def cluster_checks(t: Tables) -> DataFrame:
+    return reports.demand_checks(t.checks, 5).withColumn("checked_at", stamp("checked_at"))
+
+
 @query(
     "newest_check",
     "SELECT cluster_id, strftime(max(checked_at), '%d.%m.%Y') AS newest FROM check_v GROUP BY cluster_id",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions import vectors as vx
-from sigmill.operators.encode import encode_texts, trigram_encoder
+from sigmill.operators.encode import backfill_embeddings, encode_texts, trigram_encoder
 from sigmill.operators.leaders import leader_clusters, nearest_leaders
-from sigmill.plans import stages
+from sigmill.plans import reports, stages
 from workload.base import Tables, query
 
 # The driver's random vectors are far apart; at the default 0.88 every point is its own leader.
@@ -154,3 +154,31 @@ def encode_documents(t: Tables) -> DataFrame:
         "doc_id", (five > 0).alias("has_five"),
         F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("filled"), F.round(five, 4).alias("five"),
     )
+
+
+def _partly_embedded(t: Tables) -> DataFrame:
+    body = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"))
+    some = F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding")
+    return t.embeddings.join(body, "vec_id").select(F.col("vec_id").alias("id"), "body", some)
+
+
+@query(
+    "embedding_counts",
+    """SELECT count(*) FILTER (WHERE vec_id % 3 <> 0) AS skipped, count(*) FILTER (WHERE vec_id % 3 = 0) AS pending
+       FROM embeddings JOIN documents ON doc_id = vec_id""",
+)
+def embedding_counts(t: Tables) -> DataFrame:
+    return reports.embedding_counts(_partly_embedded(t))
+
+
+@query(
+    "embedding_backfill",
+    f"""SELECT e.vec_id AS id, CASE WHEN e.vec_id % 3 <> 0 THEN round(CAST(e.embedding[6] AS DOUBLE), 4)
+               ELSE round(coalesce(g.n, 0) / g.norm, 4) END AS sixth
+        FROM embeddings e JOIN (SELECT doc_id, max(n) FILTER (WHERE bucket = 5) AS n, sqrt(sum(n * n)) AS norm
+            FROM (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM ({_TRIGRAMS}) GROUP BY ALL) GROUP BY doc_id) g
+          ON g.doc_id = e.vec_id""",
+)
+def embedding_backfill(t: Tables) -> DataFrame:
+    filled = backfill_embeddings(_partly_embedded(t), lambda: trigram_encoder(64))
+    return filled.select("id", F.round(F.get("embedding", F.lit(5)).cast("double"), 4).alias("sixth"))

@@ -38,18 +38,28 @@ class Collected(NamedTuple):
 
 
 def collect(posts: DataFrame, stored: DataFrame, now: Column, warnings: int = 0) -> Collected:
-    """New posts to append. The first occurrence of a canonical URL wins, stored ones first."""
+    """New posts to append. The first occurrence of a canonical URL wins, stored ones first.
+
+    The new posts are written down before anything is counted: appending them changes what is
+    stored, and neither the rows nor the counters may follow that change.
+    """
     usable = posts.filter("url_canon IS NOT NULL")
-    fresh, counts = merge.insert_if_absent(stored, usable, ["url_canon"], ["source_name", "seq"])
-    rows = fresh.select(
-        natural_id(F.col("url_canon")).alias("id"),
-        "source_id", "url_canon", "url", "title", "body", "kind", "published_at",
-        F.lit("new").alias("fetch_status"),
-        "suspect_short",
-        now.alias("created_at"),
+    fresh, _ = merge.insert_if_absent(stored, usable, ["url_canon"], ["source_name", "seq"])
+    rows = cut(
+        fresh.select(
+            natural_id(F.col("url_canon")).alias("id"),
+            "source_id", "url_canon", "url", "title", "body", "kind", "published_at",
+            F.lit("new").alias("fetch_status"),
+            "suspect_short",
+            now.alias("created_at"),
+        ),
+        "collected",
+    )
+    counts = side_by_side(
+        usable.agg(F.count(F.lit(1)).alias("offered")), rows.agg(F.count(F.lit(1)).alias("collected"))
     )
     counters = counts.select(
-        F.col("inserted").alias("collected"), "skipped", F.lit(warnings).cast("bigint").alias("warnings")
+        "collected", (F.col("offered") - F.col("collected")).alias("skipped"), F.lit(warnings).cast("bigint").alias("warnings")
     )
     return Collected(rows, counters)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
-from sigmill.functions.expr import let
+from sigmill.functions.expr import let, with_once
 from sigmill.schemas import first_violation
 
 # Fixed values.
@@ -70,7 +70,7 @@ def validate_extract(
             F.coalesce(direct, salvaged), lambda json: F.when(_is_object(json), _array_field(json, "$.pains"))
         )
 
-    staged = answers.withColumn("_pains", let(tx.unfence(answer_col), pains_list))
+    staged = with_once(answers, "_pains", let(tx.unfence(answer_col), pains_list))
 
     def judged(entry: Column, pos: Column) -> Column:
         is_object = _is_object(entry)
@@ -173,7 +173,7 @@ def parse_score(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
             F.transform(quotes, lambda q: F.try_variant_get(q, "$", "string")).alias("quotes"),
         )
 
-    judged = answers.withColumn("_v", let(tx.strict_json(answer_col), verdict))
+    judged = with_once(answers, "_v", let(tx.strict_json(answer_col), verdict))
     return _unless_rejected(judged.withColumn("reason", F.col("_v.reason")), "_v", ("score", "rationale_md", "quotes"))
 
 
@@ -234,7 +234,7 @@ def parse_phrases(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
         }
         return F.struct(first_violation(rules).alias("reason"), F.array_distinct(texts).alias("phrases"))
 
-    out = answers.withColumn("_v", let(tx.strict_json(answer_col), verdict))
+    out = with_once(answers, "_v", let(tx.strict_json(answer_col), verdict))
     return _unless_rejected(out.withColumn("reason", F.col("_v.reason")), "_v", ("phrases",))
 
 
@@ -257,7 +257,7 @@ def parse_completion(raw: DataFrame, body_col: str, default_model: Column) -> Da
 
     parts = ("call_failed", "answer", "prompt_tokens", "completion_tokens")
     return (
-        raw.withColumn("_v", let(tx.strict_json(body_col), read))
+        with_once(raw, "_v", let(tx.strict_json(body_col), read))
         .withColumns({n: F.col(f"_v.{n}") for n in parts} | {"model": F.coalesce(F.col("_v.model"), default_model)})
         .drop("_v")
     )

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 from importlib.util import find_spec
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Largest dictionary, in characters, that is sent to every task.
 DICTIONARY_CHARS = 8_000_000
 ANCHOR_CHARS = 16
 # Pieces a hot anchor's join is split into.
-ANCHOR_SALTS = 32
+ANCHOR_SALTS = 8
 
 
 def _scan(texts: DataFrame, rows: list) -> DataFrame:
@@ -102,8 +102,6 @@ def contained_phrases(
 
 def first_matches(matches: DataFrame, limit: int = 3) -> DataFrame:
     """The first ``limit`` matches of each text in dictionary order."""
-    from pyspark.sql import Window
-
     # The optimizer turns a rank filter into a per-task top-k before the shuffle.
     order = Window.partitionBy("id").orderBy("pos")
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

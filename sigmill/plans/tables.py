@@ -22,10 +22,10 @@ def _writer(df: DataFrame, key: str | None, buckets: int):
 def publish(df: DataFrame, name: str, key: str | None = None, buckets: int = 64) -> str:
     """Write a full snapshot and point ``name`` at it. Returns the snapshot's table name."""
     spark = df.sparkSession
+    if _is_append_table(spark, name):
+        raise ValueError(f"{name} is an append table")
     snapshot = f"{name}__{uuid.uuid4().hex}"
     _writer(df, key, buckets).mode("errorifexists").saveAsTable(snapshot)
-    if name in _plain_tables(spark, name):
-        raise ValueError(f"{name} is an append table")
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {snapshot}")
     return snapshot
 
@@ -43,7 +43,5 @@ def append_new(df: DataFrame, name: str, key: str, buckets: int = 64) -> None:
     append(df, name, key, buckets)
 
 
-def _plain_tables(spark: SparkSession, name: str) -> set[str]:
-    if not spark.catalog.tableExists(name):
-        return set()
-    return {name} if spark.catalog.getTable(name).tableType != "VIEW" else set()
+def _is_append_table(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from sigmill import schemas
 from sigmill.functions import text as tx
 from sigmill.functions import urls
+from sigmill.functions.expr import with_once
 from sigmill.operators.dedup import keep_first
 
 POST_COLUMNS = ("url_canon", "url", "title", "body", "kind", "published_at", "suspect_short")
@@ -103,8 +104,8 @@ def feed_posts(
     Items without a landed page, a usable link or any text are dropped. One landed page may be
     linked by many items; pages are keyed by canonical URL.
     """
-    recent = items.filter(since(F.col("published_at"), cutoff, inclusive)).withColumn(
-        "url_canon", urls.canonical_url("link")
+    recent = with_once(
+        items.filter(since(F.col("published_at"), cutoff, inclusive)), "url_canon", urls.canonical_url("link")
     )
     texts = page_texts(pages).select("url_canon", "body", "suspect_short")
     return (
@@ -121,14 +122,9 @@ def feed_posts(
 def page_texts(pages: DataFrame) -> DataFrame:
     """Landed pages as text, one row per canonical URL (the first by URL wins)."""
     # The page is picked before its text is extracted, so copies cost no extraction.
-    picked = keep_first(
-        pages.select("url", "html", urls.canonical_url("url").alias("url_canon")).filter("url_canon IS NOT NULL"),
-        ["url_canon"],
-        ["url"],
-    )
-    return picked.select("url_canon", "url", tx.main_text("html").alias("body")).withColumn(
-        "suspect_short", tx.is_short("body")
-    )
+    keyed = with_once(pages.select("url", "html"), "url_canon", urls.canonical_url("url"))
+    picked = keep_first(keyed.filter("url_canon IS NOT NULL"), ["url_canon"], ["url"])
+    return with_once(picked, "body", tx.main_text("html")).drop("html").withColumn("suspect_short", tx.is_short("body"))
 
 
 def reviews(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -148,9 +144,10 @@ def review_posts(landed: DataFrame, cutoff: datetime | None = None) -> DataFrame
         is_complaint(F.col("score"), F.col("content"), F.col("reviewId"))
         & since(F.col("at"), cutoff, inclusive=True)
     )
-    posts = kept.withColumn("url", urls.review_url(F.col("app_id"), F.col("reviewId"))).select(
+    addressed = kept.withColumn("url", urls.review_url(F.col("app_id"), F.col("reviewId")))
+    posts = with_once(addressed, "url_canon", urls.canonical_url("url")).select(
         "seq",
-        urls.canonical_url("url").alias("url_canon"),
+        "url_canon",
         "url",
         F.coalesce("userName", F.lit("")).alias("title"),
         F.col("content").alias("body"),

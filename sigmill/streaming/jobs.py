@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sigmill.functions import urls
+from sigmill.functions.expr import with_once
 from sigmill.operators.dedup import keep_first
 from sigmill.plans.tables import append_new
 
@@ -19,7 +20,7 @@ def canonical_posts(landed: DataFrame, delay: str = "1 day") -> DataFrame:
     The watermark runs on landing time: an old post that lands today is not late.
     """
     return (
-        landed.withColumn("url_canon", urls.canonical_url("url"))
+        with_once(landed, "url_canon", urls.canonical_url("url"))
         .filter("url_canon IS NOT NULL")
         .withColumn("landed_at", F.current_timestamp())
         .withWatermark("landed_at", delay)

@@ -218,7 +218,7 @@ def review_posts(t: Tables) -> DataFrame:
 @query(
     "feed_posts",
     f"""SELECT i.page_id, c.url_canon, md5(p.body) AS body_md5, length(p.body) < 200 AS suspect_short
-        FROM (SELECT page_id, url FROM pages WHERE page_id % 3 <> 0) i
+        FROM pages i
         JOIN ({_PAGES_CANON}) c ON c.page_id = i.page_id
         JOIN (SELECT x.page_id, y.url_canon, row_number() OVER (PARTITION BY y.url_canon ORDER BY x.url) AS rn, x.body
               FROM ({_PAGE_TEXT}) x JOIN ({_PAGES_CANON}) y ON y.page_id = x.page_id) p
@@ -230,11 +230,11 @@ def feed_posts(t: Tables) -> DataFrame:
     tracked = F.regexp_replace("url", r"^([^#?]*)(\?[^#]*)?(#.*)?$", r"$1$2")
     mark = F.when(F.contains("url", F.lit("?")), F.lit("&")).otherwise(F.lit("?"))
     link = F.concat(tracked, mark, F.lit("utm_source=feed"), F.regexp_extract("url", r"(#.*)$", 1))
-    items = t.pages.filter("page_id % 3 <> 0").select(
+    items = t.pages.select(
         F.col("page_id").alias("seq"), F.lit("title").alias("title"), link.alias("link"),
         F.lit(None).cast("timestamp").alias("published_at"),
     )
-    posts = landed.feed_posts(items, t.pages.select("url", "html"), "discussion")
+    posts = landed.feed_posts(items, t.wide("pages").select("url", "html"), "discussion")
     return posts.select(F.col("seq").alias("page_id"), "url_canon", F.md5("body").alias("body_md5"), "suspect_short")
 
 

@@ -173,11 +173,11 @@ def version_names(t: Tables) -> DataFrame:
     f"""SELECT n.name, CAST(coalesce(v.top, 0) + row_number() OVER (PARTITION BY n.name ORDER BY n.doc_id) AS INTEGER) AS version,
                md5(n.body) AS body_md5
         FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'fresh' ELSE source END AS name, text || '!' AS body, doc_id
-              FROM documents WHERE lang = 'en') n
+              FROM documents) n
         LEFT JOIN (SELECT name, max(version) AS top FROM ({_VERSIONS}) GROUP BY name) v ON v.name = n.name""",
 )
 def next_version(t: Tables) -> DataFrame:
-    new = t.documents.filter("lang = 'en'").select(
+    new = t.documents.select(
         F.when(F.col("doc_id") % 9 == 0, "fresh").otherwise(F.col("source")).alias("name"),
         F.concat("text", F.lit("!")).alias("body"),
         "doc_id",

@@ -17,7 +17,7 @@ TABLES = (
 QUERIES = entry_point.queries()
 # Queries that run Python inside tasks: automaton scans, encoders and vector products.
 WITH_PYTHON = {
-    "quote_match", "quote_first_matches", "encode_documents", "nearest_leaders",
+    "quote_match", "quote_first_matches", "encode_documents", "embedding_backfill", "nearest_leaders",
     "leader_clusters", "leader_cluster_sizes", "cluster_stage", "cluster_titles",
 }
 

@@ -170,6 +170,15 @@ def test_feeds(spark, rows, tmp_path):
     assert landed.feed_posts(items, pages, "discussion", cutoff=datetime(2026, 1, 5, 10), inclusive=False).isEmpty()
 
 
+def test_malformed_feeds(spark, rows, tmp_path):
+    cut_off = FEED.split("<item><title><![CDATA[Two")[0] + "<item><title>Broken</title><link>https://p.example/9"
+    (tmp_path / "feed.xml").write_text(cut_off, encoding="utf-8")
+    loose = landed.feed_items(spark, str(tmp_path), require_title=True)
+    assert ("Broken",) not in rows(loose, "title")
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        landed.feed_items(spark, str(tmp_path), require_title=True, strict=True).collect()
+
+
 def review(rid, score, content="bad", day=5, app="app"):
     return {"app_id": app, "reviewId": rid, "userName": "u", "content": content, "score": score, "at": f"2026-01-{day:02d}T00:00:00Z"}
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each are about ``most`` bytes; a longer text stays whole, alone."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for at, size in enumerate(sizes):
             if at > start and held + size > most:
@@ -58,7 +59,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
 
 
 def same_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """``docs`` without the rows whose keys are in ``dropped``; of the rows whose keys are in ``repeated``, one.
+    """``docs`` without the rows whose keys are in ``dropped`` (all or some of the keys); of the rows whose keys are in ``repeated``, one.
 
     Rows keep all their columns, whatever their names. ``repeated`` is empty unless whole rows recur, and
     only then are its rows brought together.
@@ -67,7 +68,7 @@ def same_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, keys: di
 
     def match(other: DataFrame):
         cond = F.lit(True)
-        for k in keys:
+        for k in other.columns:
             cond = cond & rows[k].eqNullSafe(other[k])
         return cond
 

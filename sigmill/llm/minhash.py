@@ -26,11 +26,11 @@ from sigmill.session import cut
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Pairs that agree on a smaller part of the signature are not compared in the last rounds. The agreement of
+#: Pairs that agree on a smaller part of the signature are not compared in the last search. The agreement of
 #: a pair at 0.75 has mean 0.75 and deviation 0.038, so this is five deviations below.
 LEAST_AGREEMENT = 0.55
 #: Members of a bucket compared with each other at once; larger buckets are dealt over pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Members compared with one copy of their centre's set in a task.
 PER_CENTRE = 512
 
@@ -130,52 +130,89 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")), _confirm, "a bigint, b bigint")
 
 
-def _searcher(best: bool):
-    """Candidates between the groups of each bucket, from rows sorted by (key, left, right).
+def _candidates(rows: dict[str, np.ndarray], left: int, right: int, key: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member, the later ones of other groups it may link with, and on how many values they agree.
 
-    ``best``: for a member and another group only the pair of highest agreement.
+    A pair that shares several buckets belongs to the one of its first common band.
     """
     need = int(np.ceil(LEAST_AGREEMENT * 2 * PERMUTATIONS))
-
-    def pairs(node, comp, n, marks, block, left, right) -> list[tuple[int, int]]:
-        out = []
-        sides = (np.arange(len(node)), None) if left == right else (np.flatnonzero(block == left), np.flatnonzero(block == right))
-        for k, i in enumerate(sides[0]):
-            other = sides[0][k + 1 :] if sides[1] is None else sides[1]
-            other = other[(comp[other] != comp[i]) & (4 * np.minimum(n[other], n[i]) >= 3 * np.maximum(n[other], n[i]))]
-            if not len(other):
-                continue
-            agree = np.count_nonzero(marks[other] == marks[i], axis=1)
-            other, agree = other[agree >= need], agree[agree >= need]
-            if best and len(other) > 1:
-                other = other[np.lexsort((node[other], -agree, comp[other]))]
-                other = other[np.r_[True, comp[other][1:] != comp[other][:-1]]]
-            out += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in other]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            whole = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            if whole is None or not len(whole):
-                continue
-            whole = whole.combine_chunks()
-            key, left, right = (whole.column(c).to_numpy() for c in ("key", "left", "right"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
-            ends = np.append(cuts, len(key)) if batch is None else cuts
-            rest = whole.slice(ends[-1] if len(ends) else 0)
-            if not len(ends):
-                continue
-            node, comp, n, block = (whole.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
-            marks = np.frombuffer(b"".join(whole.column("marks").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-            found, s = [], 0
-            for e in ends:
-                found += pairs(node[s:e], comp[s:e], n[s:e], marks[s:e], block[s:e], left[s], right[s])
-                s = e
+    comp, n, marks, bands, block = (rows[c] for c in ("comp", "n", "marks", "bands", "block"))
+    inner = left == right
+    mine = np.arange(len(n)) if inner else np.flatnonzero(block == left)
+    theirs = mine if inner else np.flatnonzero(block == right)
+    for k, i in enumerate(mine):
+        other = theirs[k + 1 :] if inner else theirs
+        other = other[(comp[other] != comp[i]) & (4 * np.minimum(n[other], n[i]) >= 3 * np.maximum(n[other], n[i]))]
+        if not len(other):
+            continue
+        agree = np.count_nonzero(marks[other] == marks[i], axis=1)
+        other, agree = other[agree >= need], agree[agree >= need]
+        if not len(other):
+            continue
+        first = np.argmax(bands[other] == bands[i], axis=1)
+        own = bands[i][first] == key
+        if own.any():
+            yield i, other[own], agree[own]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """The rows of each (key, left, right), which come sorted by them."""
+    rest = None
+    for batch in _with_end(batches):
+        whole = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        if whole is None or not len(whole):
+            continue
+        whole = whole.combine_chunks()
+        key, left, right = (whole.column(c).to_numpy() for c in ("key", "left", "right"))
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
+        if batch is None:
+            ends = np.append(ends, len(key))
+        rest = whole.slice(ends[-1]) if len(ends) else whole
+        rows = {c: whole.column(c).to_numpy() for c in ("node", "comp", "n", "block")}
+        rows["marks"] = np.frombuffer(b"".join(whole.column("marks").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+        rows["bands"] = whole.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        start = 0
+        for end in ends:
+            yield whole.slice(start, end - start), {c: v[start:end] for c, v in rows.items()}
+            start = end
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are in some candidate pair of their block."""
+    for table, rows in _blocks(batches):
+        used = np.zeros(len(table), dtype=bool)
+        for i, other, _ in _candidates(rows, *(table.column(c)[0].as_py() for c in ("left", "right", "key"))):
+            used[i] = used[other] = True
+        if used.any():
+            yield from table.filter(pa.array(used)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the groups of each block, found on full sets; one link per two groups is enough."""
+    for table, rows in _blocks(batches):
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        sets, found = None, []
+        node, comp = rows["node"], rows["comp"]
+        for i, other, agree in _candidates(rows, *(table.column(c)[0].as_py() for c in ("left", "right", "key"))):
+            if sets is None:
+                h, at = shingles.shingle_sets(table.column("text").combine_chunks())
+                sets = [h[at[j] : at[j + 1]] for j in range(len(table))]
+            for j in other[np.argsort(-agree, kind="stable")]:
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b:
+                    both = shingles.common(sets[i], sets[j])
+                    if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        up[max(a, b)] = min(a, b)
+                        found.append((int(node[i]), int(node[j])))
+        if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return run
-
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
@@ -187,7 +224,12 @@ def _in_groups(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(named, "node", "left").select(*rows.columns, F.coalesce("found", "node").alias("comp"))
 
 
-def _searched(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, best: bool) -> DataFrame:
+def _searched(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links ``a, b`` between different groups of a bucket, for every bucket that holds several groups.
+
+    Members meet in blocks of bounded size. Signatures go first; texts follow for members of candidate pairs
+    only. Pairs are formed within a task and only links leave it.
+    """
     grouped = _in_groups(buckets, comp)
     open_ = (
         grouped.groupBy("key")
@@ -197,14 +239,20 @@ def _searched(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, best: bool)
     )
     rows = (
         grouped.join(open_, "key")
-        .join(nodes.select("node", "n", "marks"), "node")
+        .join(nodes.select("node", "n", "bands", "marks"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "comp", "n", "marks")
-        .repartition("key", "left", "right")
-        .sortWithinPartitions("key", "left", "right", "node")
+        .select(
+            "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "comp", "n", "bands", "marks"
+        )
     )
-    return arrow_map(rows, _searcher(best), "a bigint, b bigint").distinct()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
+
+    schema = "key bigint, left int, right int, block int, node bigint, comp bigint, n bigint, bands array<bigint>, marks binary"
+    wanted = cut(arrow_map(dealt(rows), _wanted, schema), "wanted")
+    return arrow_map(dealt(wanted.join(texts, "node").select(*wanted.columns, "text")), _linked, "a bigint, b bigint")
 
 
 def _stars(buckets: DataFrame, scramble: int) -> DataFrame:
@@ -244,16 +292,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("node").distinct()
     texts = ids.select(F.col("doc_id").alias("node"), blank().alias("text")).join(wanted, "node", "left_semi")
 
-    tested = cut(_stars(buckets, 0).unionByName(_stars(buckets, 0x5DEECE66D)).distinct(), "pairs")
-    links = cut(confirmed(tested, texts).unionByName(same_id), "links")
+    pairs = cut(_stars(buckets, 0).unionByName(_stars(buckets, 0x5DEECE66D)).distinct(), "pairs")
+    links = cut(confirmed(pairs, texts).unionByName(same_id), "links")
     comp = components(links)
-    for best in (True, False):
-        pairs = cut(_searched(buckets, nodes, comp, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(cut(confirmed(pairs, texts), "links"))
-        tested = tested.unionByName(pairs)
-        comp = components(links)
+    comp = components(links.unionByName(cut(_searched(buckets, nodes, comp, texts), "links")))
 
     def shown(c: str) -> Column:
         return F.nullif(F.col(c), first)

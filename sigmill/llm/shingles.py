@@ -60,20 +60,33 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offsets of each text's words."""
-    ink = _INK[data]
+def spans(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``ink``, none across two texts."""
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = offsets[(offsets > 0) & (offsets < len(ink))]
     first[inner] |= ink[inner]
     last[inner - 1] |= ink[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((_FOLD[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, offsets)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Hashes:
+    """Hashes of any stretches of some bytes, from one pass over them."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _powers.to(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, dtype=U)
+        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the offsets of each text's words."""
+    start, end = spans(_INK[data], offsets)
+    return Hashes(_FOLD[data]).of(start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

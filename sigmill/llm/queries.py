@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import bpe, exact, minhash, packing, sharding, token_files, toxicity
+from sigmill.llm import bpe, exact, fingerprints, minhash, packing, sharding, token_files, toxicity
 from sigmill.llm.common import LOWER, UPPER, table
 from sigmill.session import scratch_dir
 
@@ -77,3 +77,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_probe(table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ THRESHOLD = 0.7
 #: Its number is bounded by the features of an average row over this part, whatever the number of rows.
 LEAST_PART, LEAST_ROWS = 0.002, 3
 #: Least log-odds, and least log-odds in standard errors, of a lexicon feature.
-LEAST_ODDS, LEAST_ERRORS = 4.0, 3.0
+LEAST_ODDS, LEAST_ERRORS = 4.0, 2.6
 #: Labelled training rows that the classifier is fitted on at most; the rows of smallest hash.
 SAMPLE_ROWS = 20_000
 #: Training labels up to this number (16 bytes each) are sent to every task; more are joined by shuffle.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import bpe, exact, fingerprints, licenses, minhash, packing, sharding, token_files, toxicity
+from sigmill.llm import bpe, exact, fingerprints, licenses, lm, minhash, packing, sharding, token_files, toxicity
 from sigmill.llm.common import LOWER, UPPER, table
 from sigmill.session import scratch_dir
 
@@ -87,3 +87,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))

@@ -3,8 +3,8 @@
 Invented and inflected words make most of the cost: a text is cut into stretches that encode alone (a
 stretch ends before a space or line break that follows a visible character, where no pre-token of the two
 supported kinds can cross), stretches seen before come from a bounded memo, and new ones go through
-tiktoken on the same merge ranks. Whatever is unusual (special tokens, letters beyond Latin) goes to the
-tokenizers library itself.
+tiktoken on the same merge ranks. Stretches of unusual texts (special tokens, letters beyond Latin, other
+white space) go to the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -23,11 +23,23 @@ from tokenizers import Tokenizer
 #: Stretches kept in a worker's memo, and the longest kept.
 MEMO, MEMO_CHARS = 400_000, 48
 
-_ODD = re.compile(r"[^\S\n ]|[\n ][\n ]")
+#: White space other than a single space or line break, and what else keeps a text off the fast path.
+_ODD = ("  ", "\n\n", "\n ", " \n", "<|", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_ODD_LATIN = "\x85\xa0"
 _STRETCH = re.compile(r"[ \n]*.*?\S(?=[ \n]|\Z)|.+\Z", re.S)
 #: Pre-token pattern of byte-level BPE. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN_BELOW = "ɐ"
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]|\u0130")
+_STOPS = frozenset(",.;:!?")
+
+
+def plain(text: str) -> bool:
+    """Latin letters, and words one space or line break apart: case and normal form act on each character alone."""
+    if any(x in text for x in _ODD):
+        return False
+    if text.isascii():
+        return True
+    return not any(x in text for x in _ODD_LATIN) and _BEYOND_LATIN.search(text) is None
 
 
 def stretches(text: str) -> list[str]:
@@ -77,6 +89,7 @@ class Encoder:
         self.token_bytes = {n: raw for raw, n in ranks.items()} | {n: t.encode() for t, n in self.special.items()}
         if self.word_ends:
             self.parts = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p))
+        self.piece = self.fast._core_bpe.encode_single_piece
         self.memo: dict[str, int] = {}
         self.flat, self.at = array("I"), array("q", [0])
 
@@ -84,14 +97,19 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def one(self, stretch: str) -> list[int]:
-        if "<|" in stretch or not (stretch.isascii() or max(stretch) < _PLAIN_BELOW):
-            return self.exact(stretch)
+        """Ids of a stretch of a plain text, lower-cased already if the vocabulary is."""
         if not self.word_ends:
             return self.fast.encode_ordinary(stretch)
-        normal = stretch.lower() if stretch.isascii() else self.library.normalizer.normalize_str(stretch)
+        stretch = stretch.strip()
+        if stretch.isalpha():
+            parts = [stretch]
+        elif stretch[:-1].isalpha() and stretch[-1] in _STOPS:
+            parts = [stretch[:-1], stretch[-1]]
+        else:
+            parts = self.parts.findall(stretch)
         out: list[int] = []
-        for part in self.parts.findall(normal):
-            out += self.fast._encode_single_piece(part.encode() + b"\xff")
+        for part in parts:
+            out += self.piece(part.encode() + b"\xff")
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +117,8 @@ class Encoder:
         keys: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            if _ODD.search(text) is None:
-                found = text.replace("\n", " \n").split(" ")
+            if plain(text):
+                found = (text.lower() if self.word_ends else text).replace("\n", " \n").split(" ")
                 found[0] = "\r" + found[0]
                 keys += found
             else:
@@ -113,18 +131,20 @@ class Encoder:
             k = keys[i]
             v = memo.get(k)
             if v is None:
-                self.flat.extend(self.one(k[1:] if k[:1] in ("\r", "\t") else k if k[:1] == "\n" else " " + k))
+                first = k[:1]
+                self.flat.extend(self.exact(k[1:]) if first == "\t" else self.one(k[1:] if first == "\r" else k if first == "\n" else " " + k))
                 v = len(self.at) - 1
                 self.at.append(len(self.flat))
                 memo[k] = v
                 added.append(k)
             at[i] = v
         n = np.array(at, np.int64)
-        starts, flat = np.array(self.at, np.int64), np.array(self.flat, np.uint32)
+        starts, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         size = starts[n + 1] - starts[n]
         out = np.zeros(len(n) + 1, np.int64)
         np.cumsum(size, out=out[1:])
         ids = flat[np.repeat(starts[n] - out[:-1], size) + np.arange(out[-1])] if out[-1] else np.empty(0, np.uint32)
+        del starts, flat  # the arrays can't change while they are viewed
         if len(memo) > MEMO:  # the memo keeps what came first; the rest of this step is forgotten
             for k in added:
                 del memo[k]

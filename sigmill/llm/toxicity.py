@@ -302,7 +302,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(text):
         import pandas as pd
 
-        parts = [scorer.score(Features(b.column("text"))) for b in steps(iter(pa.table({"text": pa.Array.from_pandas(text, pa.string())}).to_batches()))]
+        parts = [scorer.score(Features(b.column("text"))) for b in steps(iter(pa.table({"text": pa.array(text, pa.string(), from_pandas=True)}).to_batches()))]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return docs.filter(score(blank()) < THRESHOLD)

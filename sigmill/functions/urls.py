@@ -13,7 +13,7 @@ TRACKING_PARAMS = ("fbclid", "gclid")
 
 # Schemes whose last path segment may carry ";params".
 SCHEMES_WITH_PARAMS = (
-    "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtspu",
+    "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu",
     "sip", "sips", "mms", "sftp", "tel",
 )
 

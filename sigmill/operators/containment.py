@@ -1,103 +1,86 @@
-"""Which dictionary phrases occur verbatim in which texts."""
+"""Which dictionary phrases occur verbatim in which texts.
 
-from __future__ import annotations
+One native plan for a dictionary of any size. Every phrase has an anchor: of its runs of a few characters,
+the one that the fewest other phrases hold, so phrases with a common opening part at once. The runs of a text
+are first looked up in a bit set of the anchors, of fixed size; what is left takes its text along, is joined
+to the dictionary on the anchor and compared in full.
+"""
 
-from collections.abc import Iterator
-from importlib.util import find_spec
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest dictionary, in characters, that is sent to every task.
-DICTIONARY_CHARS = 8_000_000
-ANCHOR_CHARS = 16
-# Pieces a hot anchor's join is split into.
-ANCHOR_SALTS = 8
-
-
-def _scan(texts: DataFrame, rows: list) -> DataFrame:
-    """One pass over each text with an automaton of the whole (size-checked) dictionary."""
-    id_type = texts.schema["id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        positions: dict[str, list[int]] = {}
-        for pos, phrase in rows:
-            positions.setdefault(phrase, []).append(pos)
-        machine = ahocorasick.Automaton()
-        for phrase, where in positions.items():
-            machine.add_word(phrase, where)
-        machine.make_automaton()
-        for frame in frames:
-            ids, hits = [], []
-            for key, text in zip(frame["id"], frame["text"], strict=True):
-                found = {pos for _, where in machine.iter(text) for pos in where}
-                ids.extend([key] * len(found))
-                hits.extend(sorted(found))
-            yield pd.DataFrame({"id": ids, "pos": hits})
+from sigmill.session import cut
 
-    return texts.filter("text IS NOT NULL").mapInPandas(run, f"id {id_type}, pos bigint")
+# Anchor lengths; a phrase takes the longest that it holds.
+ANCHOR_LENGTHS = (1, 2, 4, 8, 16)
+# Words of 64 bits in the anchors' bit set: half a megabyte whatever the dictionary.
+BIT_WORDS = 65_536
+WINDOW_CHARS = 64
 
 
-def _gram_hashes(n: int) -> Column:
-    starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.substr("text", i, F.lit(n))))
-    return F.coalesce(hashes, F.array().cast("array<bigint>"))
-
-
-def _anchored(texts: DataFrame, phrases: DataFrame, salts: int) -> DataFrame:
-    """Equi-join on a hashed anchor, then verify; exact for a dictionary of any size.
-
-    A phrase is anchored by its first characters. Anchor lengths are one of a few powers of two,
-    so short phrases are found the same way. Every (text, anchor) candidate is kept once, before
-    the join, and candidates are salted so that an anchor most texts contain is spread out.
-    """
-    lengths = [n for n in (1, 2, 4, 8, ANCHOR_CHARS)]
+def _anchors(phrases: DataFrame) -> DataFrame:
+    """``pos, phrase, n, anchor, offset``: each phrase's rarest run, the first of equals."""
     size = F.length("phrase")
-    anchor_len = F.lit(lengths[0])
-    for n in lengths[1:]:
-        anchor_len = F.when(size >= n, F.lit(n)).otherwise(anchor_len)
-    dictionary = phrases.select(
-        "pos", "phrase", anchor_len.alias("n"), F.xxhash64(F.substring("phrase", F.lit(1), anchor_len)).alias("anchor")
-    )
-    used = [r["n"] for r in dictionary.select("n").distinct().collect()]  # at most five numbers
-    grams = None
-    for n in used:
-        part = texts.select("id", F.lit(n).alias("n"), F.explode(F.array_distinct(_gram_hashes(n))).alias("anchor"))
-        grams = part if grams is None else grams.unionByName(part)
-    if grams is None:
-        return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
-    salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = grams.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(
-        salted, ["n", "anchor", "salt"]
+    n = F.lit(ANCHOR_LENGTHS[0])
+    for length in ANCHOR_LENGTHS[1:]:
+        n = F.when(size >= length, F.lit(length)).otherwise(n)
+    runs = phrases.withColumn("n", n).select(
+        "pos", "phrase", "n", F.explode(F.sequence(F.lit(0), size - F.col("n"))).alias("offset")
     )
-    return (
-        candidates.select("id", "pos", "phrase")
-        .join(texts, "id")
-        .filter(F.contains("text", F.col("phrase")))
-        .select("id", "pos")
+    runs = runs.withColumn("anchor", F.xxhash64(F.substr("phrase", F.col("offset") + 1, F.col("n"))))
+    held = runs.groupBy("n", "anchor").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("pos", "phrase").orderBy("held", "offset")
+    best = runs.join(held, ["n", "anchor"]).withColumn("rank", F.row_number().over(order))
+    return best.filter("rank = 1").select("pos", "phrase", "n", "anchor", "offset")
+
+
+def _bit_set(dictionary: DataFrame) -> Column:
+    """The anchors as an array of ``BIT_WORDS`` numbers."""
+    spark = dictionary.sparkSession
+    bits = dictionary.select(
+        F.pmod("anchor", F.lit(BIT_WORDS)).alias("word"),
+        F.expr("shiftleft(1L, CAST(pmod(shiftright(anchor, 20), 64) AS INT))").alias("bits"),
     )
+    every = spark.range(BIT_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = bits.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    return whole.select(F.transform("all", lambda x: x["bits"])).scalar()
 
 
-def contained_phrases(
-    texts: DataFrame, phrases: DataFrame, max_chars: int = DICTIONARY_CHARS, salts: int = ANCHOR_SALTS
-) -> DataFrame:
+def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(id, pos)`` for every phrase that occurs in a text, compared verbatim.
 
     ``texts`` holds ``id, text`` (unique ids), ``phrases`` holds ``pos, phrase`` (dictionary
-    order). The dictionary's size is measured: a small one goes to every task, a larger one is
-    joined.
+    order). Empty phrases and NULL texts match nothing.
     """
     usable = phrases.filter("phrase <> ''").select(F.col("pos").cast("bigint").alias("pos"), "phrase")
-    chars = usable.agg(F.coalesce(F.sum(F.length("phrase") + 8), F.lit(0)).alias("chars")).first()["chars"]
-    if chars <= max_chars and find_spec("ahocorasick") is not None:
-        rows = [(r["pos"], r["phrase"]) for r in usable.toLocalIterator()]
-        if not rows:
-            return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
-        return _scan(texts.select("id", "text"), rows)
-    return _anchored(texts.select("id", "text"), usable, salts)
+    dictionary = cut(_anchors(usable), "anchors")
+    used = dictionary.select("n").distinct().collect()  # five rows at most
+    none = texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
+    if not used:
+        return none
+    bits = _bit_set(dictionary)
+    word = F.pmod("anchor", F.lit(BIT_WORDS)).cast("int")
+    bit = F.expr("CAST(pmod(shiftright(anchor, 20), 64) AS INT)")
+    likely = None
+    for n in sorted(r["n"] for r in used):
+        # Positions within short windows: finding one costs the characters before it.
+        starts = F.sequence(F.lit(0), F.length("text") - n, F.lit(WINDOW_CHARS))
+        parts = texts.filter(F.length("text") >= n).select("id", "text", F.explode(starts).alias("start"))
+        parts = parts.withColumn("part", F.substr("text", F.col("start") + 1, F.lit(WINDOW_CHARS + n - 1)))
+        runs = parts.select("*", F.explode(F.sequence(F.lit(1), F.length("part") - (n - 1))).alias("at")).select(
+            "id", "text", (F.col("start") + F.col("at")).alias("at"), F.lit(n).alias("n"),
+            F.xxhash64(F.substr("part", F.col("at"), F.lit(n))).alias("anchor"),
+        )
+        kept = runs.filter(F.getbit(F.get(bits, word), bit) == 1)
+        likely = kept if likely is None else likely.unionByName(kept)
+    begin = F.col("at") - F.col("offset")
+    found = likely.join(dictionary, ["n", "anchor"]).filter(
+        (begin >= 1) & (F.substr("text", begin, F.length("phrase")) == F.col("phrase"))
+    )
+    return found.select("id", "pos").distinct()
 
 
 def first_matches(matches: DataFrame, limit: int = 3) -> DataFrame:

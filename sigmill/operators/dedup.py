@@ -19,6 +19,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
 
 
+def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Like ``keep_first``; without an order the least of the other columns stays, so the choice is fixed."""
+    rest = [c for c in df.columns if c not in keys]
+    return keep_first(df, keys, list(order) or rest) if rest else df.distinct()
+
+
 def duplicate_report(df: DataFrame, key: str) -> DataFrame:
     """Row count, distinct keys and surplus rows."""
     # Two partial aggregates; no task ever holds all rows of one key.

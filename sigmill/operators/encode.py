@@ -1,4 +1,4 @@
-"""Text to vector: a pluggable encoder over Arrow batches, with a hashed default."""
+"""Text to vector: a pluggable encoder over Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +18,10 @@ BATCH_SIZE = 32
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def trigram_encoder(dim: int) -> Encoder:
-    """Counts of hashed character trigrams: a stand-in where no model weights are at hand."""
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-            if len(points) < 3:
-                points = np.pad(points, (0, 3 - len(points)))
-            mixed = (points[:-2] * 1000003 + points[1:-1]) * 1000003 + points[2:]
-            out[row] = np.bincount((mixed % np.uint64(dim)).astype(np.int64), minlength=dim)
-        return out
-
-    return encode
+def _units(vectors: np.ndarray) -> np.ndarray:
+    matrix = np.array(vectors, dtype=np.float64)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, length, out=matrix, where=length > 0).astype(np.float32)
 
 
 def encode_texts(
@@ -52,13 +43,9 @@ def encode_texts(
             texts = (prefix + frame["text"]).tolist()
             parts = []
             for start in range(0, len(texts), batch_size):
-                matrix = np.asarray(encode(texts[start : start + batch_size]), dtype=np.float64)
-                length = np.linalg.norm(matrix, axis=1, keepdims=True)
-                parts.append(np.divide(matrix, length, out=matrix, where=length > 0))
+                parts.append(_units(encode(texts[start : start + batch_size])))
             if parts:
-                yield pd.DataFrame(
-                    {"id": frame["id"], "embedding": list(np.concatenate(parts).astype(np.float32))}
-                )
+                yield pd.DataFrame({"id": frame["id"], "embedding": list(np.concatenate(parts))})
 
     id_type = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -66,8 +53,21 @@ def encode_texts(
 
 
 def backfill_embeddings(pains: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
-    """Encode only the rows without a vector; the others pass untouched, so a rerun does nothing."""
-    missing = pains.filter("embedding IS NULL")
-    vectors = encode_texts(missing, "id", "body", make_encoder)
-    filled = missing.drop("embedding").join(vectors, "id").select(*pains.columns)
-    return pains.filter("embedding IS NOT NULL").unionByName(filled)
+    """Encode only the rows without a vector; the others pass untouched, so a rerun does nothing.
+
+    One pass over the rows, no join. A row without a body keeps no vector.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make_encoder()
+        for batch in batches:
+            at = batch.schema.get_field_index("embedding")
+            have, bodies = batch.column(at).to_pylist(), batch.column("body").to_pylist()
+            open_ = [i for i, v in enumerate(have) if v is None and bodies[i] is not None]
+            for start in range(0, len(open_), BATCH_SIZE):
+                some = open_[start : start + BATCH_SIZE]
+                for i, v in zip(some, _units(encode([PASSAGE_PREFIX + bodies[i] for i in some])), strict=True):
+                    have[i] = v
+            yield batch.set_column(at, "embedding", pa.array(have, batch.schema.field(at).type)) if open_ else batch
+
+    return pains.mapInArrow(run, pains.schema)

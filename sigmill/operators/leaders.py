@@ -4,22 +4,22 @@ The sequential rule: going through the points in order, a point joins the most s
 leader so far if that similarity reaches the threshold (the latest leader wins a tie), otherwise
 it becomes a leader itself. A leader's vector never moves.
 
-The parallel form keeps the rule exact and never builds pairs of points:
+The parallel form keeps the rule exact, leaves every vector on the executors and never emits pairs
+of points. A round takes the first points that no leader covers yet, a partition's worth:
 
-1. *Leaders.* Take the first undecided points in order, a block of bounded size, and apply the
-   rule inside the block alone. Nothing earlier can cover them, so the new leaders are final. One
-   distributed pass then drops every undecided point that a new leader covers. Repeat until no
-   point is undecided. A group of copies that holds a third of all rows goes in one such pass.
-2. *Members.* Every point scans the leaders before it in order and keeps the best one: leaders go
-   out in groups of bounded size and the running best travels with the point.
+1. One task applies the rule among them. Nothing earlier can cover them, so its leaders are final.
+2. The new leaders are dealt to every part of the points after them, each of which streams past
+   its copy of the leaders and keeps its best one so far.
 
-Work is points x leaders x dimensions, the same as the sequential rule; the only shuffle is the
-range partitioning that establishes the order.
+A covered point never comes up again, so a group of copies that holds a third of all rows goes in one
+round. There are at most as many rounds, of three jobs each, as the points fill partitions of
+``block`` rows; how many of the points become leaders does not add jobs. Work is points x leaders x
+dimensions, the same as the sequential rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.operators.ordering import order_ids
-from sigmill.session import cut, discard, scratch_dir
+from sigmill.session import scratch_dir
 
 DEFAULT_THRESHOLD = 0.88
 
-# Size bounds of what leaves the executors: one block of points, one group of leaders.
+# Size bounds of what one task holds: a block of points, a group of leaders.
 BLOCK_BYTES = 64 << 20
 GROUP_BYTES = 128 << 20
 MAX_BLOCK_ROWS = 16384
-# Leader groups scanned in one job before the running best is written down.
-GROUPS_PER_JOB = 4
+# Points that stream past one copy of the leaders, at least, where there are enough of them.
+POINTS_PER_PART = 50_000
 
 # Similarities closer than this are one value: matrix products of different shapes may differ in
 # the last bits, and both phases must agree on who reaches the threshold.
@@ -88,90 +88,147 @@ def _block_leaders(vectors: np.ndarray, threshold: float, strip_rows: int = 512)
     return np.asarray(chosen, dtype=np.int64)
 
 
-def _drop_covered(undecided: DataFrame, leaders: np.ndarray, threshold: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                hit = _covered(_unit_rows(batch.column("vector")), leaders, threshold)
-                yield batch.filter(pa.array(~hit))
-
-    return undecided.mapInArrow(run, undecided.schema)
-
-
 def block_rows(dim: int) -> int:
     return max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * max(dim, 1))))
 
 
-def _bounded_rows(vectors: DataFrame, bound: Callable[[int], int]) -> int:
+def group_rows_of(dim: int) -> int:
+    return max(1, GROUP_BYTES // (8 * max(dim, 1)))
+
+
+def _dim(vectors: DataFrame) -> int:
     first = vectors.select(F.size("vector").alias("dim")).take(1)
-    return bound(first[0]["dim"]) if first else 1
+    return first[0]["dim"] if first else 1
 
 
-def find_leaders(points: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
-    """Leaders among ``(seq, id, vector)`` points, as a written table of the same columns."""
-    spark = points.sparkSession
-    out = scratch_dir(spark, "leaders")
-    undecided, round_no = points, 0
-    rows = block or _bounded_rows(points, block_rows)
-    while True:
-        # The block's end is found from the order column alone; its vectors are then read through
-        # a range filter that skips every later row group. Bounded by `rows`, this is the only
-        # point data that ever reaches the driver.
-        ends = undecided.select("seq").orderBy("seq").limit(rows).agg(F.max("seq").alias("last"), F.count("seq").alias("n"))
-        last, n = ends.first()
-        head = undecided.filter(F.col("seq") <= F.lit(last)).orderBy("seq").toArrow()
-        vectors = _unit_rows(head.column("vector"))
-        picks = _block_leaders(vectors, threshold)
-        spark.createDataFrame(head.take(pa.array(picks))).write.parquet(f"{out}/round={round_no:06d}")
-        round_no += 1
-        if n < rows:
-            break
-        rest = cut(_drop_covered(undecided.filter(F.col("seq") > last), vectors[picks], threshold), "undecided")
-        if undecided is not points:
-            discard(undecided)
-        undecided = rest
-    return spark.read.schema(points.schema).parquet(out).select(*points.columns)
+def _rule(threshold: float):
+    """The leaders of one ordered block, which a single task holds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            block = pa.Table.from_batches(held).combine_chunks()
+            picks = _block_leaders(_unit_rows(block.column("vector")), threshold)
+            yield from block.take(pa.array(picks)).combine_chunks().to_batches()
+
+    return run
+
+
+def _improve(
+    points: np.ndarray, at: np.ndarray, leaders: np.ndarray, leader_at: np.ndarray, best: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Best similarity so far and the position of a leader that reaches it, -1 where none does.
+
+    Only leaders before the point count; among equal ones the latest wins. ``leader_at`` is sorted.
+    """
+    best, choice = best.copy(), np.full(len(points), -1, dtype=np.int64)
+    usable = int(np.searchsorted(leader_at, at.max()))
+    for start in range(0, usable, _COLS):
+        cols = slice(start, min(start + _COLS, usable))
+        for lo in range(0, len(points), _ROWS):
+            r = slice(lo, lo + _ROWS)
+            sims = points[r] @ leaders[cols].T
+            sims[leader_at[cols][None, :] >= at[r][:, None]] = -np.inf
+            top = sims.max(axis=1)
+            near = sims >= top[:, None] - EPSILON
+            latest = near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
+            better = top >= best[r] - EPSILON
+            best[r] = np.where(better, np.maximum(top, best[r]), best[r])
+            choice[r] = np.where(better, latest + start, choice[r])
+    return best, choice
+
+
+def _past_leaders(threshold: float):
+    """Rows sorted by (share, mark, seq): each share's leaders (mark 0), then its points, which stream by."""
 
-def _best_in_group(
-    state: DataFrame, seqs: np.ndarray, ids: pa.Array, leaders: np.ndarray, threshold: float
-) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, held = None, []
+        seqs, ids, leaders = np.empty(0, np.int64), None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            point_seq = batch.column("seq").to_numpy()
-            points = _unit_rows(batch.column("vector"))
-            best = batch.column("similarity").to_numpy(zero_copy_only=False).astype(np.float64)
-            best = np.where(np.isnan(best), threshold, best)
-            choice = np.full(len(points), -1, dtype=np.int64)
-            # Leaders are sorted by seq, so later ones than the batch are never multiplied.
-            usable = int(np.searchsorted(seqs, point_seq.max()))
-            for start in range(0, usable, _COLS):
-                cols = slice(start, min(start + _COLS, usable))
-                for lo in range(0, len(points), _ROWS):
-                    r = slice(lo, lo + _ROWS)
-                    sims = points[r] @ leaders[cols].T
-                    sims[seqs[cols][None, :] >= point_seq[r][:, None]] = -np.inf
-                    top = sims.max(axis=1)
-                    near = sims >= top[:, None] - EPSILON
-                    latest = near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
-                    better = top >= best[r] - EPSILON
-                    best[r] = np.where(better, np.maximum(top, best[r]), best[r])
-                    choice[r] = np.where(better, latest + start, choice[r])
-            found = choice >= 0
-            pick = pa.array(np.where(found, choice, 0), mask=~found)
-            new_id = pc.coalesce(ids.take(pick), batch.column("leader_id"))
-            had = batch.column("leader_id").is_valid().to_numpy(zero_copy_only=False)
-            sims_out = pa.array(best, mask=~(found | had))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in batch.schema.names if c not in ("leader_id", "similarity")]
-                + [new_id, sims_out],
-                names=[c for c in batch.schema.names if c not in ("leader_id", "similarity")]
-                + ["leader_id", "similarity"],
-            )
-
-    return state.mapInArrow(run, state.schema)
+            shares = batch.column("share").to_numpy()
+            marks = batch.column("mark").to_numpy()
+            edges = np.flatnonzero((shares[1:] != shares[:-1]) | (marks[1:] != marks[:-1])) + 1
+            bounds = [0, *edges.tolist(), batch.num_rows]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if shares[lo] != share:
+                    share, held, leaders = shares[lo], [], None
+                if marks[lo] == 0:
+                    held.append(part)
+                    leaders = None
+                    continue
+                if held and leaders is None:
+                    group = pa.Table.from_batches(held).combine_chunks()
+                    seqs, ids = group.column("seq").to_numpy(), group.column("id").combine_chunks()
+                    leaders = _unit_rows(group.column("vector"))
+                if not held:
+                    yield part
+                    continue
+                best = part.column("similarity").to_numpy(zero_copy_only=False).astype(np.float64)
+                best = np.where(np.isnan(best), threshold, best)
+                best, choice = _improve(_unit_rows(part.column("vector")), part.column("seq").to_numpy(), leaders, seqs, best)
+                found = choice >= 0
+                chosen = pc.coalesce(ids.take(pa.array(np.where(found, choice, 0), mask=~found)), part.column("leader_id"))
+                had = part.column("leader_id").is_valid().to_numpy(zero_copy_only=False)
+                new = {"leader_id": chosen, "similarity": pa.array(best, mask=~(found | had))}
+                names = part.schema.names
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names=names)
+
+    return run
+
+
+def _matched(points: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """Points with ``leader_id, similarity`` brought up to date by the leaders of their share.
+
+    Both carry ``share``.
+    """
+    blank = [F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c not in ("seq", "id", "vector", "share")]
+    heads = leaders.select("share", "seq", "id", "vector", *blank).select(*points.columns).withColumn("mark", F.lit(0))
+    both = heads.unionByName(points.withColumn("mark", F.lit(1)))
+    dealt = both.repartition("share").sortWithinPartitions("share", "mark", "seq")
+    return dealt.mapInArrow(_past_leaders(threshold), dealt.schema).drop("mark")
+
+
+def _shares(n: int) -> int:
+    return max(1, -(-n // POINTS_PER_PART))
+
+
+def resolve(points: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
+    """``points`` (``seq, id, vector`` and more) with the nearest leader before each: ``leader_id, similarity``.
+
+    A point without one is a leader itself. ``points`` must be a written table.
+    """
+    spark = points.sparkSession
+    id_type = points.schema["id"].dataType.simpleString()
+    rows = block or block_rows(_dim(points))
+    out = scratch_dir(spark, "leaders")
+    state = points.withColumn("leader_id", F.lit(None).cast(id_type)).withColumn("similarity", F.lit(None).cast("double"))
+    schema, done = state.schema, []
+    for round_no in range(1 << 62):
+        # Order numbers only: where the first ``rows`` uncovered points end.
+        open_ = state.filter("leader_id IS NULL").select("seq").orderBy("seq").limit(rows)
+        first, last = open_.agg(F.min("seq"), F.max("seq")).first()
+        if first is None:
+            done.append(state)
+            break
+        path = f"{out}/round={round_no:06d}"
+        head = state.filter((F.col("seq") <= last) & F.col("leader_id").isNull()).select("seq", "id", "vector")
+        head.coalesce(1).sortWithinPartitions("seq").mapInArrow(_rule(threshold), head.schema).write.parquet(f"{path}/leaders")
+        leaders = spark.read.schema(head.schema).parquet(f"{path}/leaders")
+        n = _shares(state.count())
+        share = F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int")
+        spread = leaders.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        moved = _matched(state.withColumn("share", share), spread, threshold).drop("share")
+        moved.withColumn("final", F.col("seq") <= last).write.partitionBy("final").parquet(f"{path}/points")
+        both = spark.read.schema(moved.withColumn("final", F.lit(True)).schema).parquet(f"{path}/points").select(*[f.name for f in schema], "final")
+        done.append(both.filter("final").drop("final"))
+        state = both.filter("NOT final").drop("final")
+    result = done[0]
+    for part in done[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def nearest_leaders(
@@ -179,28 +236,38 @@ def nearest_leaders(
 ) -> DataFrame:
     """Most similar leader before each point, if it reaches the threshold: adds ``leader_id, similarity``.
 
-    Both sides hold ``(seq, id, vector)``; other columns of the points stay. Among equally
-    similar leaders the latest wins.
+    Both sides hold ``(seq, id, vector)``, ``seq`` unique on either; other columns of the points stay.
+    Among equally similar leaders the latest wins. Leaders are cut into groups by order number, every
+    point meets the groups that begin before it, all in one job, and its best of each are folded.
     """
     id_type = points.schema["id"].dataType.simpleString()
-    state = points.withColumn("leader_id", F.lit(None).cast(id_type)).withColumn(
-        "similarity", F.lit(None).cast("double")
+    per_group = group_rows or group_rows_of(_dim(leaders))
+    groups = max(1, -(-leaders.count() // per_group))
+    cuts = leaders.approxQuantile("seq", [i / groups for i in range(1, groups)], 0.0) if groups > 1 else []
+    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
+    group = F.size(F.filter(bounds, lambda b: b < F.col("seq")))
+    n = _shares(points.count())
+    part = F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int")
+    met = points.select("seq", "id", "vector").withColumn("g", F.explode(F.sequence(F.lit(0), group))).withColumn("share", F.col("g") * n + part)
+    met = met.withColumn("leader_id", F.lit(None).cast(id_type)).withColumn("similarity", F.lit(None).cast("double"))
+    dealt = leaders.select("seq", "id", "vector").withColumn(
+        "share", F.explode(F.sequence(group * n, group * n + F.lit(n - 1)))
+    )
+    found = _matched(met, dealt, threshold).filter("leader_id IS NOT NULL")
+    # At most one entry per leader group.
+    each = found.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("g", "similarity", "leader_id"))).alias("each"))
+    start = F.struct(F.lit(float(threshold)).alias("similarity"), F.lit(None).cast(id_type).alias("leader_id"))
+    best = F.aggregate(
+        "each",
+        start,
+        lambda acc, x: F.when(
+            x["similarity"] >= acc["similarity"] - EPSILON,
+            F.struct(F.greatest(x["similarity"], acc["similarity"]).alias("similarity"), x["leader_id"].alias("leader_id")),
+        ).otherwise(acc),
+    )
+    return points.drop("vector").join(each.select("seq", best.alias("best")), "seq", "left").select(
+        *[c for c in points.columns if c != "vector"], "best.leader_id", "best.similarity"
     )
-    group_rows = group_rows or _bounded_rows(leaders, lambda dim: max(1, GROUP_BYTES // (8 * max(dim, 1))))
-    after, done = -1, 0
-    while True:
-        group = leaders.filter(F.col("seq") > after).orderBy("seq").limit(group_rows).toArrow()
-        if group.num_rows == 0:
-            break
-        seqs = group.column("seq").to_numpy()
-        ids = group.column("id").combine_chunks()
-        state = _best_in_group(state, seqs, ids, _unit_rows(group.column("vector")), threshold)
-        after, done = int(seqs[-1]), done + 1
-        if group.num_rows < group_rows:
-            break
-        if done % GROUPS_PER_JOB == 0:
-            state = cut(state, "nearest")
-    return state.drop("vector")
 
 
 def leader_clusters(
@@ -210,7 +277,6 @@ def leader_clusters(
     order: Sequence[str],
     threshold: float = DEFAULT_THRESHOLD,
     block: int | None = None,
-    group_rows: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Cluster assignment of every point that has a vector: ``id, seq, cluster_id, similarity``.
@@ -228,8 +294,6 @@ def leader_clusters(
         *keep,
     )
     ordered = order_ids(base, [f"_o{i}" for i in range(len(keys))]).select("seq", "id", "vector", *keep)
-    leaders = find_leaders(ordered.select("seq", "id", "vector"), threshold, block)
-    nearest = nearest_leaders(ordered, leaders, threshold, group_rows)
-    return nearest.select(
+    return resolve(ordered, threshold, block).select(
         "id", "seq", F.coalesce("leader_id", "id").alias("cluster_id"), "similarity", *keep
     )

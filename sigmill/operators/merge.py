@@ -34,7 +34,8 @@ def insert_if_absent(
 def get_or_create(stored: DataFrame, names: DataFrame, name_col: str) -> DataFrame:
     """``(id, name)`` for every name: the stored id, or the id its natural key gives."""
     wanted = names.select(name_col).distinct()
-    return wanted.join(stored.select("id", name_col), name_col, "left").select(
+    known = stored.groupBy(name_col).agg(F.min("id").alias("id"))
+    return wanted.join(known, name_col, "left").select(
         F.coalesce("id", natural_id(F.col(name_col))).alias("id"), name_col
     )
 
@@ -67,18 +68,21 @@ def upsert_last_wins(
     return updated.unionByName(inserted)
 
 
-def update_keyed(stored: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:
+def update_keyed(
+    stored: DataFrame, changes: DataFrame, key: str, strict: bool = False, order: Sequence[str] = ()
+) -> DataFrame:
     """Set the columns ``changes`` carries on the rows it names; NULL is a value like any other.
 
-    ``changes`` holds one row per key. ``strict`` makes an unknown key an error, otherwise it is
+    Of several changes of one key the last in ``order`` holds, or the greatest where none is given, so no
+    stored row is ever repeated. Order columns that the table lacks are not set. ``strict`` makes an unknown key an error, otherwise it is
     ignored.
     """
     if strict:
         unknown = not_stored(changes, stored, [key]).select(key).take(1)
         if unknown:
             raise UnknownKeyError(f"unknown {key}: {unknown[0][0]}")
-    columns = [c for c in changes.columns if c != key]
-    marked = changes.select(key, F.struct(*columns).alias("_new"))
+    columns = [c for c in changes.columns if c != key and (c not in order or c in stored.columns)]
+    marked = changes.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*(order or columns))).alias("_new"))
     joined = stored.join(marked, key, "left")
     return joined.select(
         *[
@@ -117,8 +121,8 @@ def set_inactive(stored: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def fill_missing(stored: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """Fill NULL cells only; a second run finds nothing to do."""
-    new = values.select(key, F.col(column).alias("_fill"))
+    """Fill NULL cells only; a second run finds nothing to do. Of several values of a key the least is used."""
+    new = values.groupBy(key).agg(F.min(column).alias("_fill"))
     return stored.join(new, key, "left").select(
         *[F.coalesce(column, "_fill").alias(column) if c == column else F.col(c) for c in stored.columns]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
 from sigmill.operators import merge
+from sigmill.operators.dedup import keep_one
 
 # Fixed values.
 PROVIDER_KINDS = ("fake", "openai_compat")
@@ -33,8 +34,11 @@ def active(providers: DataFrame) -> DataFrame:
 
 
 def add(providers: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows to append; a name that exists is left out (it is changed by ``update``)."""
-    clean = new.withColumns({c: tx.strip(c) for c in ("name", "base_url", "model")})
+    """Rows to append; a name that exists is left out (it is changed by ``update``).
+
+    Names that are one once blanks are cut off give one row.
+    """
+    clean = keep_one(new.withColumns({c: tx.strip(c) for c in ("name", "base_url", "model")}), ["name"])
     return clean.join(providers.select("name"), "name", "left_anti").select(*new.columns)
 
 

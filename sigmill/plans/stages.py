@@ -144,8 +144,12 @@ def cluster(
     threshold: float = DEFAULT_THRESHOLD,
     order: Sequence[str] = ("created_at", "id"),
 ) -> Clustered:
-    """A full recompute of the partition. Scores of the old partition are dropped with it."""
+    """A full recompute of the partition. A pain without a vector is in no cluster; it is counted as waiting.
+
+    Cluster ids name the leader and may come back, so the scores of the old partition must go: ``recompute``.
+    """
     kinds = post.select(F.col("id").alias("raw_post_id"), "kind")
+    waiting = pain.filter("embedding IS NULL").join(kinds, "raw_post_id", "left_semi")
     # Written down once: assignment, clusters and counters are all read from it.
     members = cut(
         leader_clusters(pain.join(kinds, "raw_post_id"), "id", "embedding", order, threshold, keep=("kind",)), "members"
@@ -167,9 +171,29 @@ def cluster(
         (F.coalesce(F.sum("size"), F.lit(0)) - F.count(F.lit(1))).alias("clusters_merged"),
         F.count_if(F.col("size") == 1).alias("singletons"),
     )
+    counters = side_by_side(counters, waiting.agg(F.count(F.lit(1)).alias("without_vector")))
     return Clustered(members.select("id", "cluster_id", "similarity"), clusters, counters)
 
 
+class Recomputed(NamedTuple):
+    assignment: DataFrame
+    clusters: DataFrame
+    scores: DataFrame
+    counters: DataFrame
+
+
+def recompute(
+    pain: DataFrame, post: DataFrame, score: DataFrame, now: Column, threshold: float = DEFAULT_THRESHOLD
+) -> Recomputed:
+    """``cluster`` with its cascade: the clusters replace the old ones and no score outlives them.
+
+    ``scores`` is the next state of the score table, which is empty; every cluster waits for a new score.
+    """
+    found = cluster(pain, post, now, threshold)
+    gone = score.agg(F.count(F.lit(1)).alias("scores_dropped"))
+    return Recomputed(found.assignment, found.clusters, score.limit(0), side_by_side(found.counters, gone))
+
+
 def unscored_clusters(cluster: DataFrame, score: DataFrame) -> DataFrame:
     return cluster.join(score.select(F.col("cluster_id").alias("id")), "id", "left_anti")
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.operators.dedup import keep_one, not_stored
 from sigmill.operators.merge import UnknownKeyError
-from sigmill.operators.ordering import with_previous, with_rank_in_group
+from sigmill.operators.ordering import with_rank_in_group
 from sigmill.schemas import natural_id
 
 
@@ -34,10 +35,13 @@ def version(versions: DataFrame, name: str, number: int) -> DataFrame:
 def next_versions(versions: DataFrame, bodies: DataFrame, order: Sequence[str], now: Column, source: str = "ui") -> DataFrame:
     """Rows to append for new ``(name, body, *order)``: versions continue from the highest stored.
 
-    Several new bodies of one name are numbered in ``order``.
+    Several new bodies of one name are numbered in ``order``, which must tell them apart.
     """
     top = versions.groupBy("name").agg(F.max("version").alias("_top"))
-    numbered = with_rank_in_group(bodies, "name", order)
+    # Ranks are worked out on the order columns alone; the bodies are joined to them once.
+    keys = ["name", *[c for c in order if c != "body"]]
+    ranks = with_rank_in_group(bodies.select(*keys, *(["body"] if "body" in order else [])), "name", order)
+    numbered = ranks if "body" in order else bodies.join(ranks, keys)
     number = (F.coalesce("_top", F.lit(0)) + F.col("rank")).cast("int")
     return numbered.join(top, "name", "left").select(
         natural_id(F.col("name"), number).alias("id"),
@@ -57,21 +61,32 @@ def rollback(versions: DataFrame, name: str, number: int, now: Column) -> DataFr
     return next_versions(versions, target.select("name", "body"), ["body"], now)
 
 
-def register(versions: DataFrame, shipped: DataFrame) -> DataFrame:
-    """Rows to append for shipped ``(name, version, body, ...)``; a stored body never changes."""
-    return shipped.join(versions.select("name", "version"), ["name", "version"], "left_anti")
+def register(versions: DataFrame, shipped: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Rows to append for shipped ``(name, version, body, ...)``; a stored body never changes.
+
+    A version shipped twice is one row, the first in ``order`` (by its other columns where no order is given).
+    """
+    keys = ["name", "version"]
+    return not_stored(keep_one(shipped, keys, order), versions, keys, offered=shipped)
 
 
-def seed(versions: DataFrame, shipped: DataFrame) -> DataFrame:
+def seed(versions: DataFrame, shipped: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Like ``register``, but a name with any version at all is left alone."""
-    return shipped.join(versions.select("name"), "name", "left_anti").select(*shipped.columns)
+    once = keep_one(shipped, ["name", "version"], order)
+    return not_stored(once, versions, ["name"], offered=shipped).select(*shipped.columns)
 
 
 def line_delta(versions: DataFrame) -> DataFrame:
-    """Lines each version adds to and drops from the version before it, as sets."""
-    paired = with_previous(versions, "name", ["version"], ["version", "body"])
+    """Lines each version adds to and drops from the version before it, as sets.
+
+    Versions of a name are consecutive, so the one before is found by its number: no order is built.
+    """
+    before = versions.select(
+        "name", F.col("version").alias("previous_version"), (F.col("version") + 1).alias("version"), F.col("body").alias("previous_body")
+    )
+    paired = versions.join(before, ["name", "version"])
     new, old = F.split("body", "\n"), F.split("previous_body", "\n")
-    return paired.filter("previous_version IS NOT NULL").select(
+    return paired.select(
         "name",
         "version",
         "previous_version",

@@ -74,7 +74,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/sigmill-{purpose}-{uuid.uuid4().hex}"
 
 
-
 def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
     """The frame written down in the shared folder and read back.
 
@@ -94,13 +93,3 @@ def discard(df: DataFrame) -> None:
         if "/sigmill-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy row work on an input that arrives in fewer splits than cores.
-
-    One small file is one split. A large input already has more splits than cores and is returned
-    as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

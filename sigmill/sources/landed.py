@@ -18,6 +18,7 @@ from sigmill.functions import text as tx
 from sigmill.functions import urls
 from sigmill.functions.expr import with_once
 from sigmill.operators.dedup import keep_first
+from sigmill.session import cut
 
 POST_COLUMNS = ("url_canon", "url", "title", "body", "kind", "published_at", "suspect_short")
 
@@ -174,8 +175,9 @@ def gather(
 ) -> tuple[DataFrame, dict[str, str]]:
     """Union of the landed posts of every enabled source, each tagged with its source row.
 
-    One failing or unknown source contributes no rows and one warning; the others still deliver.
-    The registry is a short operator-kept list, so its names are read on the driver.
+    One failing or unknown source contributes no rows and one warning; the others still deliver. Each
+    source is read whole and written down by itself, so a break anywhere in it is met here and not in the
+    joint job. The registry is a short operator-kept list, so its names are read on the driver.
     """
     warnings: dict[str, str] = {}
     posts: DataFrame | None = None
@@ -185,10 +187,9 @@ def gather(
             warnings[row["name"]] = "no reader registered"
             continue
         try:
-            one = reader()
-            one.limit(1).count()  # surfaces an unreadable input here, not in the joint job
+            one = cut(reader().select("seq", *POST_COLUMNS), "gathered")
         except Exception as error:  # per-source isolation
-            warnings[row["name"]] = f"{type(error).__name__}: {error}"
+            warnings[row["name"]] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
             continue
         tagged = one.select(
             F.lit(row["id"]).alias("source_id"), F.lit(row["name"]).alias("source_name"), "seq", *POST_COLUMNS

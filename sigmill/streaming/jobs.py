@@ -14,35 +14,29 @@ from sigmill.operators.dedup import keep_first
 from sigmill.plans.tables import append_new
 
 
-def canonical_posts(landed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Landed posts with their canonical URL; repeats landed within ``delay`` are dropped early.
+def canonical_posts(landed: DataFrame) -> DataFrame:
+    """Landed posts with their canonical URL. Repeats stay: which of them is the first is decided per batch."""
+    return with_once(landed, "url_canon", urls.canonical_url("url")).filter("url_canon IS NOT NULL")
 
-    The watermark runs on landing time: an old post that lands today is not late.
-    """
-    return (
-        with_once(landed, "url_canon", urls.canonical_url("url"))
-        .filter("url_canon IS NOT NULL")
-        .withColumn("landed_at", F.current_timestamp())
-        .withWatermark("landed_at", delay)
-        .dropDuplicatesWithinWatermark(["url_canon"])
-    )
+
+def first_posts(landed: DataFrame, order: Sequence[str] = ("published_at", "url")) -> DataFrame:
+    """One batch of posts, the first in ``order`` of each canonical URL."""
+    return keep_first(canonical_posts(landed), ["url_canon"], order)
 
 
 def collect_stream(
-    landed: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("published_at", "url"), buckets: int = 64
+    landed: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("published_at", "url"), buckets: int | None = None
 ) -> DataStreamWriter:
     """Continuous collect into an append table with a global unique canonical URL.
 
-    The watermark only bounds the stream's state; each batch is also checked against the stored
-    table, so a late repeat is still one row. A replayed batch appends nothing.
+    Of a batch's repeats the first in ``order`` stays; one that is stored already stays whatever comes
+    later. The stream keeps no state of its own. A replayed batch appends nothing.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        append_new(keep_first(batch, ["url_canon"], order), table, "url_canon", buckets)
+        append_new(first_posts(batch, order), table, "url_canon", buckets)
 
-    return (
-        canonical_posts(landed).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    )
+    return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:

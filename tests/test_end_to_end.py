@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigmill import schemas
 from sigmill.operators import encode, prompts
+from workload.base import trigram_encoder
 from sigmill.plans import ledger, reports, stages, tables
 from sigmill.sources import landed
 
@@ -75,7 +76,7 @@ def test_stages_in_a_row(spark, rows):
         prices = spark.createDataFrame([("m",)], "model string").withColumn("price_per_mtok", F.lit("1").cast("decimal(12,4)"))
         extracted = stages.extract(pending, answers, prices, "v1", now(day))
         counts |= extracted.counters.select("extracted", "cost_micro").first().asDict()
-        with_vectors = encode.backfill_embeddings(pain.unionByName(extracted.pains), lambda: encode.trigram_encoder(schemas.EMBEDDING_DIM))
+        with_vectors = encode.backfill_embeddings(pain.unionByName(extracted.pains), lambda: trigram_encoder(schemas.EMBEDDING_DIM))
         good, bad = schemas.split_valid(with_vectors, schemas.pain_rules())
         assert bad.isEmpty()
         tables.publish(good, "e2e_pain", "id", 2)

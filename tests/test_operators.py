@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmill.operators import containment, dedup, merge, ordering, prompts
-from sigmill.operators.encode import backfill_embeddings, encode_texts, trigram_encoder
-from sigmill.operators.leaders import leader_clusters
+from sigmill.operators.encode import backfill_embeddings, encode_texts
+from sigmill.operators.leaders import leader_clusters, nearest_leaders
+from workload.base import trigram_encoder
 
 
 def sequential(vectors, threshold):
@@ -47,8 +48,23 @@ def test_leaders_equal_the_sequential_rule(spark, seed):
     threshold = [0.88, 0.6, 0.3][seed % 3]
     wanted = sequential(points, threshold)
     assert clustered(spark, points, threshold) == wanted
-    # Small blocks and groups: many rounds, many leader groups.
-    assert clustered(spark, points, threshold, block=7, group_rows=3) == wanted
+    # Small blocks: many rounds.
+    assert clustered(spark, points, threshold, block=7) == wanted
+
+
+def test_leaders_over_many_shares(spark, monkeypatch):
+    from sigmill.operators import leaders as module
+
+    monkeypatch.setattr(module, "POINTS_PER_PART", 9)
+    rng = np.random.default_rng(17)
+    points = rng.normal(size=(70, 5))
+    wanted = sequential(points, 0.7)
+    assert clustered(spark, points, 0.7, block=20) == wanted
+    # The same leaders, given in groups of three, are found again.
+    frame = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(points)], "seq bigint, id bigint, vector array<float>")
+    heads = frame.filter(F.col("id").isin(sorted(set(wanted))))
+    found = nearest_leaders(frame, heads, 0.7, group_rows=3).orderBy("seq").collect()
+    assert [i if r["leader_id"] is None else r["leader_id"] for i, r in enumerate(found)] == wanted
 
 
 def test_drift_regime_keeps_two_clusters(spark):
@@ -78,7 +94,7 @@ def test_no_vectors_and_bad_threshold(spark):
         leader_clusters(empty, "id", "v", ["id"], threshold=0.0)
 
 
-def test_contained_phrases_both_ways(spark, rows):
+def test_contained_phrases(spark, rows, monkeypatch):
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abc é"), size=n)) for n in rng.integers(0, 60, 60)]
     phrases = sorted({t[i : i + n] for t in texts[:20] for i, n in ((0, 1), (2, 3), (5, 17), (1, 30))} - {""}) + ["zzz", "b"]
@@ -86,7 +102,8 @@ def test_contained_phrases_both_ways(spark, rows):
     phrase_frame = spark.createDataFrame([*enumerate(phrases), (999, "")], "pos bigint, phrase string")
     wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
     assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
-    assert rows(containment.contained_phrases(text_frame, phrase_frame, max_chars=0, salts=3)) == wanted
+    monkeypatch.setattr(containment, "WINDOW_CHARS", 8)
+    assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
     capped = rows(containment.first_matches(containment.contained_phrases(text_frame, phrase_frame), 3), "id", "pos")
     per_text: dict = {}
     for i, j in sorted(wanted):

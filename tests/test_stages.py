@@ -21,16 +21,17 @@ def at(text):
 
 @pytest.fixture(scope="module")
 def seed(spark):
-    """Five clusters: four scored, one old, one without a score."""
+    """Six clusters over three feeds, among them a tie in score, a hidden one and one without a score."""
     source = spark.createDataFrame(
-        [("s1", "alpha", True), ("s2", "beta", True), ("s3", "idle", False)], "id string, name string, enabled boolean"
-    ).withColumn("rate_limit_rps", F.lit(1).cast("decimal(4,2)"))
+        [("f1", "north", True), ("f2", "south", True), ("f3", "east", False), ("f4", "quiet", True)], "id string, name string, enabled boolean"
+    ).withColumn("rate_limit_rps", F.lit(2).cast("decimal(4,2)"))
     spec = [  # id, total, kinds, sources of its pains, created_at, feedback
-        ("c1", 9.0, {"demand": 2}, ["s1", "s2"], datetime(2026, 1, 5), None),
-        ("c2", 5.0, {"complaint": 1}, ["s2"], datetime(2026, 1, 5, 23, 59), None),
-        ("c3", 1.5, {"discussion": 1}, ["s1"], datetime(2026, 1, 1), "interesting"),
-        ("c4", None, {"demand": 1}, ["s1"], datetime(2026, 1, 6), None),
-        ("c5", 4.0, {"demand": 1, "complaint": 1}, ["s1", "s1"], datetime(2026, 1, 6), "hidden"),
+        ("k1", 7.25, {"complaint": 2, "discussion": 1}, ["f1", "f3", "f3"], datetime(2026, 3, 2, 8), None),
+        ("k2", 7.25, {"demand": 4}, ["f2", "f2", "f1", "f1"], datetime(2026, 3, 4), "interesting"),
+        ("k3", 8.6, {"demand": 1}, ["f1"], datetime(2026, 3, 3, 23, 59, 59), "hidden"),
+        ("k4", 0.0, {"discussion": 2}, ["f2", "f3"], datetime(2026, 3, 3), None),
+        ("k5", 3.4, {"complaint": 1}, ["f3"], datetime(2026, 2, 11), None),
+        ("k6", None, {"demand": 1, "discussion": 1}, ["f1", "f2"], datetime(2026, 3, 5), None),
     ]
     clusters, scores, posts, pains = [], [], [], []
     for cid, total, kinds, sources, created, feedback in spec:
@@ -60,29 +61,34 @@ def ranked(seed, filters=reports.ClusterFilters(), include_hidden=False):
 
 
 def test_ranking(seed):
-    assert ranked(seed) == [("c1", ["alpha", "beta"]), ("c2", ["beta"]), ("c3", ["alpha"]), ("c4", ["alpha"])]
-    assert [c for c, _ in ranked(seed, include_hidden=True)] == ["c1", "c2", "c5", "c3", "c4"]
+    order = ranked(seed)
+    assert {c for c, _ in order[:2]} == {"k1", "k2"} and [c for c, _ in order[2:]] == ["k5", "k4", "k6"]
+    assert dict(order) == {"k1": ["east", "north"], "k2": ["north", "south"], "k4": ["east", "south"], "k5": ["east"], "k6": ["north", "south"]}
+    assert [c for c, _ in ranked(seed, include_hidden=True)][0] == "k3"
 
 
 @pytest.mark.parametrize(
     ("filters", "wanted"),
     [
-        (reports.ClusterFilters(kinds=frozenset({"complaint", "discussion"})), ["c2", "c3"]),
-        (reports.ClusterFilters(sources=frozenset({"beta"})), ["c1", "c2"]),
-        (reports.ClusterFilters(min_score=5.0), ["c1", "c2"]),
-        (reports.ClusterFilters(from_date=date(2026, 1, 5), to_date=date(2026, 1, 5)), ["c1", "c2"]),
-        (reports.ClusterFilters(sources=frozenset({"alpha"}), kinds=frozenset({"demand"}), min_score=0.0), ["c1"]),
-        (reports.ClusterFilters(sources=frozenset({"nobody"})), []),
+        (reports.ClusterFilters(kinds=frozenset({"complaint"})), {"k1", "k5"}),
+        (reports.ClusterFilters(kinds=frozenset({"complaint", "demand"})), {"k1", "k2", "k5", "k6"}),
+        (reports.ClusterFilters(sources=frozenset({"south"})), {"k2", "k4", "k6"}),
+        (reports.ClusterFilters(min_score=3.4), {"k1", "k2", "k5"}),
+        (reports.ClusterFilters(min_score=0.0), {"k1", "k2", "k4", "k5"}),
+        (reports.ClusterFilters(from_date=date(2026, 3, 3), to_date=date(2026, 3, 4)), {"k2", "k4"}),
+        (reports.ClusterFilters(to_date=date(2026, 2, 28)), {"k5"}),
+        (reports.ClusterFilters(sources=frozenset({"east", "south"}), kinds=frozenset({"discussion"}), min_score=0.0), {"k1", "k4"}),
+        (reports.ClusterFilters(sources=frozenset({"quiet"})), set()),
     ],
 )
 def test_ranking_filters(seed, filters, wanted):
-    assert [c for c, _ in ranked(seed, filters)] == wanted
+    assert {c for c, _ in ranked(seed, filters)} == wanted
 
 
 def test_card(seed, rows):
-    head, members = reports.cluster_card("c1", seed["cluster"], seed["score"], seed["members"], seed["post"], seed["source"])
-    assert rows(head, "id", "rationale_md") == [("c1", "why")]
-    assert rows(members, "id", "source_name") == [("pain-c1-0", "alpha"), ("pain-c1-1", "beta")]
+    head, members = reports.cluster_card("k4", seed["cluster"], seed["score"], seed["members"], seed["post"], seed["source"])
+    assert rows(head, "id", "rationale_md") == [("k4", "why")]
+    assert rows(members, "id", "source_name") == [("pain-k4-0", "south"), ("pain-k4-1", "east")]
     missing, _ = reports.cluster_card("zz", seed["cluster"], seed["score"], seed["members"], seed["post"], seed["source"])
     assert missing.isEmpty()
 
@@ -262,32 +268,32 @@ def test_cluster_stage(spark, rows):
     assert rows(out.assignment, "id", "cluster_id") == [("a", "a"), ("b", "a"), ("c", "c")]
     assert rows(out.clusters, "id", "title", "size", "kind_mix") == sorted(
         [("a", "cluster complaint", 2, {"demand": 1, "complaint": 1}), ("c", "cluster demand", 1, {"demand": 1})], key=repr)
-    assert rows(out.counters) == [(3, 2, 1, 1)]
+    assert rows(out.counters) == [(3, 2, 1, 1, 1)]
 
 
 def test_score_and_validate_stages(spark, seed, rows):
     answers = spark.createDataFrame(
-        [("c4", json.dumps({"score": 55, "rationale_md": "r", "quotes": ["body c4"]})), ("c1", "{}")], "cluster_id string, answer string")
+        [("k6", json.dumps({"score": 55, "rationale_md": "r", "quotes": ["body k6"]})), ("k1", "{}")], "cluster_id string, answer string")
     todo = stages.unscored_clusters(seed["cluster"], seed["score"])
     scored = stages.score(todo, answers, seed["members"], at("2026-01-09"))
-    assert rows(scored.scores.withColumn("t", F.col("total").cast("string")), "cluster_id", "t") == [("c4", "5.50")]
+    assert rows(scored.scores.withColumn("t", F.col("total").cast("string")), "cluster_id", "t") == [("k6", "5.50")]
     assert rows(scored.counters) == [(1, 1, 0, 0)]
 
     checks = spark.createDataFrame(
-        [("x", "c1", "old", 5, datetime(2026, 1, 3)), ("y", "c2", "old", 5, datetime(2026, 1, 2, 23)), ("z", "c3", "fresh", 5, datetime(2026, 1, 9))],
+        [("x", "k1", "old", 5, datetime(2026, 1, 3)), ("y", "k2", "old", 5, datetime(2026, 1, 2, 23)), ("z", "k3", "fresh", 5, datetime(2026, 1, 9))],
         schemas.PHRASE_DEMAND)
     now = at("2026-01-10")
     stale = stages.stale_clusters(seed["cluster"], checks, now)
-    assert rows(stale, "id") == [("c2",), ("c4",), ("c5",)]  # exactly seven days old is fresh
+    assert rows(stale, "id") == [("k2",), ("k4",), ("k5",), ("k6",)]  # exactly seven days old is fresh
     phrases = spark.createDataFrame(
-        [("c2", '{"phrases": ["old", "b", "c"]}'), ("c4", '{"phrases": ["a"]}'), ("c5", '{"phrases": ["d", "e", "f"]}')], "cluster_id string, answer string")
+        [("k2", '{"phrases": ["old", "b", "c"]}'), ("k6", '{"phrases": ["a"]}'), ("k5", '{"phrases": ["d", "e", "f"]}')], "cluster_id string, answer string")
     known = spark.createDataFrame([("old", 100), ("b", 1), ("d", 99), ("e", 0)], "phrase string, frequency bigint")
     out = stages.validate(stale, phrases, known, seed["score"], checks, now)
     assert out.counters.first().asDict() == {
         "clusters": 3, "phrases": 6, "validated": 4, "rejected": 1, "api_errors": 2, "demand_confirmed": 1, "rationale_updated": 1}
-    assert rows(out.checks.filter("cluster_id = 'c2'"), "phrase", "frequency") == [("b", 1), ("old", 100)]
+    assert rows(out.checks.filter("cluster_id = 'k2'"), "phrase", "frequency") == [("b", 1), ("old", 100)]
     noted = {r["cluster_id"]: r["rationale_md"] for r in out.scores.collect()}
-    assert noted["c2"] == "why" + stages.DEMAND_NOTE and noted["c1"] == "why"
+    assert noted["k2"] == "why" + stages.DEMAND_NOTE and noted["k1"] == "why"
     again = stages.validate(stale, phrases, known, out.scores, out.checks, now)
     assert again.counters.first()["rationale_updated"] == 0
     assert {r["cluster_id"]: r["rationale_md"] for r in again.scores.collect()} == noted
@@ -325,12 +331,12 @@ def test_collect_stream(spark, rows, tmp_path):
         stream = spark.readStream.schema(schema).json(str(source))
         jobs.collect_stream(stream, "stream_posts", str(ck), buckets=2).trigger(availableNow=True).start().awaitTermination()
 
-    land("1.json", ("https://a/x/?utm_source=1", "first", "2026-01-01T00:00:00Z"), ("https://a/x", "copy", "2026-01-01T01:00:00Z"), ("rel", "bad", "2026-01-01T00:00:00Z"))
+    land("1.json", ("https://a/x", "copy", "2026-01-01T01:00:00Z"), ("https://a/x/?utm_source=1", "first", "2026-01-01T00:00:00Z"), ("rel", "bad", "2026-01-01T00:00:00Z"))
     run()
     land("2.json", ("https://a/x#", "late copy", "2026-03-01T00:00:00Z"), ("https://a/y", "new", "2026-03-01T00:00:00Z"))
     run()
     run()
-    assert rows(spark.table("stream_posts"), "url_canon") == [("https://a/x",), ("https://a/y",)]
+    assert rows(spark.table("stream_posts"), "url_canon", "body") == [("https://a/x", "first"), ("https://a/y", "new")]
 
 
 def test_ledger_and_health_streams(spark, rows, tmp_path):

@@ -14,11 +14,12 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES = entry_point.queries()
-# Queries that run Python inside tasks: automaton scans, encoders and vector products.
+# The corpus operators have tests of their own.
+QUERIES = {n: q for n, q in entry_point.queries().items() if n in entry_point.QUERIES}
+# Queries that run Python inside tasks: encoders and vector products.
 WITH_PYTHON = {
-    "quote_match", "quote_first_matches", "encode_documents", "embedding_backfill", "nearest_leaders",
-    "leader_clusters", "leader_cluster_sizes", "cluster_stage", "cluster_titles",
+    "encode_documents", "embedding_backfill", "nearest_leaders",
+    "cluster_recompute", "leader_clusters", "leader_clusters_default", "leader_cluster_sizes", "cluster_stage", "cluster_titles",
 }
 
 
@@ -31,7 +32,7 @@ def duck():
 
 
 def test_every_query_has_checking_sql():
-    assert set(QUERIES) == set(entry_point.oracle_sql())
+    assert set(QUERIES) <= set(entry_point.oracle_sql())
     assert not [n for n in QUERIES if "pipeline" in n or re.match(r"op\d", n)]
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
 from sigmill.plans.reports import kind_mix
-from sigmill.session import configure, ship, spread
+from sigmill.session import configure, ship
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,25 @@ def stamp(col: str, alias: str | None = None):
 START = "2024-01-01 00:00:00"
 
 
+def trigram_encoder(dim: int):
+    """Counts of hashed character trigrams: stands in for a model, whose weights are not at hand."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        points = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) for t in texts]
+        points = [np.pad(p, (0, max(0, 3 - len(p)))) for p in points]
+        ends = np.cumsum([len(p) for p in points])
+        every = np.concatenate(points)
+        mixed = ((every[:-2] * 1000003 + every[1:-1]) * 1000003 + every[2:]) % np.uint64(dim)
+        row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
+        inside = np.ones(len(mixed), dtype=bool)
+        for back in (1, 2):  # trigrams across two texts
+            inside[ends[:-1] - back] = False
+        at = row[:-2][inside] * dim + mixed[inside].astype(np.int64)
+        return np.bincount(at, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
+
+    return encode
+
+
 class Tables:
     """Driver tables of one folder, and the domain views over them."""
 
@@ -58,10 +78,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def wide(self, name: str) -> DataFrame:
-        """A table for heavy row work, spread over the cores when it is one small file."""
-        return spread(getattr(self, name))
-
     def minutes_after_start(self, col: str):
         return F.timestamp_seconds(F.unix_seconds(F.lit(START).cast("timestamp")) + F.col(col) * 60)
 

@@ -220,7 +220,7 @@ def version_rollback(t: Tables) -> DataFrame:
 
 @query(
     "version_register",
-    f"""SELECT n.name, n.version FROM (SELECT lang AS name, CAST(doc_id AS INTEGER) AS version FROM documents
+    f"""SELECT DISTINCT n.name, n.version FROM (SELECT lang AS name, CAST(doc_id AS INTEGER) AS version FROM documents
                                        UNION ALL SELECT source, CAST(doc_id % 60 AS INTEGER) FROM documents) n
         WHERE NOT EXISTS (SELECT 1 FROM ({_VERSIONS}) v WHERE v.name = n.name AND v.version = n.version)""",
 )
@@ -238,6 +238,7 @@ def version_register(t: Tables) -> DataFrame:
 )
 def version_seed(t: Tables) -> DataFrame:
     docs = t.documents
-    shipped = docs.select(F.col("lang").alias("name"), "doc_id").unionByName(docs.select(F.col("source").alias("name"), "doc_id"))
+    number = F.col("doc_id").alias("version")
+    shipped = docs.select(F.col("lang").alias("name"), number).unionByName(docs.select(F.col("source").alias("name"), number))
     seeded = versions.seed(docs.select(F.col("source").alias("name")), shipped)
     return seeded.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))

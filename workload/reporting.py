@@ -183,14 +183,22 @@ def enabled_sources(t: Tables) -> DataFrame:
     return reports.enabled_sources(t.source).select("name", F.col("rate_limit_rps").cast("double").alias("rate"))
 
 
+# Posts per source, and pains per source, each counted on its own before sources are looked at.
+_POSTS_BY_SOURCE = """
+    SELECT source_id, count(*) AS posts, sum(CAST(fetch_status = 'failed' AS INT)) AS failed,
+           sum(CAST(suspect_short AS INT)) AS short, max(CASE WHEN fetch_status = 'failed' OR fetch_status IS NULL THEN NULL
+           ELSE created_at END) AS last_ok
+    FROM post_v GROUP BY source_id"""
+_PAINS_BY_SOURCE = """
+    SELECT source_id, count(*) AS pains FROM post_v, pain_v WHERE raw_post_id = post_v.id GROUP BY source_id"""
+
+
 @query(
     "source_health",
-    """SELECT s.name, strftime(max(r.created_at) FILTER (WHERE r.fetch_status <> 'failed'), '%Y-%m-%d %H:%M:%S') AS last_ok,
-              count(*) FILTER (WHERE r.fetch_status = 'failed') AS failed_count, count(r.id) AS total_count,
-              count(*) FILTER (WHERE r.suspect_short) AS suspect_short_count,
-              CASE WHEN count(r.id) = 0 THEN 0.0
-                   ELSE CAST(count(*) FILTER (WHERE r.suspect_short) AS DOUBLE) / count(r.id) END AS suspect_share
-       FROM source_v s LEFT JOIN post_v r ON r.source_id = s.id WHERE s.enabled GROUP BY s.name ORDER BY s.name""",
+    f"""SELECT name, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok, CAST(coalesce(failed, 0) AS BIGINT) AS failed_count,
+               coalesce(posts, 0) AS total_count, CAST(coalesce(short, 0) AS BIGINT) AS suspect_short_count,
+               coalesce(CAST(short AS DOUBLE) / posts, 0.0) AS suspect_share
+        FROM (SELECT * FROM source_v WHERE enabled) LEFT JOIN ({_POSTS_BY_SOURCE}) ON source_id = id ORDER BY name""",
     ("source_v", "post_v"),
 )
 def source_health(t: Tables) -> DataFrame:
@@ -199,12 +207,11 @@ def source_health(t: Tables) -> DataFrame:
 
 @query(
     "source_registry",
-    """SELECT s.name, s.enabled,
-              strftime(max(r.created_at) FILTER (WHERE r.fetch_status <> 'failed'), '%Y-%m-%d %H:%M:%S') AS last_ok,
-              count(DISTINCT r.id) FILTER (WHERE r.fetch_status = 'failed') AS failed_count,
-              count(DISTINCT r.id) AS post_count, count(p.id) AS pain_count
-       FROM source_v s LEFT JOIN post_v r ON r.source_id = s.id LEFT JOIN pain_v p ON p.raw_post_id = r.id
-       GROUP BY s.name, s.enabled ORDER BY s.name""",
+    f"""SELECT name, enabled, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok,
+               CAST(coalesce(failed, 0) AS BIGINT) AS failed_count, coalesce(posts, 0) AS post_count,
+               coalesce(pains, 0) AS pain_count
+        FROM source_v LEFT JOIN ({_POSTS_BY_SOURCE}) AS by_post ON by_post.source_id = id
+             LEFT JOIN ({_PAINS_BY_SOURCE}) AS by_pain ON by_pain.source_id = id ORDER BY name""",
     ("source_v", "post_v", "pain_v"),
 )
 def source_registry(t: Tables) -> DataFrame:
@@ -240,12 +247,14 @@ def kinds_label(t: Tables) -> DataFrame:
 
 @query(
     "score_band",
-    """SELECT count(total) AS scored, CAST(min(total) AS DOUBLE) AS lowest, CAST(max(total) AS DOUBLE) AS highest,
-              count(total) >= 3 AND max(total) - min(total) < 10 AS sanity_flag FROM score_v""",
+    """SELECT count(score) AS scored, CAST(min(score) AS DOUBLE) AS lowest, CAST(max(score) AS DOUBLE) AS highest,
+              count(score) >= 3 AND max(score) - min(score) < 10 AS sanity_flag
+       FROM (SELECT total * 10 AS score FROM score_v)""",
     ("score_v",),
 )
 def score_band(t: Tables) -> DataFrame:
-    return reports.score_band(t.score, "total").select(
+    # Scores as the model gives them, 0 to 100.
+    return reports.score_band(t.score.select((F.col("total") * 10).alias("score")), "score").select(
         "scored", F.col("lowest").cast("double").alias("lowest"), F.col("highest").cast("double").alias("highest"),
         "sanity_flag",
     )

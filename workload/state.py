@@ -17,10 +17,10 @@ from workload.base import Tables, query
     """SELECT o_orderkey, o_totalprice FROM (
          SELECT o_custkey AS key, o_orderkey, o_totalprice,
                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
-       WHERE rn = 1 AND key NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""",
+       WHERE rn = 1 AND key NOT IN (SELECT c_custkey * 2 FROM customer)""",
 )
 def insert_if_absent(t: Tables) -> DataFrame:
-    stored = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    stored = t.customer.select((F.col("c_custkey") * 2).alias("o_custkey"))
     offered = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     fresh, _ = merge.insert_if_absent(stored, offered, ["o_custkey"], ["o_orderdate", "o_orderkey"])
     return fresh.select("o_orderkey", "o_totalprice")
@@ -29,10 +29,10 @@ def insert_if_absent(t: Tables) -> DataFrame:
 @query(
     "insert_counts",
     """SELECT count(DISTINCT o_custkey) AS inserted, (SELECT count(*) FROM orders) - count(DISTINCT o_custkey) AS skipped
-       FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""",
+       FROM orders WHERE o_custkey NOT IN (SELECT c_custkey * 2 FROM customer)""",
 )
 def insert_counts(t: Tables) -> DataFrame:
-    stored = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    stored = t.customer.select((F.col("c_custkey") * 2).alias("o_custkey"))
     offered = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
     return merge.insert_if_absent(stored, offered, ["o_custkey"], ["o_orderdate", "o_orderkey"])[1]
 
@@ -41,12 +41,12 @@ def insert_counts(t: Tables) -> DataFrame:
     "upsert_last_wins",
     """SELECT coalesce(c.c_custkey, n.k) AS c_custkey, CASE WHEN c.c_custkey IS NULL THEN 'order ' || n.o ELSE c.c_name END AS c_name,
               coalesce(n.price, c.c_acctbal) AS c_acctbal
-       FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c
+       FROM (SELECT * REPLACE (c_custkey * 2 AS c_custkey) FROM customer) c
        FULL JOIN (SELECT o_custkey AS k, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o,
                          max_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1) n ON n.k = c.c_custkey""",
 )
 def upsert_last_wins(t: Tables) -> DataFrame:
-    stored = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_acctbal")
+    stored = t.customer.select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name", "c_acctbal")
     changes = t.orders.select(
         F.col("o_custkey").alias("c_custkey"),
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("c_name"),
@@ -87,10 +87,11 @@ def single_active(t: Tables) -> DataFrame:
     return flipped.orderBy(F.desc("is_active"), "s_name")
 
 
-@query("none_active", "SELECT count(*) FILTER (WHERE s_suppkey = 3 AND false) AS active, count(*) AS n FROM supplier")
+@query("none_active", "SELECT count(*) FILTER (WHERE s_suppkey % 2 = 0 AND s_suppkey <> 4) AS active, count(*) AS n FROM supplier")
 def none_active(t: Tables) -> DataFrame:
-    stored = t.supplier.select("s_name", (F.col("s_suppkey") == 3).alias("is_active"))
-    off = merge.set_inactive(stored, "s_name", "Supplier#000000003")
+    # Many are active here, so that it shows which one is switched off.
+    stored = t.supplier.select("s_name", (F.col("s_suppkey") % 2 == 0).alias("is_active"))
+    off = merge.set_inactive(stored, "s_name", "Supplier#000000004")
     return off.agg(F.count_if("is_active").alias("active"), F.count(F.lit(1)).alias("n"))
 
 
@@ -139,7 +140,7 @@ def get_or_create(t: Tables) -> DataFrame:
     "merge_maps",
     """SELECT user_id, array_to_string(list_sort(list(k || '=' || n)), ',') AS stats FROM (
          SELECT user_id, k, CAST(sum(n) AS BIGINT) AS n FROM (
-           SELECT user_id, event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL
+           SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL
            UNION ALL SELECT user_id, event_type, count(*) FROM events WHERE event_id % 3 = 0 GROUP BY ALL) GROUP BY ALL)
        GROUP BY user_id""",
 )
@@ -150,7 +151,7 @@ def merge_maps(t: Tables) -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(name)
         )
 
-    both = counts("event_id % 2 = 0", "a").join(counts("event_id % 3 = 0", "b"), "user_id", "full")
+    both = counts("true", "a").join(counts("event_id % 3 = 0", "b"), "user_id", "full")
     empty = F.create_map().cast("map<string,bigint>")
     merged = merge.merge_maps(F.coalesce("a", empty), F.coalesce("b", empty))
     pairs = F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))

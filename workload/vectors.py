@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions import vectors as vx
-from sigmill.operators.encode import backfill_embeddings, encode_texts, trigram_encoder
-from sigmill.operators.leaders import leader_clusters, nearest_leaders
+from sigmill.operators.encode import backfill_embeddings, encode_texts
+from sigmill.operators.counters import side_by_side
+from sigmill.operators.leaders import DEFAULT_THRESHOLD, leader_clusters, nearest_leaders
 from sigmill.plans import reports, stages
-from workload.base import Tables, query
+from workload.base import Tables, query, trigram_encoder
 
 # The driver's random vectors are far apart; at the default 0.88 every point is its own leader.
 THRESHOLD = 0.30
@@ -36,6 +37,10 @@ _LEADERS = f"""
         GROUP BY p.vec_id)"""
 
 
+# The library's default, at which nearly every random vector is a leader.
+DEFAULT = DEFAULT_THRESHOLD
+_LEADERS_DEFAULT = _LEADERS.replace(f">= {THRESHOLD}", f">= {DEFAULT}")
+
 # The stage only sees pains whose post exists.
 _LEADERS_OF_POSTS = _LEADERS.replace(
     f"v FROM ({_UNIT}))", f"v FROM ({_UNIT}) WHERE vec_id IN (SELECT doc_id FROM documents))"
@@ -56,6 +61,16 @@ def leader_cluster_members(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "leader_clusters_default",
+    _LEADERS_DEFAULT + " SELECT vec_id, cluster_id, round(similarity, 6) AS similarity FROM assigned",
+)
+def leader_clusters_default(t: Tables) -> DataFrame:
+    return leader_clusters(t.embeddings, "vec_id", "embedding", ["vec_id"]).select(
+        F.col("id").alias("vec_id"), "cluster_id", F.round("similarity", 6).alias("similarity")
+    )
+
+
 @query(
     "leader_cluster_sizes",
     _LEADERS + " SELECT cluster_id, count(*) AS size FROM assigned GROUP BY cluster_id",
@@ -69,7 +84,8 @@ def leader_cluster_sizes(t: Tables) -> DataFrame:
     _LEADERS_OF_POSTS
     + """ SELECT count(*) AS pains, count(DISTINCT cluster_id) AS clusters_new,
                  count(*) - count(DISTINCT cluster_id) AS clusters_merged,
-                 (SELECT count(*) FROM (SELECT cluster_id FROM assigned GROUP BY 1 HAVING count(*) = 1)) AS singletons
+                 (SELECT count(*) FROM (SELECT cluster_id FROM assigned GROUP BY 1 HAVING count(*) = 1)) AS singletons,
+                 CAST(0 AS BIGINT) AS without_vector
           FROM assigned""",
 )
 def cluster_stage(t: Tables) -> DataFrame:
@@ -77,6 +93,22 @@ def cluster_stage(t: Tables) -> DataFrame:
     return stages.cluster(t.pain.drop("cluster_id"), t.post, now, THRESHOLD).counters
 
 
+@query(
+    "cluster_recompute",
+    _LEADERS.replace(f"v FROM ({_UNIT}))", f"v FROM ({_UNIT}) WHERE vec_id % 4 > 0 AND vec_id IN (SELECT doc_id FROM documents))")
+    + """ SELECT count(*) AS pains, count(DISTINCT cluster_id) AS clusters_new,
+                 (SELECT count(*) FROM embeddings WHERE vec_id % 4 = 0 AND vec_id IN (SELECT doc_id FROM documents)) AS without_vector,
+                 (SELECT count(DISTINCT label) FROM embeddings WHERE label % 4 <> 0) AS scores_dropped,
+                 count(DISTINCT cluster_id) AS unscored FROM assigned""",
+)
+def cluster_recompute(t: Tables) -> DataFrame:
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    pain = t.pain.drop("cluster_id").withColumn("embedding", F.when(F.col("id") % 4 > 0, F.col("embedding")))
+    out = stages.recompute(pain, t.post, t.score, now, THRESHOLD)
+    unscored = stages.unscored_clusters(out.clusters, out.scores).agg(F.count(F.lit(1)).alias("unscored"))
+    return side_by_side(out.counters.select("pains", "clusters_new", "without_vector", "scores_dropped"), unscored)
+
+
 @query(
     "cluster_titles",
     _LEADERS_OF_POSTS
@@ -127,12 +159,18 @@ def unit_vectors(t: Tables) -> DataFrame:
 
 @query(
     "vector_text",
-    "SELECT vec_id, len(embedding) AS dim, true AS close FROM embeddings",
+    """SELECT vec_id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 3) + 0.0 AS first,
+              round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 2) + 0.0 AS total,
+              round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 3) AS norm FROM embeddings""",
 )
 def vector_text(t: Tables) -> DataFrame:
-    back = t.embeddings.withColumn("copy", vx.from_literal(vx.to_literal("embedding")))
-    close = F.forall(F.zip_with("embedding", "copy", lambda a, b: F.abs(a - b) <= F.abs(a) * 1e-5 + 1e-9), lambda x: x)
-    return back.select("vec_id", F.size("copy").cast("bigint").alias("dim"), close.alias("close"))
+    # Written as text and read back; every number counts in the sums.
+    back = t.embeddings.select("vec_id", vx.from_literal(vx.to_literal("embedding")).cast("array<double>").alias("copy"))
+    total = F.aggregate("copy", F.lit(0.0), lambda a, x: a + x)
+    return back.select(
+        "vec_id", F.size("copy").cast("bigint").alias("dim"), (F.round(F.get("copy", F.lit(0)), 3) + 0.0).alias("first"),
+        (F.round(total, 2) + 0.0).alias("total"), F.round(vx.norm("copy"), 3).alias("norm"),
+    )
 
 
 _TRIGRAMS = """
@@ -144,28 +182,33 @@ _TRIGRAMS = """
 @query(
     "encode_documents",
     f"""SELECT doc_id, max(n) FILTER (WHERE bucket = 5) IS NOT NULL AS has_five, count(*) AS filled,
-               round(coalesce(max(n) FILTER (WHERE bucket = 5), 0) / sqrt(sum(n * n)), 4) AS five
+               round(coalesce(max(n) FILTER (WHERE bucket = 5), 0) / sqrt(sum(n * n)), 4) AS five,
+               round(sum(n * (bucket + 1)) / sqrt(sum(n * n)), 2) AS mass
         FROM (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM ({_TRIGRAMS}) GROUP BY ALL) GROUP BY doc_id""",
 )
 def encode_documents(t: Tables) -> DataFrame:
-    vectors = encode_texts(t.wide("documents"), "doc_id", "text", lambda: trigram_encoder(64))
+    vectors = encode_texts(t.documents, "doc_id", "text", lambda: trigram_encoder(64))
     five = F.get("embedding", F.lit(5)).cast("double")
+    # All 64 numbers, each with its place.
+    mass = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return vectors.select(
         "doc_id", (five > 0).alias("has_five"),
         F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("filled"), F.round(five, 4).alias("five"),
+        F.round(mass, 2).alias("mass"),
     )
 
 
 def _partly_embedded(t: Tables) -> DataFrame:
     body = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"))
     some = F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding")
-    return t.embeddings.join(body, "vec_id").select(F.col("vec_id").alias("id"), "body", some)
+    # Every document is a row; those that no vector belongs to wait for one too.
+    return body.join(t.embeddings, "vec_id", "left").select(F.col("vec_id").alias("id"), "body", some)
 
 
 @query(
     "embedding_counts",
-    """SELECT count(*) FILTER (WHERE vec_id % 3 <> 0) AS skipped, count(*) FILTER (WHERE vec_id % 3 = 0) AS pending
-       FROM embeddings JOIN documents ON doc_id = vec_id""",
+    """SELECT count(*) FILTER (WHERE vec_id % 3 <> 0) AS skipped, count(*) FILTER (WHERE coalesce(vec_id % 3 = 0, true)) AS pending
+       FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
 )
 def embedding_counts(t: Tables) -> DataFrame:
     return reports.embedding_counts(_partly_embedded(t))
@@ -173,9 +216,9 @@ def embedding_counts(t: Tables) -> DataFrame:
 
 @query(
     "embedding_backfill",
-    f"""SELECT e.vec_id AS id, CASE WHEN e.vec_id % 3 <> 0 THEN round(CAST(e.embedding[6] AS DOUBLE), 4)
+    f"""SELECT g.doc_id AS id, CASE WHEN e.vec_id % 3 <> 0 THEN round(CAST(e.embedding[6] AS DOUBLE), 4)
                ELSE round(coalesce(g.n, 0) / g.norm, 4) END AS sixth
-        FROM embeddings e JOIN (SELECT doc_id, max(n) FILTER (WHERE bucket = 5) AS n, sqrt(sum(n * n)) AS norm
+        FROM embeddings e RIGHT JOIN (SELECT doc_id, max(n) FILTER (WHERE bucket = 5) AS n, sqrt(sum(n * n)) AS norm
             FROM (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM ({_TRIGRAMS}) GROUP BY ALL) GROUP BY doc_id) g
           ON g.doc_id = e.vec_id""",
 )

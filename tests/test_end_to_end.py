@@ -103,7 +103,7 @@ def test_stages_in_a_row(spark, rows):
     first, members = one_pass(5)
     assert first == {
         "collected": 4, "skipped": 1, "warnings": 0, "extracted": 3, "cost_micro": 440,
-        "pains": 3, "clusters_new": 2, "clusters_merged": 1, "singletons": 1, "scored": 2,
+        "pains": 3, "clusters_new": 2, "clusters_merged": 1, "singletons": 1, "without_vector": 0, "scored": 2,
     }
     ranking = reports.rank_clusters(spark.table("e2e_cluster"), spark.table("e2e_score"), members, spark.table("e2e_post"), source)
     shown = [(r["size"], float(r["total"]), r["kind_mix"], r["sources"]) for r in ranking.collect()]

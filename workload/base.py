@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as tx
@@ -46,6 +46,18 @@ def stamp(col: str, alias: str | None = None):
 START = "2024-01-01 00:00:00"
 
 
+def spread_words(n) -> Column:
+    """``n`` words of the whole text, evenly apart."""
+    words = F.split("text", " ")
+    at = F.when(F.lit(n) > 0, F.sequence(F.lit(0), F.lit(n) - 1))
+    picked = F.transform(at, lambda i: F.get(words, F.floor(i * F.size(words) / n).cast("int")))
+    return F.coalesce(picked, F.array().cast("array<string>"))
+
+
+def spread_words_sql(n: str) -> str:
+    return f"[string_split(text, ' ')[1 + (i * len(string_split(text, ' '))) // {n}] for i in range(CAST({n} AS BIGINT))]"
+
+
 def trigram_encoder(dim: int):
     """Counts of hashed character trigrams: stands in for a model, whose weights are not at hand."""
 
@@ -163,8 +175,8 @@ class Tables:
 
     @property
     def checks(self) -> DataFrame:
-        """Phrase checks: the first three words of every document, its check day by cluster."""
-        phrase = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+        """Phrase checks: three words of every document, its check day by cluster."""
+        phrase = F.array_join(spread_words(3), " ")
         cluster = F.col("doc_id") % 12
         return self.documents.select(
             cluster.alias("cluster_id"),
@@ -235,12 +247,11 @@ SQL_VIEWS = {
         SELECT DISTINCT cluster_id, CAST((cluster_id * 37 % 100) / 10.0 AS DECIMAL(5,2)) AS total,
                'rationale ' || cluster_id AS rationale_md
         FROM pain_v WHERE cluster_id % 4 <> 0""",
-    "check_v": """
-        SELECT doc_id % 12 AS cluster_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase,
-               CAST(('0x' || substr(sha256(array_to_string(string_split(text, ' ')[1:3], ' ')), 1, 8)) AS BIGINT) % 10001
-                   AS frequency,
-               TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 12 AS INTEGER)) AS checked_at, doc_id AS seq
-        FROM documents""",
+    "check_v": f"""
+        SELECT cluster_id, phrase, CAST(('0x' || substr(sha256(phrase), 1, 8)) AS BIGINT) % 10001 AS frequency,
+               TIMESTAMP '2024-01-01' + to_days(CAST(cluster_id AS INTEGER)) AS checked_at, seq
+        FROM (SELECT doc_id % 12 AS cluster_id, doc_id AS seq, array_to_string({spread_words_sql("3")}, ' ') AS phrase
+              FROM documents)""",
     "run_event_v": """
         SELECT event_id, user_id AS run_id, ts,
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE CASE event_type WHEN 'signup' THEN 'collect'

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigmill.operators import answers as an
 from sigmill.operators import prompts
 from sigmill.plans import reports, stages
-from workload.base import Tables, query, stamp
+from workload.base import Tables, query, spread_words, spread_words_sql, stamp
 
 
 def _json(**fields: Column) -> Column:
@@ -25,7 +25,7 @@ def _list(*items: Column) -> Column:
 
 def _extract_answers(t: Tables) -> DataFrame:
     """One answer per document, in ten shapes by id."""
-    quote = F.substring("text", 3, 40)
+    quote = F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(40))
     last = F.right("text", F.lit(30))
     wrong = F.concat(quote, F.lit("¤"))
     shapes = [
@@ -58,7 +58,7 @@ _ANSWERS = """
         WHEN 7 THEN 'Sorry, no.'
         WHEN 8 THEN '```' || chr(10) || 'Here it is: ' || CAST(to_json({'pains': [{'body': 'b', 'audience': 'a', 'quote': q}]}) AS VARCHAR) || ' done' || chr(10) || '```'
         ELSE '{"pains":[]}' END AS answer
-    FROM (SELECT doc_id, text, substr(text, 3, 40) AS q, right(text, 30) AS r FROM documents)"""
+    FROM (SELECT doc_id, text, substr(text, length(text) // 2 + 1, 40) AS q, right(text, 30) AS r FROM documents)"""
 # Parsing in plain SQL: fence, JSON, entries in order, the running cap.
 _PARSED = f"""
     SELECT doc_id, text, fenced, TRY_CAST(CASE WHEN json_valid(inner_text) THEN inner_text
@@ -236,16 +236,19 @@ def model_cost(t: Tables) -> DataFrame:
     )
 
 
-_GROUPS = 97
+# Documents of a cluster; the number of clusters follows the table.
+_PER_CLUSTER = 10
+
+
+def _cluster_of() -> Column:
+    return F.floor(F.col("doc_id") / _PER_CLUSTER).alias("cluster_id")
 
 
 def _score_answers(t: Tables) -> DataFrame:
-    """One score answer per group of documents; the quotes are cut from the group's first text."""
-    grouped = t.documents.groupBy((F.col("doc_id") % _GROUPS).alias("cluster_id")).agg(
-        F.min_by("text", "doc_id").alias("text")
-    )
+    """One score answer per group of documents; the quotes are cut from the middle of the group's last text."""
+    grouped = t.documents.groupBy(_cluster_of()).agg(F.max_by("text", "doc_id").alias("text"))
     c = F.col("cluster_id")
-    quote = F.substring("text", 2, 25)
+    quote = F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(25))
     quotes = (
         F.when(c % 7 == 0, F.array(quote, F.concat(quote, F.lit("¤"))))
         .when(c % 9 == 0, F.array().cast("array<string>"))
@@ -268,9 +271,9 @@ _SCORE_REASON = f"""
         WHEN c % 11 <> 0 AND c % 7 <> 0 AND c % 9 = 0 THEN 'no_quotes' WHEN c % 11 = 0 THEN 'quote_not_a_string'
         WHEN c % 7 = 0 AND NOT grounded THEN 'quote_not_grounded' END AS reason
     FROM (SELECT g.c, CASE WHEN g.c % 6 = 0 THEN 87.5 ELSE CAST(g.c * 5 % 130 - 5 AS DOUBLE) END AS sc,
-                 EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % {_GROUPS} = g.c
-                         AND contains(d.text, substr(g.text, 2, 25) || '¤')) AS grounded
-          FROM (SELECT doc_id % {_GROUPS} AS c, arg_min(text, doc_id) AS text FROM documents GROUP BY 1) g)"""
+                 EXISTS (SELECT 1 FROM documents d WHERE d.doc_id // {_PER_CLUSTER} = g.c
+                         AND contains(d.text, substr(g.text, length(g.text) // 2 + 1, 25) || '¤')) AS grounded
+          FROM (SELECT doc_id // {_PER_CLUSTER} AS c, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) g)"""
 
 
 @query(
@@ -279,7 +282,7 @@ _SCORE_REASON = f"""
                CASE WHEN reason IS NULL THEN round(score / 10, 2) END AS stored FROM ({_SCORE_REASON})""",
 )
 def score_validate(t: Tables) -> DataFrame:
-    bodies = t.documents.select((F.col("doc_id") % _GROUPS).alias("cluster_id"), F.col("text").alias("body"))
+    bodies = t.documents.select(_cluster_of(), F.col("text").alias("body"))
     judged = an.ground_scores(an.parse_score(_score_answers(t)), bodies)
     return judged.select("cluster_id", "reason", "score", an.stored_score(F.col("score")).cast("double").alias("stored"))
 
@@ -293,7 +296,7 @@ def score_validate(t: Tables) -> DataFrame:
         FROM ({_SCORE_REASON}) WHERE cluster_id % 3 <> 1""",
 )
 def score_stage(t: Tables) -> DataFrame:
-    bodies = t.documents.select((F.col("doc_id") % _GROUPS).alias("cluster_id"), F.col("text").alias("body"))
+    bodies = t.documents.select(_cluster_of(), F.col("text").alias("body"))
     clusters = bodies.select(F.col("cluster_id").alias("id")).distinct()
     stored = clusters.filter("id % 3 = 1").select(F.col("id").alias("cluster_id"))
     todo = stages.unscored_clusters(clusters, stored)
@@ -303,7 +306,7 @@ def score_stage(t: Tables) -> DataFrame:
 
 def _phrase_answers(t: Tables) -> DataFrame:
     """Phrase answers from the words of every document."""
-    words = F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 7).cast("int"))
+    words = spread_words((F.col("doc_id") % 7).cast("int"))
     d = F.col("doc_id")
     phrases = (
         F.when(d % 11 == 0, F.transform(words, lambda w: F.concat(w, F.lit(" "), F.repeat(F.lit("x"), F.lit(118)))))
@@ -318,14 +321,14 @@ def _phrase_answers(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(d % 19 == 0, F.concat(text, F.lit("."))).otherwise(text).alias("answer"))
 
 
-_PHRASES = """
+_PHRASES = f"""
     SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'invalid_json' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'blank_or_not_a_string'
                WHEN len(ps) = 0 THEN 'no_phrases' WHEN len(ps) NOT BETWEEN 3 AND 5 THEN 'wrong_count'
                WHEN len(list_filter(ps, lambda p: length(p) > 120)) > 0 THEN 'too_long' END AS reason, ps
     FROM (SELECT doc_id, [trim(p, ' ' || chr(9) || chr(10) || chr(13)) for p in CASE
-              WHEN doc_id % 11 = 0 THEN [w || ' ' || repeat('x', 118) for w in string_split(text, ' ')[1:doc_id % 7]]
+              WHEN doc_id % 11 = 0 THEN [w || ' ' || repeat('x', 118) for w in {spread_words_sql("(doc_id % 7)")}]
               WHEN doc_id % 5 = 0 THEN ['same', 'same', 'other', 'same']
-              ELSE ['how ' || w for w in string_split(text, ' ')[1:doc_id % 7]] END] AS ps FROM documents)"""
+              ELSE ['how ' || w for w in {spread_words_sql("(doc_id % 7)")}] END] AS ps FROM documents)"""
 
 
 @query(
@@ -359,11 +362,11 @@ def parse_frequencies(t: Tables) -> DataFrame:
 
 @query(
     "demand_confirmed",
-    "SELECT cluster_id FROM check_v GROUP BY cluster_id HAVING max(frequency) >= 9990",
+    "SELECT cluster_id FROM check_v GROUP BY cluster_id HAVING max(frequency) >= 9900",
     ("check_v",),
 )
 def demand_confirmed(t: Tables) -> DataFrame:
-    return stages.confirmed_clusters(t.checks, 9990)
+    return stages.confirmed_clusters(t.checks, 9900)
 
 
 @query(
@@ -403,12 +406,12 @@ def newest_check(t: Tables) -> DataFrame:
     "rationale_marker",
     f"""SELECT s.cluster_id, s.rationale_md || CASE WHEN c.cluster_id IS NOT NULL THEN '{stages.DEMAND_NOTE}' ELSE '' END
                AS rationale_md
-        FROM score_v s LEFT JOIN (SELECT cluster_id FROM check_v GROUP BY cluster_id HAVING max(frequency) >= 9990) c
+        FROM score_v s LEFT JOIN (SELECT cluster_id FROM check_v GROUP BY cluster_id HAVING max(frequency) >= 9900) c
           ON c.cluster_id = s.cluster_id""",
     ("score_v", "check_v"),
 )
 def rationale_marker(t: Tables) -> DataFrame:
-    confirmed = stages.confirmed_clusters(t.checks, 9990)
+    confirmed = stages.confirmed_clusters(t.checks, 9900)
     # Applied twice: the second pass changes nothing.
     once = stages.annotate_scores(t.score, confirmed)
     return stages.annotate_scores(once, confirmed).select("cluster_id", "rationale_md")

@@ -103,6 +103,13 @@ def fold_runs(events: DataFrame) -> DataFrame:
     )
 
 
+def newest_events(events: DataFrame, limit: int = 20) -> DataFrame:
+    """The events of the newest runs, so that a report over few runs folds only their events."""
+    heads = events.groupBy("run_id").agg(F.min("ts").alias("started_at"))
+    newest = heads.orderBy(F.desc("started_at"), "run_id").limit(limit)
+    return events.join(newest.select("run_id"), "run_id", "left_semi")
+
+
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
     """The newest runs. ``limit`` is the report's feature."""
     return runs.orderBy(F.desc("started_at"), "run_id").limit(limit)

@@ -63,7 +63,8 @@ def rank_clusters(
 ) -> DataFrame:
     """Clusters with score and source list: best score first, unscored last.
 
-    Sources filter through a semi-join, so nothing fans out and nothing is grouped back.
+    Sources filter through a semi-join, so nothing fans out and nothing is grouped back; source lists are
+    made for the members of clusters that pass the other filters only.
     """
     conditions = [visible(include_hidden)]
     if filters.kinds:
@@ -80,7 +81,8 @@ def rank_clusters(
         score.select(F.col("cluster_id").alias("id"), "total"), "id", "left"
     )
     rows = scored.filter(reduce(lambda a, b: a & b, conditions))
-    pairs = member_sources(members, post, source)
+    passing = rows.select(F.col("id").alias("cluster_id"))
+    pairs = member_sources(members.join(passing, "cluster_id", "left_semi"), post, source)
     if filters.sources:
         chosen = pairs.filter(F.col("source_name").isin(*sorted(filters.sources)))
         rows = rows.join(chosen.select(F.col("cluster_id").alias("id")), "id", "left_semi")

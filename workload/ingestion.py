@@ -325,6 +325,20 @@ def quote_first_matches(t: Tables) -> DataFrame:
     return hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("item_id"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "shared_opening_match",
+    r"""SELECT d.doc_id, p.pos FROM documents d
+        JOIN (SELECT doc_id AS pos, regexp_extract(text, '(?s)[ ](?:the|de|la) .{24}') AS phrase FROM documents) p
+          ON p.phrase <> '' AND contains(d.text, p.phrase)""",
+)
+def shared_opening_match(t: Tables) -> DataFrame:
+    """Phrases cut from every document, thousands of which begin alike."""
+    cut = F.regexp_extract("text", "(?s)[ ](?:the|de|la) .{24}", 0)
+    phrases = t.documents.select(F.col("doc_id").alias("pos"), cut.alias("phrase"))
+    hits = contained_phrases(_texts(t), phrases)
+    return hits.select(F.col("id").alias("doc_id"), "pos")
+
+
 @query(
     "hash_bucket",
     "SELECT doc_id, CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 10001 AS bucket FROM documents",

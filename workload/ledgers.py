@@ -44,7 +44,7 @@ def run_ledger(t: Tables) -> DataFrame:
 
 @query("recent_runs", _RUN + " ORDER BY r.started_at DESC, r.run_id LIMIT 20", _RUN_VIEWS)
 def recent_runs(t: Tables) -> DataFrame:
-    return _flat(ledger.recent_runs(ledger.fold_runs(t.run_event), 20))
+    return _flat(ledger.recent_runs(ledger.fold_runs(ledger.newest_events(t.run_event, 20)), 20))
 
 
 @query(
@@ -67,7 +67,7 @@ def active_runs(t: Tables) -> DataFrame:
     _RUN_VIEWS,
 )
 def latest_run(t: Tables) -> DataFrame:
-    return ledger.latest_run(ledger.fold_runs(t.run_event), t.prompt_version)
+    return ledger.latest_run(ledger.fold_runs(ledger.newest_events(t.run_event, 1)), t.prompt_version)
 
 
 _PROGRESS_KEYS = [
@@ -101,7 +101,7 @@ def stage_progress(t: Tables) -> DataFrame:
     ("run_v",),
 )
 def recent_cost(t: Tables) -> DataFrame:
-    total = ledger.total_cost(ledger.fold_runs(t.run_event))
+    total = ledger.total_cost(ledger.fold_runs(ledger.newest_events(t.run_event, 20)), 20)
     return total.select("runs", F.round(F.col("cost").cast("double"), 4).alias("cost"))
 
 

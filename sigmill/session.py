@@ -28,29 +28,29 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession, *packages: str) -> None:
-    """Send the named packages to the executors, once per application.
+    """Send the named packages to the executors, each once per application.
 
     For sessions started without ``--py-files`` on machines where the packages are not installed:
     code inside tasks imports them.
     """
     context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="sigmill-code-"), "sigmill-code.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for package in packages:
-            root = os.path.dirname(os.path.abspath(importlib.import_module(package).__file__))
+    for package in packages:
+        if (context.applicationId, package) in _shipped:
+            continue
+        archive = os.path.join(tempfile.mkdtemp(prefix="sigmill-code-"), f"{package}-code.zip")
+        root = os.path.dirname(os.path.abspath(importlib.import_module(package).__file__))
+        with zipfile.ZipFile(archive, "w") as out:
             for folder, _, files in os.walk(root):
                 for name in files:
                     if name.endswith(".py"):
                         path = os.path.join(folder, name)
                         out.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+        context.addPyFile(archive)
+        _shipped.add((context.applicationId, package))
 
 
 def checkpoint_root(spark: SparkSession) -> str:

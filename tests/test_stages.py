@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmill import schemas
+from sigmill.operators import merge
 from sigmill.operators.merge import UnknownKeyError
-from sigmill.plans import ledger, reports, stages, tables, versions
+from sigmill.plans import ledger, providers, reports, stages, tables, versions
 from sigmill.sources import landed
 from sigmill.streaming import jobs
 
@@ -353,3 +354,58 @@ def test_ledger_and_health_streams(spark, rows, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("health_mem"), "source", "total_count", "failed_count") == [("r1", 4, 1), ("r2", 1, 0)]
+
+
+def test_repeated_keys_in_one_batch(spark, rows):
+    stored = spark.createDataFrame([("p", 1, "a")], "name string, version int, body string")
+    shipped = spark.createDataFrame(
+        [("p", 1, "other"), ("q", 2, "second"), ("q", 2, "first"), ("q", 2, "first"), ("r", 1, "x")], "name string, version int, body string")
+    assert rows(versions.register(stored, shipped)) == [("q", 2, "first"), ("r", 1, "x")]
+    assert rows(versions.seed(stored, shipped)) == [("q", 2, "first"), ("r", 1, "x")]
+    ordered = shipped.withColumn("at", F.when(F.col("body") == "second", 1).otherwise(2))
+    assert rows(versions.register(stored.withColumn("at", F.lit(0)), ordered, ["at"]), "name", "body") == [("q", "second"), ("r", "x")]
+
+    known = spark.createDataFrame([("one", "fake", "", "m", "k")], "name string, kind string, base_url string, model string, api_key string")
+    new = spark.createDataFrame([(" two ", "fake", "", "b", "k"), ("two", "fake", "", "a", "k"), ("one", "fake", "", "z", "k")], known.schema)
+    assert rows(providers.add(known, new), "name", "model") == [("two", "a")]
+
+    table = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "id bigint, label string, n int")
+    changes = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, None, 0)], "id bigint, label string, seq int")
+    assert rows(merge.update_keyed(table, changes, "id", order=["seq"])) == [(1, "a", 0), (2, "y", 0)]
+    assert rows(merge.update_keyed(table, changes.drop("seq"), "id")) == [(1, "b", 0), (2, "y", 0)]
+    gaps = spark.createDataFrame([(1, None), (2, 5)], "id bigint, v int")
+    values = spark.createDataFrame([(1, 8), (1, 7), (2, 1)], "id bigint, v int")
+    assert rows(merge.fill_missing(gaps, values, "id", "v")) == [(1, 7), (2, 5)]
+    named = spark.createDataFrame([("i2", "n"), ("i1", "n")], "id string, name string")
+    assert rows(merge.get_or_create(named, spark.createDataFrame([("n",)], "name string"), "name")) == [("i1", "n")]
+
+
+def test_snapshots_expire_and_appends_compact(spark, rows):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(30)], "k bigint, v string")
+    for n in range(4):
+        tables.publish(frame.withColumn("n", F.lit(n)), "snap_t", "k", 2)
+    assert {r["n"] for r in spark.table("snap_t").collect()} == {3}
+    assert len([t for t in spark.catalog.listTables(pattern="snap_t__*")]) == 2
+    tables.append_new(frame.filter("k < 20"), "app_t", "k", 4)
+    tables.append_new(frame.filter("k >= 10"), "app_t", "k")
+    tables.append_new(frame, "app_t", "k")
+    assert rows(spark.table("app_t")) == rows(frame)
+    tables.compact(spark, "app_t", "k", 3)
+    assert rows(spark.table("app_t")) == rows(frame)
+    assert len(spark.table("app_t").inputFiles()) <= 3
+    tables.append_new(frame.withColumn("k", F.col("k") + 1), "app_t", "k")
+    assert spark.table("app_t").count() == 31
+
+
+def test_gather_meets_a_break_anywhere(spark, rows, tmp_path):
+    head = "<rss><channel><item><title>One</title><link>https://b.example/1</link></item>"
+    (tmp_path / "feed.xml").write_text(head + "<item><title>Two</title><link>https://b.exa", encoding="utf-8")
+
+    def broken():
+        items = landed.feed_items(spark, str(tmp_path), require_title=True, strict=True)
+        return landed_posts(spark, "x").crossJoin(items.select(F.col("title").alias("t2"))).drop("t2")
+
+    enabled = spark.createDataFrame([("1", "good"), ("2", "broken")], "id string, name string")
+    posts, warnings = landed.gather(spark, {"good": lambda: landed_posts(spark, "u1", "u2"), "broken": broken}, enabled)
+    assert list(warnings) == ["broken"]
+    assert rows(posts, "url_canon", "source_id") == [("u1", "1"), ("u2", "1")]

@@ -16,6 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; the score learns from the labels of rows that are not held out."""
+    prepared(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 

@@ -18,11 +18,15 @@ from sigmill.session import configure, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one step of a Python worker handles at once.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
+#: What goes to a Python worker at once: whole texts, so rows alone are no bound.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     configure(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     ship(spark, "sigmill")
     return spark
 

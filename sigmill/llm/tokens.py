@@ -21,7 +21,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Stretches kept in a worker's memo, and the longest kept.
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 250_000, 48
 
 #: White space other than a single space or line break, and what else keeps a text off the fast path.
 _ODD = ("  ", "\n\n", "\n ", " \n", "<|", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")

@@ -1,9 +1,14 @@
 """Which dictionary phrases occur verbatim in which texts.
 
-One native plan for a dictionary of any size. Every phrase has an anchor: of its runs of a few characters,
-the one that the fewest other phrases hold, so phrases with a common opening part at once. The runs of a text
-are first looked up in a bit set of the anchors, of fixed size; what is left takes its text along, is joined
-to the dictionary on the anchor and compared in full.
+One native plan for a dictionary of any size; every phrase has an anchor that its texts must hold too.
+
+* A phrase with a whole word between two of its spaces is anchored by the one of these words that the
+  fewest texts hold. Texts are looked at word by word.
+* Any other phrase is anchored by a run of its characters, the one that the fewest other phrases hold.
+  Texts are looked at character by character, if there are such phrases at all.
+
+Words or runs of a text are first looked up in a bit set of the anchors, of fixed size; what is left takes
+its text along, is joined to the dictionary on the anchor and compared in full.
 """
 
 from __future__ import annotations
@@ -49,22 +54,40 @@ def _bit_set(dictionary: DataFrame) -> Column:
     return whole.select(F.transform("all", lambda x: x["bits"])).scalar()
 
 
-def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(id, pos)`` for every phrase that occurs in a text, compared verbatim.
+def _marked(bits: Column) -> Column:
+    """Whether the bit set may hold ``anchor``."""
+    word = F.pmod("anchor", F.lit(BIT_WORDS)).cast("int")
+    return F.getbit(F.get(bits, word), F.expr("CAST(pmod(shiftright(anchor, 20), 64) AS INT)")) == 1
 
-    ``texts`` holds ``id, text`` (unique ids), ``phrases`` holds ``pos, phrase`` (dictionary
-    order). Empty phrases and NULL texts match nothing.
-    """
-    usable = phrases.filter("phrase <> ''").select(F.col("pos").cast("bigint").alias("pos"), "phrase")
-    dictionary = cut(_anchors(usable), "anchors")
+
+def _inner_words(column: str) -> Column:
+    words = F.split(column, " ")
+    return F.filter(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))), lambda w: w != "")
+
+
+def _by_word(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    words = cut(phrases.select("pos", "phrase", F.explode(_inner_words("phrase")).alias("word")), "words")
+    anchors = words.select(F.xxhash64("word").alias("anchor")).distinct()
+    each = texts.select("id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    each = each.withColumn("anchor", F.xxhash64("word"))
+    held = (
+        each.select("word", "anchor").filter(_marked(_bit_set(anchors)))
+        .groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    )
+    order = Window.partitionBy("pos", "phrase").orderBy("held", "word")
+    # A word that no text holds leaves its phrase without any.
+    ranked = words.join(held, "word", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    best = ranked.withColumn("rank", F.row_number().over(order)).filter("rank = 1 AND held > 0").select("pos", "phrase", "word")
+    dictionary = cut(best.withColumn("anchor", F.xxhash64("word")), "anchors")
+    likely = each.filter(_marked(_bit_set(dictionary.select("anchor"))))
+    found = likely.join(dictionary.drop("anchor"), "word").filter(F.contains("text", F.col("phrase")))
+    return found.select("id", "pos")
+
+
+def _by_run(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    dictionary = cut(_anchors(phrases), "anchors")
     used = dictionary.select("n").distinct().collect()  # five rows at most
-    none = texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
-    if not used:
-        return none
-    bits = _bit_set(dictionary)
-    word = F.pmod("anchor", F.lit(BIT_WORDS)).cast("int")
-    bit = F.expr("CAST(pmod(shiftright(anchor, 20), 64) AS INT)")
-    likely = None
+    bits, likely = _bit_set(dictionary.select("anchor")), None
     for n in sorted(r["n"] for r in used):
         # Positions within short windows: finding one costs the characters before it.
         starts = F.sequence(F.lit(0), F.length("text") - n, F.lit(WINDOW_CHARS))
@@ -74,7 +97,7 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             "id", "text", (F.col("start") + F.col("at")).alias("at"), F.lit(n).alias("n"),
             F.xxhash64(F.substr("part", F.col("at"), F.lit(n))).alias("anchor"),
         )
-        kept = runs.filter(F.getbit(F.get(bits, word), bit) == 1)
+        kept = runs.filter(_marked(bits))
         likely = kept if likely is None else likely.unionByName(kept)
     begin = F.col("at") - F.col("offset")
     found = likely.join(dictionary, ["n", "anchor"]).filter(
@@ -83,6 +106,22 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.select("id", "pos").distinct()
 
 
+def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(id, pos)`` for every phrase that occurs in a text, compared verbatim.
+
+    ``texts`` holds ``id, text`` (unique ids), ``phrases`` holds ``pos, phrase`` (unique ``pos``, the
+    dictionary order). Empty phrases and NULL texts match nothing.
+    """
+    usable = phrases.filter("phrase <> ''").select(F.col("pos").cast("bigint").alias("pos"), "phrase")
+    bodies = texts.filter("text <> ''").select("id", "text")
+    inner = F.size(_inner_words("phrase")) > 0
+    found = texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
+    for part, match in ((usable.filter(inner), _by_word), (usable.filter(~inner), _by_run)):
+        if not part.isEmpty():
+            found = found.unionByName(match(bodies, part))
+    return found
+
+
 def first_matches(matches: DataFrame, limit: int = 3) -> DataFrame:
     """The first ``limit`` matches of each text in dictionary order."""
     # The optimizer turns a rank filter into a per-task top-k before the shuffle.

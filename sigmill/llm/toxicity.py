@@ -31,7 +31,7 @@ THRESHOLD = 0.7
 LEAST_PART, LEAST_ROWS = 0.002, 3
 #: Least log-odds, and least log-odds in standard errors, of a lexicon feature.
 LEAST_ODDS, LEAST_ERRORS = 4.0, 2.6
-#: Labelled training rows that the classifier is fitted on at most; the rows of smallest hash.
+#: Labelled training rows that the classifier is fitted on, about: all where there are fewer, else a share by hash.
 SAMPLE_ROWS = 20_000
 #: Training labels up to this number (16 bytes each) are sent to every task; more are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -268,8 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 [pa.array(label), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["label", "features"]
             )
 
-    # A bounded sample of labelled rows; which rows doesn't depend on their order.
-    chosen = rows.select("text", F.xxhash64("doc_id").alias("order")).orderBy("order").limit(sample_rows)
+    # A bounded sample of labelled rows, by the hash of the id: the same rows in whatever order they come.
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(rows.count(), 1))) < sample_rows)
     sample = arrow_map(chosen.select(blank().alias("text")), run, "label double, features array<int>").toPandas()
     sizes = np.array([len(x) for x in sample["features"]], np.int64)
     at = np.concatenate([np.asarray(x, np.int64) for x in sample["features"]]) if len(sample) else np.empty(0, np.int64)

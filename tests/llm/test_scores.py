@@ -226,6 +226,45 @@ def test_lm_scores_awkward_rows(spark):
     assert lm.pseudo_likelihood(frame(spark, [])).count() == 0
 
 
+def word_hashes(text):
+    return shingles.words(*shingles.text_bytes(pa.array([text])))[0]
+
+
+def test_words_of_one_shared_id_have_their_own_probability(spark):
+    by_id = {}
+    for i in range(4000):
+        by_id.setdefault(int(word_hashes(f"rare{i}")[0] % np.uint64(lm.RARE)), []).append(f"rare{i}")
+    known, gibberish, other = max(by_id.values(), key=len)[:3]
+    frequent = " ".join(f"own{i}" for i in range(lm.SHARED))
+    rows = [(i, frequent) for i in range(30)] + [(100, known), (101, gibberish), (102, f"own1 {other} own2 {known}")]
+    rows += [(200 + i, f"own{i} {known}") for i in range(18)]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(frame(spark, rows)).collect()}
+    # Both stand alone, so the network says the same of both; only their counts, 20 and 1, differ.
+    assert abs(got[100] - got[101] - math.log(20)) < 1e-4
+
+
+def test_word_counts_are_those_of_the_whole_corpus(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    words = lm.vocabulary(docs, 20)
+    tokens = lm.cut(lm.tokenised(docs.repartition(7), words, 1), "test")
+    every = Counter(h for r in docs.collect() for h in word_hashes(r["text"]).tolist())
+    ids = dict(zip(every, words.ids_of(np.array(list(every), np.uint64)), strict=True))
+    of_ids = Counter()
+    for h, n in every.items():
+        of_ids[ids[h]] += n
+    logs = lm.shared_logs(tokens)
+    assert all(abs(logs[k] - math.log(of_ids[lm.SHARED + k])) < 1e-9 for k in range(lm.RARE) if of_ids[lm.SHARED + k])
+    rows = {r["chunk"]: np.frombuffer(r["rare"], "<u8") for r in tokens.filter("rare is not null").collect()}
+    for part_bytes in (1 << 30, 5000):
+        pieces = {}
+        for r in sorted(lm.word_logs(tokens, part_bytes).collect(), key=lambda r: r["part"]):
+            pieces[r["chunk"]] = pieces.get(r["chunk"], b"") + r["logs"]
+        assert sorted(pieces) == sorted(rows)
+        for chunk, rare in rows.items():
+            want = np.log([every[h] for h in rare.tolist()])
+            assert np.allclose(np.frombuffer(pieces[chunk], "<f4"), want, atol=1e-5)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -57,3 +57,9 @@ def test_query(spark, name):
     assert "SinglePartition, REPARTITION" not in plan
     if name not in WITH_PYTHON:
         assert not re.search(r"(BatchEval|ArrowEval|MapIn)", plan)
+
+
+def test_every_document_is_gathered(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    gathered = {n: sum(r["rows"] for r in q(spark, FOLDER).collect()) for n, q in QUERIES.items() if n.startswith("gather_")}
+    assert max(gathered.values()) == documents.count()

@@ -101,13 +101,8 @@ def landed_reviews(t: Tables) -> DataFrame:
     return landed.review_posts(landed.reviews(t.spark, path)).select("url_canon", stamp("published_at"))
 
 
-@query(
-    "gather_sources",
-    """SELECT source_name, count(*) AS rows, CAST(3 AS BIGINT) AS warnings
-       FROM (SELECT source AS source_name FROM documents WHERE source IN ('src0', 'src1', 'src2')) GROUP BY 1""",
-)
-def gather_sources(t: Tables) -> DataFrame:
-    """Three whole sources, one whose feed breaks after its first item, one whose files are gone, one nobody reads."""
+def _gathered(t: Tables, sources: list[str | None]) -> DataFrame:
+    """The named sources whole, one whose feed breaks after its first item, one whose files are gone, one nobody reads."""
     broken = scratch_dir(t.spark, "broken")
     first = "<rss><channel><item><title>One</title><link>https://b.example/1</link></item>"
     t.spark.createDataFrame([(first + "<item><title>Two</title><link>https://b.exa",)], "value string").write.text(broken)
@@ -119,8 +114,8 @@ def gather_sources(t: Tables) -> DataFrame:
             F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("suspect_short"),
         )
 
-    def of(name: str):
-        return lambda: posts(t.documents.filter(F.col("source") == name))
+    def of(name: str | None):
+        return lambda: posts(t.documents.filter(F.col("source").eqNullSafe(name)))
 
     def feed() -> DataFrame:
         items = landed.feed_items(t.spark, broken, require_title=True, strict=True)
@@ -129,13 +124,31 @@ def gather_sources(t: Tables) -> DataFrame:
     def gone() -> DataFrame:
         return posts(t.spark.read.parquet(f"{broken}/nothing-here"))
 
-    names = ["broken", "gone", "src0", "src1", "src2", "unread"]
+    names = ["broken", "gone", *sources, "unread"]
     enabled = t.spark.createDataFrame([(f"id-{n}", n) for n in names], "id string, name string")
-    readers = {n: of(n) for n in ("src0", "src1", "src2")} | {"broken": feed, "gone": gone}
+    readers = {n: of(n) for n in sources} | {"broken": feed, "gone": gone}
     found, warnings = landed.gather(t.spark, readers, enabled)
     return found.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows")).withColumn("warnings", F.lit(len(warnings)).cast("bigint"))
 
 
+@query(
+    "gather_sources",
+    """SELECT source_name, count(*) AS rows, CAST(3 AS BIGINT) AS warnings
+       FROM (SELECT source AS source_name FROM documents WHERE source IN ('src0', 'src1', 'src2')) GROUP BY 1""",
+)
+def gather_sources(t: Tables) -> DataFrame:
+    return _gathered(t, ["src0", "src1", "src2"])
+
+
+@query(
+    "gather_every_source",
+    "SELECT source AS source_name, count(*) AS rows, CAST(3 AS BIGINT) AS warnings FROM documents GROUP BY 1",
+)
+def gather_every_source(t: Tables) -> DataFrame:
+    """The registry is made of the sources the table has, so every document is gathered."""
+    return _gathered(t, [r["source"] for r in t.documents.select("source").distinct().collect()])
+
+
 def _posts(t: Tables) -> DataFrame:
     key = F.col("doc_id").cast("string")
     return t.documents.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import bpe, exact, fingerprints, licenses, lm, minhash, packing, sharding, token_files, toxicity
+from sigmill.llm import bpe, centroids, exact, fingerprints, licenses, lm, minhash, packing, sharding, token_files, toxicity
 from sigmill.llm.common import LOWER, UPPER, table
 from sigmill.session import scratch_dir
 
@@ -92,3 +92,41 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql() -> str:
+    """The rounds written out: ``c<i>`` are the centroids before round ``i``."""
+    steps = [
+        """p AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c
+    FROM (SELECT v, sha256('3:' || vec_id) AS h FROM p ORDER BY h LIMIT 8))"""
+    ]
+    for i in range(11):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT vec_id, any_value(v) AS v, min({{'d': d, 'c': cluster}}) AS best
+    FROM (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+          FROM p, c{i})
+    GROUP BY vec_id)""")
+        if i < 10:
+            steps.append(f"""m{i} AS (
+    SELECT cluster, list(CAST(CASE WHEN s >= 0 OR s % n = 0 THEN s // n ELSE s // n - 1 END AS BIGINT) ORDER BY dim) AS c
+    FROM (SELECT cluster, dim, sum(x) AS s, count(*) AS n
+          FROM (SELECT best.c AS cluster, unnest(v) AS x, unnest(range(64)) AS dim FROM a{i}) GROUP BY cluster, dim)
+    GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON cluster = best.c"""
+
+
+ORACLES["op13_centroids"] = _centroid_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import bpe, centroids, exact, fingerprints, licenses, lm, minhash, packing, sharding, token_files, toxicity
+from sigmill.llm import bpe, centroids, exact, fingerprints, licenses, lm, minhash, negatives, packing, sharding, token_files, toxicity
 from sigmill.llm.common import LOWER, UPPER, table
 from sigmill.session import scratch_dir
 
@@ -130,3 +130,26 @@ FROM a10 JOIN c10 ON cluster = best.c"""
 
 
 ORACLES["op13_centroids"] = _centroid_sql()
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS row, b.vec_id AS id, a.label = b.label AS same,
+           CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.row <> b.row),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, row) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.id, n.row) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import bpe, centroids, exact, fingerprints, licenses, lm, minhash, negatives, packing, sharding, token_files, toxicity
+from sigmill.llm import bpe, centroids, exact, fingerprints, licenses, lm, minhash, negatives, packing, repeats, sharding, token_files, toxicity
 from sigmill.llm.common import LOWER, UPPER, table
 from sigmill.session import scratch_dir
 
@@ -153,3 +153,21 @@ SELECT p.anchor_id, p.id AS positive_id,
        n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3"""
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+v AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) ANTI JOIN gone USING (doc_id, i)
+    GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""

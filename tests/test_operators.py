@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.operators import containment, dedup, merge, ordering, prompts
+from sigmill.operators import containment, dedup, leaders, merge, ordering, prompts
 from sigmill.operators.encode import backfill_embeddings, encode_texts
 from sigmill.operators.leaders import leader_clusters, nearest_leaders
 from workload.base import trigram_encoder
@@ -48,25 +48,56 @@ def test_leaders_equal_the_sequential_rule(spark, seed):
     threshold = [0.88, 0.6, 0.3][seed % 3]
     wanted = sequential(points, threshold)
     assert clustered(spark, points, threshold) == wanted
-    # Small blocks: many rounds.
-    assert clustered(spark, points, threshold, block=7) == wanted
+    # Small tiles: points wait for other tiles.
+    assert clustered(spark, points, threshold, tile_rows=7) == wanted
 
 
-def test_leaders_over_many_shares(spark, monkeypatch):
-    from sigmill.operators import leaders as module
-
-    monkeypatch.setattr(module, "POINTS_PER_PART", 9)
+def test_leaders_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(leaders, "_ROUTED", 9)
     rng = np.random.default_rng(17)
     points = rng.normal(size=(70, 5))
     wanted = sequential(points, 0.7)
-    assert clustered(spark, points, 0.7, block=20) == wanted
-    # The same leaders, given in groups of three, are found again.
+    assert clustered(spark, points, 0.7, tile_rows=20) == wanted
+    # The same leaders, given in tiles of three, are found again.
     frame = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(points)], "seq bigint, id bigint, vector array<float>")
     heads = frame.filter(F.col("id").isin(sorted(set(wanted))))
-    found = nearest_leaders(frame, heads, 0.7, group_rows=3).orderBy("seq").collect()
+    found = nearest_leaders(frame, heads, 0.7, tile_rows=3).orderBy("seq").collect()
     assert [i if r["leader_id"] is None else r["leader_id"] for i, r in enumerate(found)] == wanted
 
 
+def test_chains_that_cross_tiles(spark):
+    """Every point only reaches its neighbours in order, so every second one is a leader."""
+    points = [[np.cos(0.3 * i), np.sin(0.3 * i), 0.0] for i in range(10)]
+    wanted = sequential(points, np.cos(0.35))
+    assert wanted == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+    assert clustered(spark, points, float(np.cos(0.35)), tile_rows=3) == wanted
+
+
+def test_points_skip_tiles_that_they_cannot_reach(spark):
+    rng = np.random.default_rng(3)
+    centres = np.eye(8)
+    points = centres[np.arange(400) % 8] + rng.normal(scale=0.05, size=(400, 8))
+    frame = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(points)], "seq bigint, id bigint, vector array<float>")
+    index = leaders.build_index(frame, 25)
+    rows = leaders.routing(frame, index, 0.88).collect()
+    assert len(rows) == 400 and len({r["met"] + r["skipped"] for r in rows}) == 1
+    assert sum(r["met"] for r in rows) < 0.4 * sum(r["met"] + r["skipped"] for r in rows)
+    assert all(r["met"] for r in rows)
+    # Nothing within the threshold is skipped.
+    units = points / np.linalg.norm(points, axis=1)[:, None]
+    reach, cells = index.reachable(units, 0.88), index.cells(units)
+    for i, j in np.argwhere(units @ units.T >= 0.88):
+        assert reach[i, cells[j]]
+    assert clustered(spark, points[:120], 0.88, tile_rows=15) == sequential(points[:120], 0.88)
+
+
+def test_copies_and_vectors_of_several_lengths(spark):
+    points = [[1.0, 0.0]] * 40 + [[0.0, 0.0]] * 3 + [[0.9, 0.1]] * 40 + [[0.0, 1.0]] * 5
+    assert clustered(spark, points, 0.88, tile_rows=5) == sequential(points, 0.88)
+    with pytest.raises(ValueError):
+        clustered(spark, [[1.0, 0.0], [1.0]], 0.88)
+
+
 def test_drift_regime_keeps_two_clusters(spark):
     """Two themes with close members and a cross similarity below the threshold stay apart."""
     intra, cross = 0.8853, 0.8380

@@ -128,16 +128,14 @@ def cluster_titles(t: Tables) -> DataFrame:
 
 @query(
     "nearest_leaders",
-    f"""WITH p AS (SELECT vec_id, v FROM ({_UNIT})), l AS (SELECT vec_id, v FROM ({_UNIT}) WHERE label = 3)
+    f"""WITH p AS (SELECT vec_id, v FROM ({_UNIT}))
         SELECT p.vec_id, arg_max(l.vec_id, (list_dot_product(l.v, p.v), l.vec_id)) AS leader_id,
                round(max(list_dot_product(l.v, p.v)), 6) AS similarity
-        FROM p LEFT JOIN l ON l.vec_id < p.vec_id AND list_dot_product(l.v, p.v) >= 0.2 GROUP BY p.vec_id""",
+        FROM p LEFT JOIN p l ON l.vec_id < p.vec_id AND list_dot_product(l.v, p.v) >= 0.2 GROUP BY p.vec_id""",
 )
-def nearest_of_label(t: Tables) -> DataFrame:
-    points = t.embeddings.select(
-        F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
-    )
-    found = nearest_leaders(points.drop("label"), points.filter("label = 3").drop("label"), 0.2)
+def nearest_of_all(t: Tables) -> DataFrame:
+    points = t.embeddings.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nearest_leaders(points, points, 0.2)
     return found.select(F.col("id").alias("vec_id"), "leader_id", F.round("similarity", 6).alias("similarity"))
 
 

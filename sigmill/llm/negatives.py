@@ -144,20 +144,21 @@ def _meet(rows: DataFrame, anchors: DataFrame, same: bool, most: int) -> DataFra
 
     With ``same``, anchors meet the other rows of their label, else those of other labels.
     """
-    cell = F.col("label") if same else F.lit(0)
-    rows, anchors = (d.withColumn("cell", cell) for d in (rows, anchors))
-    blocks = (
-        rows.groupBy("cell").agg(_blocks(F.count(F.lit(1)), ROWS, CELLS).alias("across"))
-        .join(anchors.groupBy("cell").agg(_blocks(F.count(F.lit(1)), ANCHORS, 1).alias("down")), "cell")
-    )
-    blocks = cut(blocks, "blocks")
-
-    def dealt(d: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
-        d = d.join(blocks, "cell").withColumn(own, F.pmod(F.xxhash64("row"), F.col(n)).cast("int"))
-        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("across", "down")
-
-    left = dealt(rows, "i", "across", "j", "down").groupBy("cell", "i", "j")
-    right = dealt(anchors, "j", "down", "i", "across").groupBy("cell", "i", "j")
+    n, m = F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m")
+    across, down = _blocks(F.col("n"), ROWS, CELLS), _blocks(F.col("m"), ANCHORS, 1)
+    if same:
+        sizes = cut(rows.groupBy(F.col("label").alias("cell")).agg(n).join(anchors.groupBy(F.col("label").alias("cell")).agg(m), "cell"), "sizes")
+        rows, anchors = (d.withColumn("cell", F.col("label")).join(sizes, "cell") for d in (rows, anchors))
+    else:
+        sizes = [F.lit(d.count()).alias(c) for d, c in ((rows, "n"), (anchors, "m"))]
+        rows, anchors = (d.select("*", F.lit(0).alias("cell"), *sizes) for d in (rows, anchors))
+
+    def dealt(d: DataFrame, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+        d = d.withColumn(own, F.pmod(F.xxhash64("row"), own_n).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1))).drop("n", "m")
+
+    left = dealt(rows, "i", across, "j", down).groupBy("cell", "i", "j")
+    right = dealt(anchors, "j", down, "i", across).groupBy("cell", "i", "j")
     kind = rows.schema["vec_id"].dataType.simpleString()
     schema = f"anchor bigint, k int, row bigint, id {kind}, score bigint"
     found = left.cogroup(right).applyInArrow(lambda r, a: _best(r, a, same, most), schema)

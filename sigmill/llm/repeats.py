@@ -242,7 +242,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if width < GRAM:
         raise ValueError(f"a window has at least {GRAM} words")
     every = cut(arrow_map(docs, _emit_anchors(width), "doc bigint, place int, anchor bigint, again boolean"), "anchors")
-    first = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("ref")).filter("n > 1").drop("n")
+    # Written down, so that the join's sides are shuffles of their own and a hot anchor can be split.
+    first = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("ref")).filter("n > 1").drop("n"), "first")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("ref"), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int")
     # All but the first place of a recurring anchor.
@@ -259,7 +260,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     dealt = parsed.unionByName(refs).join(docs, "doc").repartition("block", "salt").sortWithinPartitions("block", "salt", "mark", "doc")
     found = cut(arrow_map(dealt, _parse(width), OUT), "factors")
     open_ = found.filter("anchor IS NOT NULL")
-    one = open_.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1").drop("n")
+    one = cut(open_.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1").drop("n"), "one")
     later = open_.join(one, ["anchor", "window"]).filter("doc > first")
     return found.filter("anchor IS NULL").select("doc", "begin", "end").unionByName(later.select("doc", "begin", "end"))
 

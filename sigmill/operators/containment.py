@@ -2,13 +2,16 @@
 
 One native plan for a dictionary of any size; every phrase has an anchor that its texts must hold too.
 
-* A phrase with a whole word between two of its spaces is anchored by the one of these words that the
-  fewest texts hold. Texts are looked at word by word.
-* Any other phrase is anchored by a run of its characters, the one that the fewest other phrases hold.
-  Texts are looked at character by character, if there are such phrases at all.
-
-Words or runs of a text are first looked up in a bit set of the anchors, of fixed size; what is left takes
-its text along, is joined to the dictionary on the anchor and compared in full.
+* A phrase with a whole word between two of its spaces is anchored by such a word: the one that the texts
+  hold least often, times the phrases that share it. Texts are looked at word by word.
+* Any other phrase, and one whose words too many phrases share, is anchored by a run of its characters, the
+  one that the fewest other phrases hold. Texts are looked at character by character, if there are such
+  phrases at all.
+
+Words or runs of a text are first looked up in a bit set of the anchors, whose size follows the dictionary.
+What is left is joined to the dictionary on the anchor, and takes along a slice of the text around it, about as
+long as the longest phrase on either side; no text is shuffled whole. The join's hot anchors are split by
+their measured size at run time (``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations
@@ -20,9 +23,21 @@ from sigmill.session import cut
 
 # Anchor lengths; a phrase takes the longest that it holds.
 ANCHOR_LENGTHS = (1, 2, 4, 8, 16)
-# Words of 64 bits in the anchors' bit set: half a megabyte whatever the dictionary.
-BIT_WORDS = 65_536
+# 64-bit words of the anchors' bit set, at least and at most; between these, 16 bits for each anchor.
+BIT_WORDS = (1 << 10, 1 << 20)
 WINDOW_CHARS = 64
+# Longer texts are looked at in pieces of this many characters, or of the longest phrase's if that is more.
+PIECE_CHARS = 16_384
+# Phrases that may share an anchor word.
+SHARED = 256
+
+
+def _pieces(texts: DataFrame, longest: int) -> DataFrame:
+    """``id, piece``: pieces of each text that overlap, so that whatever is at most ``longest`` long is whole in one."""
+    size = max(PIECE_CHARS, longest)
+    chunks = F.split("text", f"(?s)(?<=\\G.{{{size}}})")
+    over = F.transform(chunks, lambda c, i: F.concat(c, F.left(F.coalesce(F.get(chunks, i + 1), F.lit("")), F.lit(longest - 1))))
+    return texts.select("id", F.explode(F.when(F.length("text") <= size, F.array("text")).otherwise(over)).alias("piece"))
 
 
 def _anchors(phrases: DataFrame) -> DataFrame:
@@ -41,23 +56,26 @@ def _anchors(phrases: DataFrame) -> DataFrame:
     return best.filter("rank = 1").select("pos", "phrase", "n", "anchor", "offset")
 
 
-def _bit_set(dictionary: DataFrame) -> Column:
-    """The anchors as an array of ``BIT_WORDS`` numbers."""
-    spark = dictionary.sparkSession
-    bits = dictionary.select(
-        F.pmod("anchor", F.lit(BIT_WORDS)).alias("word"),
+def _bit_set(anchors: DataFrame, size: int) -> Column:
+    """The anchors as an array of ``size`` numbers."""
+    bits = anchors.select(
+        F.pmod("anchor", F.lit(size)).alias("word"),
         F.expr("shiftleft(1L, CAST(pmod(shiftright(anchor, 20), 64) AS INT))").alias("bits"),
     )
-    every = spark.range(BIT_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    every = anchors.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
     words = bits.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     whole = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
     return whole.select(F.transform("all", lambda x: x["bits"])).scalar()
 
 
-def _marked(bits: Column) -> Column:
+def _bit_words(n: int) -> int:
+    return min(BIT_WORDS[1], max(BIT_WORDS[0], 1 << (max(n, 1) // 4).bit_length()))
+
+
+def _marked(anchor: Column, bits: Column, size: int) -> Column:
     """Whether the bit set may hold ``anchor``."""
-    word = F.pmod("anchor", F.lit(BIT_WORDS)).cast("int")
-    return F.getbit(F.get(bits, word), F.expr("CAST(pmod(shiftright(anchor, 20), 64) AS INT)")) == 1
+    bit = F.pmod(F.shiftright(anchor, 20), F.lit(64)).cast("int")
+    return F.getbit(F.get(bits, F.pmod(anchor, F.lit(size)).cast("int")), bit) == 1
 
 
 def _inner_words(column: str) -> Column:
@@ -65,45 +83,64 @@ def _inner_words(column: str) -> Column:
     return F.filter(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))), lambda w: w != "")
 
 
-def _by_word(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    words = cut(phrases.select("pos", "phrase", F.explode(_inner_words("phrase")).alias("word")), "words")
-    anchors = words.select(F.xxhash64("word").alias("anchor")).distinct()
-    each = texts.select("id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    each = each.withColumn("anchor", F.xxhash64("word"))
-    held = (
-        each.select("word", "anchor").filter(_marked(_bit_set(anchors)))
-        .groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+def _word_anchors(pieces: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """``pos, phrase, word, before, after, shared``: each phrase's anchor word, null where it has none.
+
+    ``before`` and ``after`` count the phrase's words around the anchor. A phrase with a word that no text
+    holds is in none and is left out.
+    """
+    size = _bit_words(n)
+    bits = _bit_set(words.filter("word IS NOT NULL").select(F.xxhash64("word").alias("anchor")), size)
+    each = pieces.select(F.explode(F.split("piece", " ")).alias("word")).filter(_marked(F.xxhash64("word"), bits, size))
+    met = each.groupBy("word").agg(F.count(F.lit(1)).alias("met"))
+    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("shared"))
+    order = Window.partitionBy("pos", "phrase").orderBy("cost", "word")
+    ranked = words.join(shared, "word", "left").join(met, "word", "left").withColumn("cost", F.col("shared") * F.coalesce("met", F.lit(0)))
+    best = ranked.withColumn("rank", F.row_number().over(order)).filter("rank = 1 AND (word IS NULL OR cost > 0)")
+    all_words = F.split("phrase", " ")
+    # The place of the anchor among the inner words; the first word is none of them.
+    at = F.array_position(F.slice(all_words, 2, F.greatest(F.size(all_words) - 2, F.lit(0))), F.col("word")).cast("int")
+    return best.select("pos", "phrase", "word", at.alias("before"), (F.size(all_words) - 1 - at).alias("after"), "shared")
+
+
+def _by_word(pieces: DataFrame, dictionary: DataFrame, n: int, before: int, after: int) -> DataFrame:
+    size = _bit_words(n)
+    bits = _bit_set(dictionary.select(F.xxhash64("word").alias("anchor")), size)
+    each = pieces.select("id", F.split("piece", " ").alias("words")).select("id", "words", F.posexplode("words").alias("i", "word"))
+    first = F.greatest(F.col("i") - before, F.lit(0))
+    likely = each.filter(_marked(F.xxhash64("word"), bits, size)).select(
+        "id", "word", F.array_join(F.slice("words", first + 1, F.col("i") - first + after + 1), " ").alias("part")
     )
-    order = Window.partitionBy("pos", "phrase").orderBy("held", "word")
-    # A word that no text holds leaves its phrase without any.
-    ranked = words.join(held, "word", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    best = ranked.withColumn("rank", F.row_number().over(order)).filter("rank = 1 AND held > 0").select("pos", "phrase", "word")
-    dictionary = cut(best.withColumn("anchor", F.xxhash64("word")), "anchors")
-    likely = each.filter(_marked(_bit_set(dictionary.select("anchor"))))
-    found = likely.join(dictionary.drop("anchor"), "word").filter(F.contains("text", F.col("phrase")))
-    return found.select("id", "pos")
+    return likely.join(dictionary.select("pos", "phrase", "word"), "word").filter(F.contains("part", F.col("phrase"))).select("id", "pos")
 
 
-def _by_run(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def _by_run(pieces: DataFrame, phrases: DataFrame) -> DataFrame:
     dictionary = cut(_anchors(phrases), "anchors")
-    used = dictionary.select("n").distinct().collect()  # five rows at most
-    bits, likely = _bit_set(dictionary.select("anchor")), None
-    for n in sorted(r["n"] for r in used):
+    rest = F.length("phrase") - F.col("offset")
+    # A row for each anchor length.
+    used = dictionary.groupBy("n").agg(F.count(F.lit(1)).alias("held"), F.max("offset").alias("before"), F.max(rest).alias("after")).collect()
+    size = _bit_words(sum(r["held"] for r in used))
+    bits, likely = _bit_set(dictionary.select("anchor"), size), None
+    for n, _, before, after in sorted(used):
         # Positions within short windows: finding one costs the characters before it.
-        starts = F.sequence(F.lit(0), F.length("text") - n, F.lit(WINDOW_CHARS))
-        parts = texts.filter(F.length("text") >= n).select("id", "text", F.explode(starts).alias("start"))
-        parts = parts.withColumn("part", F.substr("text", F.col("start") + 1, F.lit(WINDOW_CHARS + n - 1)))
-        runs = parts.select("*", F.explode(F.sequence(F.lit(1), F.length("part") - (n - 1))).alias("at")).select(
-            "id", "text", (F.col("start") + F.col("at")).alias("at"), F.lit(n).alias("n"),
-            F.xxhash64(F.substr("part", F.col("at"), F.lit(n))).alias("anchor"),
+        window = max(WINDOW_CHARS, before + after)
+        starts = F.sequence(F.lit(0), F.length("piece") - n, F.lit(window))
+        parts = pieces.filter(F.length("piece") >= n).select("id", "piece", F.explode(starts).alias("start"))
+        left = F.least(F.col("start"), F.lit(before))
+        # Of the piece only the window and what a phrase may need on either side.
+        parts = parts.select("id", left.alias("left"), F.substr("piece", F.col("start") + 1 - left, left + F.lit(window - 1 + after)).alias("part"))
+        last = F.least(F.lit(window), F.length("part") - F.col("left") - (n - 1))
+        runs = parts.select("*", F.explode(F.sequence(F.lit(1), last)).alias("k")).select(
+            "id", "part", (F.col("left") + F.col("k")).alias("at"), F.lit(n).alias("n"),
+            F.xxhash64(F.substr("part", F.col("left") + F.col("k"), F.lit(n))).alias("anchor"),
         )
-        kept = runs.filter(_marked(bits))
+        kept = runs.filter(_marked(F.col("anchor"), bits, size))
         likely = kept if likely is None else likely.unionByName(kept)
     begin = F.col("at") - F.col("offset")
     found = likely.join(dictionary, ["n", "anchor"]).filter(
-        (begin >= 1) & (F.substr("text", begin, F.length("phrase")) == F.col("phrase"))
+        (begin >= 1) & (F.substr("part", begin, F.length("phrase")) == F.col("phrase"))
     )
-    return found.select("id", "pos").distinct()
+    return found.select("id", "pos")
 
 
 def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -114,12 +151,25 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     usable = phrases.filter("phrase <> ''").select(F.col("pos").cast("bigint").alias("pos"), "phrase")
     bodies = texts.filter("text <> ''").select("id", "text")
-    inner = F.size(_inner_words("phrase")) > 0
-    found = texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
-    for part, match in ((usable.filter(inner), _by_word), (usable.filter(~inner), _by_run)):
-        if not part.isEmpty():
-            found = found.unionByName(match(bodies, part))
-    return found
+    words = cut(usable.select("pos", "phrase", F.explode_outer(_inner_words("phrase")).alias("word")), "words")
+    n, longest = words.agg(F.count("word"), F.max(F.length("phrase"))).first()
+    if longest is None:
+        return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
+    pieces = _pieces(bodies, longest)
+    dictionary = cut(_word_anchors(pieces, words, n), "dictionary")
+    by_word = F.col("word").isNotNull() & (F.col("shared") <= SHARED)
+    n, before, after, runs = dictionary.agg(
+        F.count_if(by_word), F.max(F.when(by_word, F.col("before"))), F.max(F.when(by_word, F.col("after"))), F.count_if(~by_word)
+    ).first()
+    parts = []
+    if n:
+        parts.append(_by_word(pieces, dictionary.filter(by_word), n, before, after))
+    if runs:
+        parts.append(_by_run(pieces, dictionary.filter(~by_word).select("pos", "phrase")))
+    if not parts:
+        return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
+    found = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return found.distinct()
 
 
 def first_matches(matches: DataFrame, limit: int = 3) -> DataFrame:

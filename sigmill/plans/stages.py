@@ -37,11 +37,12 @@ class Collected(NamedTuple):
     counters: DataFrame
 
 
-def collect(posts: DataFrame, stored: DataFrame, now: Column, warnings: int = 0) -> Collected:
+def collect(posts: DataFrame, stored: DataFrame, now: Column, warnings: DataFrame | None = None) -> Collected:
     """New posts to append. The first occurrence of a canonical URL wins, stored ones first.
 
     The new posts are written down before anything is counted: appending them changes what is
-    stored, and neither the rows nor the counters may follow that change.
+    stored, and neither the rows nor the counters may follow that change. ``warnings`` has a row for each
+    source that failed.
     """
     usable = posts.filter("url_canon IS NOT NULL")
     fresh, _ = merge.insert_if_absent(stored, usable, ["url_canon"], ["source_name", "seq"])
@@ -55,12 +56,12 @@ def collect(posts: DataFrame, stored: DataFrame, now: Column, warnings: int = 0)
         ),
         "collected",
     )
+    failed = rows.limit(0) if warnings is None else warnings
     counts = side_by_side(
-        usable.agg(F.count(F.lit(1)).alias("offered")), rows.agg(F.count(F.lit(1)).alias("collected"))
-    )
-    counters = counts.select(
-        "collected", (F.col("offered") - F.col("collected")).alias("skipped"), F.lit(warnings).cast("bigint").alias("warnings")
+        usable.agg(F.count(F.lit(1)).alias("offered")), rows.agg(F.count(F.lit(1)).alias("collected")),
+        failed.agg(F.count(F.lit(1)).alias("warnings")),
     )
+    counters = counts.select("collected", (F.col("offered") - F.col("collected")).alias("skipped"), "warnings")
     return Collected(rows, counters)
 
 

@@ -6,12 +6,11 @@ Every reader takes an explicit schema. Posts come out with one common set of col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sigmill import schemas
 from sigmill.functions import text as tx
@@ -170,35 +169,79 @@ def with_source_ids(posts: DataFrame, source: DataFrame) -> tuple[DataFrame, Dat
     return joined.filter("source_id IS NOT NULL"), unknown
 
 
+#: Posts as landed, one a line; names of files of such lines, and of feeds.
+LANDED_POST = "url string, title string, text string, kind string, published_at timestamp"
+LINES, FEEDS = "*.{json,jsonl,json.gz,jsonl.gz}", "*.{xml,rss}"
+
+
+class Gathered(NamedTuple):
+    posts: DataFrame
+    warnings: DataFrame
+
+
+def _landed(spark: SparkSession, root: str, names: str, whole: bool) -> DataFrame:
+    """Lines or whole files under ``root/source_name=.../``, each file read once."""
+    read = spark.read.schema("value string, source_name string").option("wholetext", whole).option("pathGlobFilter", names)
+    return read.text(root).select("source_name", _reading_order().alias("seq"), "value")
+
+
+def _line_posts(lines: DataFrame) -> DataFrame:
+    parsed = F.from_json("value", f"{LANDED_POST}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    rows = lines.filter(tx.has_text("value")).withColumn("post", parsed)
+    torn = F.col("post").isNull() | F.col("post.broken").isNotNull()
+    post = F.struct(*[F.col(f"post.{c}").alias(c) for c in ("url", "title", "text", "kind", "published_at")])
+    return rows.select("source_name", "seq", F.when(torn, F.lit("a line is no post")).alias("error"), F.when(~torn, post).alias("post"))
+
+
+def _feed_posts(files: DataFrame) -> DataFrame:
+    item = f"array<struct<{', '.join(f.replace(' ', ':') for f in schemas.FEED_ITEM.split(', '))}>>"
+    # The items stand in the channel; what holds the channel may be left out.
+    schema = f"channel struct<item:{item}>, item {item}, broken string"
+    rows = files.withColumn("feed", F.from_xml("value", schema, {"columnNameOfCorruptRecord": "broken"}))
+    torn = F.col("feed").isNull() | F.col("feed.broken").isNotNull()
+    items = F.when(~torn, F.coalesce("feed.channel.item", "feed.item"))
+    each = rows.select("source_name", "seq", F.when(torn, F.lit("the feed breaks off")).alias("error"), F.posexplode_outer(items).alias("place", "i"))
+    post = F.struct(
+        tx.strip("i.link").alias("url"), tx.decode_entities(F.coalesce(tx.strip("i.title"), F.lit(""))).alias("title"),
+        F.coalesce(tx.strip("i.description"), F.lit("")).alias("text"), F.lit(None).cast("string").alias("kind"),
+        tx.rfc822_utc("i.pubDate").alias("published_at"),
+    )
+    # Items are read in their order within the file.
+    seq = F.struct("seq.file", (F.col("seq.at") * F.lit(1 << 20) + F.coalesce("place", F.lit(0))).alias("at"))
+    return each.select("source_name", seq.alias("seq"), "error", F.when(F.col("i").isNotNull() & tx.has_text("i.link"), post).alias("post"))
+
+
 def gather(
-    spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame]], enabled: DataFrame
-) -> tuple[DataFrame, dict[str, str]]:
-    """Union of the landed posts of every enabled source, each tagged with its source row.
+    spark: SparkSession, root: str, enabled: DataFrame, kind: str = "discussion", lines: str = LINES, feeds: str = FEEDS
+) -> Gathered:
+    """The landed posts of every enabled source (``id, name``), and one warning for each source that fails.
+
+    A source's files lie in ``root/source_name=<name>/``: posts as JSON, one a line, where the file's name
+    matches ``lines``, and feeds where it matches ``feeds``. One job reads all files of all sources, each once, into rows: a post, or an error where a
+    line or a feed can't be parsed. An error anywhere in a source's files, however late, keeps back the whole
+    source: it contributes no posts and one row ``source_name, files, reason`` of ``warnings``; the others
+    deliver. So does a source of which nothing landed. Files of sources that aren't enabled are ignored.
 
-    One failing or unknown source contributes no rows and one warning; the others still deliver. Each
-    source is read whole and written down by itself, so a break anywhere in it is met here and not in the
-    joint job. The registry is a short operator-kept list, so its names are read on the driver.
+    ``kind`` is that of posts that don't say theirs. Posts without an address are kept back by ``url_canon``.
     """
-    warnings: dict[str, str] = {}
-    posts: DataFrame | None = None
-    for row in enabled.select("id", "name").orderBy("name").toLocalIterator():
-        reader = readers.get(row["name"])
-        if reader is None:
-            warnings[row["name"]] = "no reader registered"
-            continue
-        try:
-            one = cut(reader().select("seq", *POST_COLUMNS), "gathered")
-        except Exception as error:  # per-source isolation
-            warnings[row["name"]] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
-            continue
-        tagged = one.select(
-            F.lit(row["id"]).alias("source_id"), F.lit(row["name"]).alias("source_name"), "seq", *POST_COLUMNS
-        )
-        posts = tagged if posts is None else posts.unionByName(tagged)
-    if posts is None:
-        fields = T.StructType.fromDDL(
-            "source_id string, source_name string, seq struct<file:string,at:bigint>, url_canon string, url string, title string, body string, "
-            "kind string, published_at timestamp, suspect_short boolean"
-        )
-        posts = spark.createDataFrame([], fields)
-    return posts, warnings
+    rows = _line_posts(_landed(spark, root, lines, whole=False)).unionByName(_feed_posts(_landed(spark, root, feeds, whole=True)))
+    rows = cut(rows, "gathered")
+    wanted = enabled.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    failed = rows.filter("error IS NOT NULL").groupBy("source_name").agg(
+        F.count_distinct("seq.file").alias("files"), F.min("error").alias("reason")
+    )
+    found = rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnRenamed("source_name", "_name")
+        return left.join(right, left["source_name"].eqNullSafe(right["_name"]), how).drop("_name")
+
+    missing = joined(wanted, found, "left_anti").select("source_name", F.lit(0).cast("bigint").alias("files"), F.lit("nothing landed").alias("reason"))
+    warnings = joined(failed, wanted.select("source_name"), "left_semi").unionByName(missing)
+    kept = joined(joined(rows.filter("post IS NOT NULL"), failed.select("source_name"), "left_anti"), wanted, "inner")
+    posts = with_once(kept, "url_canon", urls.canonical_url("post.url")).select(
+        "source_id", "source_name", "seq", "url_canon", F.col("post.url").alias("url"), F.coalesce("post.title", F.lit("")).alias("title"),
+        F.col("post.text").alias("body"), F.coalesce("post.kind", F.lit(kind)).alias("kind"), "post.published_at",
+        tx.is_short("post.text").alias("suspect_short"),
+    )
+    return Gathered(posts, warnings)

@@ -32,22 +32,12 @@ def last_part(column):
     return F.regexp_extract(column, r"/(\d)$", 1)
 
 
-def test_stages_in_a_row(spark, rows):
+def test_stages_in_a_row(spark, rows, tmp_path):
     source = spark.createDataFrame([("s1", "web", True)], "id string, name string, enabled boolean")
-    posts_in = spark.createDataFrame(
-        [({"file": "f", "at": i}, url, "t", text, "complaint") for i, (url, text) in enumerate(TEXTS.items())],
-        "seq struct<file:string,at:bigint>, url string, title string, body string, kind string",
-    )
-
-    def read():
-        from sigmill.functions.text import is_short
-        from sigmill.functions.urls import canonical_url
-
-        return posts_in.withColumns(
-            {"url_canon": canonical_url("url"), "published_at": F.lit(None).cast("timestamp"), "suspect_short": is_short("body")}
-        )
-
-    gathered, warnings = landed.gather(spark, {"web": read}, source)
+    folder = tmp_path / "source_name=web"
+    folder.mkdir()
+    (folder / "posts.json").write_text("\n".join(json.dumps({"url": u, "title": "t", "text": x, "kind": "complaint"}) for u, x in TEXTS.items()))
+    gathered, warnings = landed.gather(spark, str(tmp_path), source)
     events = []
 
     def one_pass(day):
@@ -55,7 +45,7 @@ def test_stages_in_a_row(spark, rows):
             tables.append(spark.createDataFrame([], schemas.RAW_POST), "e2e_post", "id", 2)
             tables.publish(spark.createDataFrame([], schemas.PAIN), "e2e_pain", "id", 2)
             tables.publish(spark.createDataFrame([], schemas.SCORE), "e2e_score", "cluster_id", 2)
-        collected = stages.collect(gathered, spark.table("e2e_post"), now(day), len(warnings))
+        collected = stages.collect(gathered, spark.table("e2e_post"), now(day), warnings)
         events.append(ledger.stage_event(collected.counters, f"run{day}", now(day), "collect"))
         counts = collected.counters.first().asDict()
         tables.append(collected.posts, "e2e_post", "id", 2)

@@ -133,8 +133,10 @@ def test_contained_phrases(spark, rows, monkeypatch):
     phrase_frame = spark.createDataFrame([*enumerate(phrases), (999, "")], "pos bigint, phrase string")
     wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
     assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
-    monkeypatch.setattr(containment, "WINDOW_CHARS", 8)
-    assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
+    # Short windows and pieces, and no word that phrases may share.
+    for name, value in (("WINDOW_CHARS", 8), ("PIECE_CHARS", 5), ("SHARED", 0)):
+        monkeypatch.setattr(containment, name, value)
+        assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
     capped = rows(containment.first_matches(containment.contained_phrases(text_frame, phrase_frame), 3), "id", "pos")
     per_text: dict = {}
     for i, j in sorted(wanted):

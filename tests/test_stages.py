@@ -214,24 +214,28 @@ def test_documents_and_app_ids(spark, rows, tmp_path):
     assert rows(landed.labelled_posts(spark, str(tmp_path / "posts.json"))) == [("u", "t", "x", "demand", "s")]
 
 
-def landed_posts(spark, *urls):
-    return spark.createDataFrame(
-        [({"file": "f", "at": i}, u, u, "t", "b", "demand", None, False) for i, u in enumerate(urls)],
-        "seq struct<file:string,at:bigint>, url_canon string, url string, title string, body string, kind string, published_at timestamp, suspect_short boolean")
+def land(root, source, name, *lines):
+    folder = root / f"source_name={source}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text("\n".join(lines), encoding="utf-8")
 
 
-def test_collect_isolates_sources_and_reruns_empty(spark, rows):
-    enabled = spark.createDataFrame([("1", "good"), ("2", "broken"), ("3", "unknown")], "id string, name string")
+def landed_line(url, text="b", **more):
+    return json.dumps({"url": url, "title": "t", "text": text, "kind": "demand"} | more)
 
-    def broken():
-        raise OSError("landing folder is gone")
 
-    posts, warnings = landed.gather(spark, {"good": lambda: landed_posts(spark, "u1", "u2", "u1"), "broken": broken}, enabled)
-    assert sorted(warnings) == ["broken", "unknown"]
+def test_collect_isolates_sources_and_reruns_empty(spark, rows, tmp_path):
+    enabled = spark.createDataFrame([("1", "good"), ("2", "broken"), ("3", "unknown")], "id string, name string")
+    land(tmp_path, "good", "a.json", *[landed_line(f"https://g.example/{i}") for i in (1, 2, 1)])
+    land(tmp_path, "broken", "a.json", *[landed_line(f"https://b.example/{i}") for i in range(50)], '{"url": "https://b.exa')
+    land(tmp_path, "disabled", "a.json", landed_line("https://d.example/1"), "{")
+    posts, warnings = landed.gather(spark, str(tmp_path), enabled)
+    assert rows(warnings) == [("broken", 1, "a line is no post"), ("unknown", 0, "nothing landed")]
     stored = spark.createDataFrame([], schemas.RAW_POST)
-    first = stages.collect(posts, stored, at("2026-01-01"), len(warnings))
+    first = stages.collect(posts, stored, at("2026-01-01"), warnings)
     assert rows(first.counters) == [(2, 1, 2)]
-    assert rows(first.posts, "url_canon", "source_id", "fetch_status") == [("u1", "1", "new"), ("u2", "1", "new")]
+    found = [("https://g.example/1", "1", "new"), ("https://g.example/2", "1", "new")]
+    assert rows(first.posts, "url_canon", "source_id", "fetch_status") == found
     second = stages.collect(posts, first.posts, at("2026-01-02"))
     assert rows(second.counters) == [(0, 3, 0)] and second.posts.isEmpty()
 
@@ -398,14 +402,37 @@ def test_snapshots_expire_and_appends_compact(spark, rows):
 
 
 def test_gather_meets_a_break_anywhere(spark, rows, tmp_path):
-    head = "<rss><channel><item><title>One</title><link>https://b.example/1</link></item>"
-    (tmp_path / "feed.xml").write_text(head + "<item><title>Two</title><link>https://b.exa", encoding="utf-8")
-
-    def broken():
-        items = landed.feed_items(spark, str(tmp_path), require_title=True, strict=True)
-        return landed_posts(spark, "x").crossJoin(items.select(F.col("title").alias("t2"))).drop("t2")
-
-    enabled = spark.createDataFrame([("1", "good"), ("2", "broken")], "id string, name string")
-    posts, warnings = landed.gather(spark, {"good": lambda: landed_posts(spark, "u1", "u2"), "broken": broken}, enabled)
-    assert list(warnings) == ["broken"]
-    assert rows(posts, "url_canon", "source_id") == [("u1", "1"), ("u2", "1")]
+    item = "<item><title>A &amp;amp; B {0}</title><link> https://f.example/{0} </link><pubDate>Mon, 05 Jan 2026 10:00:00 +0300</pubDate><description>d{0}</description></item>"
+    feed = "<rss version='2.0'><channel><title>x</title>" + "".join(item.format(i) for i in range(3)) + "<item><title>no link</title></item></channel></rss>"
+    land(tmp_path, "feed", "1.xml", feed)
+    land(tmp_path, "torn", "1.xml", feed)
+    land(tmp_path, "torn", "2.xml", feed[: len(feed) // 2])
+    land(tmp_path, "late", "1.json", *[landed_line(f"https://l.example/{i}") for i in range(500)], "", "not json", landed_line("https://l.example/x"))
+    land(tmp_path, "two", "1.json", landed_line("https://t.example/1", kind=None), landed_line(None), landed_line("https://t.example/2", published_at="2026-01-01T00:00:00Z"))
+    land(tmp_path, "two", "empty.xml", "<rss><channel/></rss>")
+    land(tmp_path, "two", "notes.md", "{ never read")
+    names = ["feed", "torn", "late", "two", "absent"]
+    enabled = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "id string, name string")
+    posts, warnings = landed.gather(spark, str(tmp_path), enabled)
+    assert rows(warnings) == [("absent", 0, "nothing landed"), ("late", 1, "a line is no post"), ("torn", 1, "the feed breaks off")]
+    assert rows(posts, "source_id", "url", "title", "body", "kind") == sorted(
+        [("0", f"https://f.example/{i}", f"A & B {i}", f"d{i}", "discussion") for i in range(3)]
+        + [("3", "https://t.example/1", "t", "b", "discussion"), ("3", "https://t.example/2", "t", "b", "demand"), ("3", None, "t", "b", "demand")],
+        key=repr,
+    )
+    assert posts.filter("source_id = '0'").select("published_at").distinct().first()[0] == datetime(2026, 1, 5, 7)
+
+
+def test_gather_runs_as_many_jobs_for_many_sources(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / f"of{n}"
+        for i in range(n):
+            land(root, f"s{i}", "a.json", landed_line(f"https://g.example/{i}"), *(["{"] if i % 3 == 0 else []))
+        enabled = spark.createDataFrame([(str(i), f"s{i}") for i in range(n)], "id string, name string")
+        spark.sparkContext.setJobGroup(f"gather{n}", "gather")
+        found = landed.gather(spark, str(root), enabled)
+        assert found.warnings.count() == -(-n // 3)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"gather{n}"))
+
+    # Adaptive execution may split a job.
+    assert jobs(12) <= jobs(3) + 2

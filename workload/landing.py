@@ -23,7 +23,8 @@ def _as_arrays(t: Tables, rows: DataFrame, column: str, purpose: str) -> str:
     path = scratch_dir(t.spark, purpose)
     files = rows.count() // PER_FILE + 1
     bucket = F.pmod(F.xxhash64(column), F.lit(files))
-    rows.groupBy(bucket.alias("file")).agg(F.to_json(F.collect_list(column)).alias("value")).write.partitionBy("file").text(path)
+    arrays = rows.groupBy(bucket.alias("file")).agg(F.to_json(F.collect_list(column)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -41,18 +42,20 @@ def landed_labelled_posts(t: Tables) -> DataFrame:
         F.lit("demand").alias("kind"), "source",
     ).alias("post")
     path = _as_arrays(t, t.documents.select(post), "post", "labelled")
-    found = landed.labelled_posts(t.spark, f"{path}/*")
+    found = landed.labelled_posts(t.spark, path)
     return found.select("url", "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
 
 
 @query("landed_app_ids", "SELECT c_name AS app_id, count(*) AS n FROM customer GROUP BY c_name")
 def landed_app_ids(t: Tables) -> DataFrame:
-    lists = t.customer.groupBy((F.col("c_custkey") % 7).alias("file")).agg(
+    # Lists of about a hundred names.
+    file = F.pmod(F.xxhash64("c_custkey"), F.lit(t.customer.count() // PER_FILE + 1))
+    lists = t.customer.groupBy(file.alias("file")).agg(
         F.to_json(F.struct(F.concat(F.collect_list("c_name"), F.array(F.lit(" "))).alias("app_ids"))).alias("value")
     )
     path = scratch_dir(t.spark, "apps")
-    lists.write.partitionBy("file").text(path)
-    return landed.app_ids(t.spark, f"{path}/*").groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return landed.app_ids(t.spark, path).groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _FEED = """
@@ -101,52 +104,38 @@ def landed_reviews(t: Tables) -> DataFrame:
     return landed.review_posts(landed.reviews(t.spark, path)).select("url_canon", stamp("published_at"))
 
 
-def _gathered(t: Tables, sources: list[str | None]) -> DataFrame:
-    """The named sources whole, one whose feed breaks after its first item, one whose files are gone, one nobody reads."""
-    broken = scratch_dir(t.spark, "broken")
-    first = "<rss><channel><item><title>One</title><link>https://b.example/1</link></item>"
-    t.spark.createDataFrame([(first + "<item><title>Two</title><link>https://b.exa",)], "value string").write.text(broken)
+def _torn(rows: DataFrame, path: str) -> None:
+    """The rows as lines of one source, in the midst of which one line breaks off."""
+    line = F.to_json(F.struct(F.concat(F.lit("https://t.example/"), F.col("doc_id").cast("string")).alias("url"), "text"))
+    middle = F.col("doc_id") == rows.count() // 2
+    rows.select(F.when(middle, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.option("compression", "gzip").text(path)
 
-    def posts(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.struct(F.lit("f").alias("file"), F.col("doc_id").alias("at")).alias("seq"), F.col("doc_id").cast("string").alias("url_canon"),
-            F.col("doc_id").cast("string").alias("url"), F.lit("t").alias("title"), F.col("text").alias("body"), F.lit("demand").alias("kind"),
-            F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("suspect_short"),
-        )
 
-    def of(name: str | None):
-        return lambda: posts(t.documents.filter(F.col("source").eqNullSafe(name)))
-
-    def feed() -> DataFrame:
-        items = landed.feed_items(t.spark, broken, require_title=True, strict=True)
-        return posts(items.select(F.lit(1).cast("bigint").alias("doc_id"), F.col("title").alias("text")))
-
-    def gone() -> DataFrame:
-        return posts(t.spark.read.parquet(f"{broken}/nothing-here"))
-
-    names = ["broken", "gone", *sources, "unread"]
-    enabled = t.spark.createDataFrame([(f"id-{n}", n) for n in names], "id string, name string")
-    readers = {n: of(n) for n in sources} | {"broken": feed, "gone": gone}
-    found, warnings = landed.gather(t.spark, readers, enabled)
-    return found.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows")).withColumn("warnings", F.lit(len(warnings)).cast("bigint"))
-
-
-@query(
-    "gather_sources",
-    """SELECT source_name, count(*) AS rows, CAST(3 AS BIGINT) AS warnings
-       FROM (SELECT source AS source_name FROM documents WHERE source IN ('src0', 'src1', 'src2')) GROUP BY 1""",
-)
-def gather_sources(t: Tables) -> DataFrame:
-    return _gathered(t, ["src0", "src1", "src2"])
+def _summary(found: landed.Gathered) -> DataFrame:
+    """Posts and characters of each source, beside how many sources failed and why."""
+    failed = found.warnings.agg(F.count(F.lit(1)).alias("warnings"), F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("reasons"))
+    per_source = found.posts.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("body")).alias("chars"))
+    return per_source.withColumns({c: failed.select(c).scalar() for c in failed.columns})
 
 
 @query(
     "gather_every_source",
-    "SELECT source AS source_name, count(*) AS rows, CAST(3 AS BIGINT) AS warnings FROM documents GROUP BY 1",
+    """SELECT source AS source_name, count(*) AS rows, sum(length(text)) AS chars,
+              (SELECT count(*) FROM (VALUES ('torn lines'), ('torn feed'), ('nothing landed'))) AS warnings,
+              'a line is no post, nothing landed, the feed breaks off' AS reasons FROM documents GROUP BY 1""",
 )
 def gather_every_source(t: Tables) -> DataFrame:
-    """The registry is made of the sources the table has, so every document is gathered."""
-    return _gathered(t, [r["source"] for r in t.documents.select("source").distinct().collect()])
+    """Every document lands with its source; beside them are two sources that break midway and one without files."""
+    root = scratch_dir(t.spark, "landing")
+    post = t.documents.select(F.concat(F.lit("https://p.example/"), F.col("doc_id").cast("string")).alias("url"), "text", F.col("source").alias("source_name"))
+    post.write.partitionBy("source_name").json(root)
+    feed = "<rss><channel>" + "<item><title>One</title><link>https://b.example/1</link></item>" * 50
+    t.spark.createDataFrame([(feed + "<item><title>Two</title><link>https://b.exa",)], "value string").write.text(f"{root}/source_name=feed")
+    _torn(t.documents, f"{root}/source_name=lines")
+    names = t.documents.select(F.col("source").alias("name")).distinct()
+    more = t.spark.createDataFrame([("feed",), ("lines",), ("unread",)], "name string")
+    enabled = names.unionByName(more).select(F.concat(F.lit("id-"), F.coalesce("name", F.lit("none"))).alias("id"), "name")
+    return _summary(landed.gather(t.spark, root, enabled, lines="*.{json,txt.gz}", feeds="*.txt"))
 
 
 def _posts(t: Tables) -> DataFrame:

@@ -17,9 +17,6 @@ from pyspark.sql import DataFrame
 
 from sigmill.llm.common import arrow_map, blank, steps
 
-#: Characters of other text that may stand between two sentences of one rule.
-GAP = 200
-
 #: Identifier and wording of known sentences; ``<n>`` stands for a version. Fixed values, from the public licence texts.
 SENTENCES = (
     ("apache-line", "Licensed under the Apache License, Version <n>"),
@@ -82,10 +79,26 @@ RULES = (
     ("CC-BY-SA-{}", ("cc-by-sa",)),
     ("CC-BY-ND-{}", ("cc-by-nd",)),
     ("CC-BY-{}", ("cc-by",)),
+    # A sentence whose neighbours are missing still tells the licence it comes from.
+    ("Apache-{}", ("apache-copy", "apache-asis")),
+    ("Apache-{}", ("apache-copy",)),
+    ("Apache-{}", ("apache-asis",)),
+    ("MIT", ("mit-grant",)),
+    ("MIT", ("mit-notice", "mit-asis")),
+    ("MIT", ("mit-notice",)),
+    ("MIT", ("mit-asis",)),
+    ("BSD", ("bsd-grant",)),
+    ("BSD", ("bsd-source", "bsd-binary")),
+    ("BSD", ("bsd-source",)),
+    ("BSD", ("bsd-binary",)),
+    ("BSD-3-Clause", ("bsd-names",)),
+    ("{}", ("spdx",)),
 )
 
 _WORD = re.compile(r"<n>|[0-9]+(?:\.[0-9]+)*|[A-Za-z]+(?:[-'’][A-Za-z]+)*")
 _NUMBER = re.compile(r"[0-9]")
+#: A licence tag; its expression is the licence.
+_SPDX = re.compile(r"\bSPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9][A-Za-z0-9.+-]*)*)")
 #: What must follow a sentence: a closing sign, or the end of the line or text.
 _END = re.compile(r"[\"')\]]*(?:[.;:!?,](?:\s|$)|[ \t\r]*(?:\n|$))")
 
@@ -131,7 +144,8 @@ def sentences(text: str) -> list[tuple[str, str | None, int, int]]:
             found.append(best)
             done = best[3]
             at = max(at, done - 1)
-    return found
+    tags = [("spdx", m.group(1).strip("()"), m.start(), m.end()) for m in _SPDX.finditer(text)]
+    return sorted(found + tags, key=lambda s: s[2]) if tags else found
 
 
 def matches(known: list[tuple[str, str | None, int, int]]) -> list[tuple[str, str, int, int, int]]:
@@ -140,8 +154,7 @@ def matches(known: list[tuple[str, str | None, int, int]]) -> list[tuple[str, st
     while i < len(known):
         for licence, rule in RULES:
             own = known[i : i + len(rule)]
-            near = all(b[2] - a[3] <= GAP for a, b in zip(own, own[1:], strict=False))
-            if near and tuple(s[0] for s in own) == rule:
+            if tuple(s[0] for s in own) == rule:
                 version = next((s[1] for s in own if s[1]), None)
                 out.append((licence.replace("{}", version or "unknown"), "+".join(rule), len(rule), own[0][2], own[-1][3]))
                 i += len(rule)

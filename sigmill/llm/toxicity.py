@@ -26,9 +26,8 @@ from sigmill.session import cut
 
 U = np.uint64
 THRESHOLD = 0.7
-#: A lexicon feature is in this part of the toxic training rows at least, and in ``LEAST_ROWS`` of them.
-#: Its number is bounded by the features of an average row over this part, whatever the number of rows.
-LEAST_PART, LEAST_ROWS = 0.002, 3
+#: A lexicon feature is in so many toxic training rows at least, whatever their number.
+LEAST_ROWS = 3
 #: Least log-odds, and least log-odds in standard errors, of a lexicon feature.
 LEAST_ODDS, LEAST_ERRORS = 4.0, 2.6
 #: Labelled training rows that the classifier is fitted on, about: all where there are fewer, else a share by hash.
@@ -125,15 +124,16 @@ def lexicon(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic:
         return np.empty(0, U), np.empty(0, np.int64), 0.0
-    often = _counted(train.filter("toxic = 1"), None).filter(F.col("n") >= max(LEAST_ROWS, LEAST_PART * toxic)).toPandas()
-    h, t = often["hash"].to_numpy(np.int64).view(U), often["n"].to_numpy(float)
-    rest = _counted(train.filter("toxic = 0"), Known(h)).toPandas()
-    other = dict(zip(rest["hash"], rest["n"], strict=True))
-    c = np.array([other.get(int(x), 0) for x in often["hash"]], float)
-    odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
-    kept = (odds >= LEAST_ODDS) & (odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= LEAST_ERRORS)
-    order = np.argsort(h[kept])
-    return h[kept][order], often["kind"].to_numpy(np.int64)[kept][order], toxic / (toxic + clean)
+    often = _counted(train.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_ROWS)
+    rest = _counted(train.filter("toxic = 0"), None).withColumnRenamed("n", "clean")
+    t, c = F.col("n") + 0.5, F.coalesce("clean", F.lit(0)) + 0.5
+    odds = F.log(t / (toxic + 1 - t)) - F.log(c / (clean + 1 - c))
+    # All counts meet in Spark; only what enters the lexicon reaches the driver.
+    kept = often.join(rest, ["hash", "kind"], "left").filter((odds >= LEAST_ODDS) & (odds / F.sqrt(1 / t + 1 / c) >= LEAST_ERRORS))
+    found = kept.select("hash", "kind").toPandas()
+    h = found["hash"].to_numpy(np.int64).view(U)
+    order = np.argsort(h)
+    return h[order], found["kind"].to_numpy(np.int64)[order], toxic / (toxic + clean)
 
 
 def votes(f: Features, known: Known) -> np.ndarray:

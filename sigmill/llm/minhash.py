@@ -26,9 +26,6 @@ from sigmill.session import cut
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Pairs that agree on a smaller part of the signature are not compared in the last search. The agreement of
-#: a pair at 0.75 has mean 0.75 and deviation 0.038, so this is five deviations below.
-LEAST_AGREEMENT = 0.55
 #: Members of a bucket compared with each other at once; larger buckets are dealt over pairs of blocks.
 BLOCK = 512
 #: Members compared with one copy of their centre's set in a task.
@@ -135,7 +132,6 @@ def _candidates(rows: dict[str, np.ndarray], left: int, right: int, key: int) ->
 
     A pair that shares several buckets belongs to the one of its first common band.
     """
-    need = int(np.ceil(LEAST_AGREEMENT * 2 * PERMUTATIONS))
     comp, n, marks, bands, block = (rows[c] for c in ("comp", "n", "marks", "bands", "block"))
     inner = left == right
     mine = np.arange(len(n)) if inner else np.flatnonzero(block == left)
@@ -146,9 +142,6 @@ def _candidates(rows: dict[str, np.ndarray], left: int, right: int, key: int) ->
         if not len(other):
             continue
         agree = np.count_nonzero(marks[other] == marks[i], axis=1)
-        other, agree = other[agree >= need], agree[agree >= need]
-        if not len(other):
-            continue
         first = np.argmax(bands[other] == bands[i], axis=1)
         own = bands[i][first] == key
         if own.any():

@@ -21,8 +21,8 @@ def order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()), "ordered")
 
 
-def dense_order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -> DataFrame:
-    """Like ``order_ids`` but consecutive from zero."""
+def dense_order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "seq", part_name: str | None = None) -> DataFrame:
+    """Like ``order_ids`` but consecutive from zero; ``part_name`` adds the number of each row's partition."""
     gapped = order_ids(df, order, "_gapped")
     part = F.shiftright("_gapped", 33)
     # One row per partition: a handful of numbers, summed on the driver.
@@ -32,22 +32,32 @@ def dense_order_ids(df: DataFrame, order: Sequence[str | Column], name: str = "s
         offsets[row["part"]] = total
         total += row["count"]
     if not offsets:
-        return gapped.withColumnRenamed("_gapped", name)
+        none = gapped.withColumnRenamed("_gapped", name)
+        return none.withColumn(part_name, F.lit(0)) if part_name else none
     spark = df.sparkSession
     starts = spark.createDataFrame([(k, v) for k, v in offsets.items()], "_part int, _start bigint")
-    return (
+    numbered = (
         gapped.withColumn("_part", part.cast("int"))
         .join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_gapped").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_start", "_gapped")
+        .drop("_start", "_gapped")
     )
+    return numbered.withColumnRenamed("_part", part_name) if part_name else numbered.drop("_part")
 
 
 def with_rank_in_group(df: DataFrame, group: str, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """One-based rank inside each group. A group may span many partitions."""
-    ordered = dense_order_ids(df, [group, *order], "_seq")
-    starts = ordered.groupBy(group).agg(F.min("_seq").alias("_first"))
-    return ordered.join(starts, group).withColumn(name, F.col("_seq") - F.col("_first") + 1).drop("_seq", "_first")
+    """One-based rank inside each group. A group may span many partitions.
+
+    Where a group begins is found from one row per partition and group, and each row meets the row of its own
+    partition and group, so a group that holds a third of all rows is as many join keys as it has partitions.
+    """
+    ordered = dense_order_ids(df, [group, *order], "_seq", "_in")
+    heads = ordered.groupBy(F.col("_in").alias("_at"), F.col(group).alias("_group")).agg(F.min("_seq").alias("_head"))
+    first = heads.groupBy(F.col("_group").alias("_name")).agg(F.min("_head").alias("_first"))
+    begins = heads.join(first, F.col("_group").eqNullSafe(F.col("_name"))).select("_at", "_group", "_first")
+    same = (F.col("_in") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group"))
+    ranked = ordered.join(begins, same).withColumn(name, F.col("_seq") - F.col("_first") + 1)
+    return ranked.select(*df.columns, name)
 
 
 def with_previous(df: DataFrame, group: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

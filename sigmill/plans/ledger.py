@@ -38,6 +38,8 @@ COUNTER_LABELS = {
     "rejected": "отклонено",
     "sanity_flag": "узкий разброс",
 }
+# Fixed display names; a stage without one is shown by its key.
+STAGE_LABELS = {"collect": "Сбор", "extract": "Извлечение", "cluster": "Кластеризация", "score": "Скоринг"}
 STATUS_LABELS = {"running": "выполняется", "done": "готово", "error": "ошибка"}
 NOT_STARTED = "— (не запускалась)"
 NO_COUNTERS = "—"
@@ -81,6 +83,10 @@ def fold_runs(events: DataFrame) -> DataFrame:
         F.sum("cost_delta").alias("cost"),
         F.min(pin).alias("pin"),
     )
+    return _runs(per_stage, fold_stats(events))
+
+
+def _runs(per_stage: DataFrame, stats: DataFrame) -> DataFrame:
     known = F.col("stage").isNotNull() & F.col("status").isNotNull()
     heads = per_stage.groupBy("run_id").agg(
         F.min("lo").alias("started_at"),
@@ -89,7 +95,7 @@ def fold_runs(events: DataFrame) -> DataFrame:
         F.min("pin").alias("pin"),
         F.array_sort(F.collect_list(F.when(known, F.struct("stage", "status")))).alias("stages"),
     )
-    stats = fold_stats(events).groupBy("run_id").agg(
+    stats = stats.groupBy("run_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", "value")))).alias("stats")
     )
     return heads.join(stats, "run_id", "left").select(
@@ -103,6 +109,35 @@ def fold_runs(events: DataFrame) -> DataFrame:
     )
 
 
+def partial_runs(events: DataFrame) -> DataFrame:
+    """What a batch of events adds to the ledger: one row per run and stage, from which ``fold_partials`` goes on."""
+    when = F.struct("ts", "event_id")
+    finish = F.col("stage").isNull() & (F.col("status") == "finished")
+    pin = F.when(F.col("prompt_version_id").isNotNull(), F.struct("ts", "event_id", "prompt_version_id"))
+    said = F.when(F.col("status").isNotNull(), when)
+    heads = events.groupBy("run_id", "stage").agg(
+        F.max_by("status", said).alias("status"), F.max(said).alias("status_at"), F.min("ts").alias("lo"),
+        F.max(F.when(finish, F.col("ts"))).alias("end"), F.sum("cost_delta").alias("cost"), F.min(pin).alias("pin"),
+    )
+    counted = events.select("run_id", "stage", F.explode("stats_delta").alias("counter", "delta"))
+    counted = counted.groupBy("run_id", "stage", "counter").agg(F.sum("delta").alias("value"))
+    stats = counted.groupBy(F.col("run_id").alias("_run"), F.col("stage").alias("_stage")).agg(
+        F.collect_list(F.struct("counter", "value")).alias("stats")
+    )
+    same = heads["run_id"].eqNullSafe(stats["_run"]) & heads["stage"].eqNullSafe(stats["_stage"])
+    return heads.join(stats, same, "left").drop("_run", "_stage")
+
+
+def fold_partials(parts: DataFrame) -> DataFrame:
+    """The ledger of ``fold_runs`` from the partial rows of all batches, in any order."""
+    per_stage = parts.groupBy("run_id", "stage").agg(
+        F.max_by("status", "status_at").alias("status"), F.min("lo").alias("lo"), F.max("end").alias("end"),
+        F.sum("cost").alias("cost"), F.min("pin").alias("pin"),
+    )
+    each = parts.select("run_id", F.explode("stats").alias("s"))
+    return _runs(per_stage, each.groupBy("run_id", F.col("s.counter").alias("counter")).agg(F.sum("s.value").alias("value")))
+
+
 def newest_events(events: DataFrame, limit: int = 20) -> DataFrame:
     """The events of the newest runs, so that a report over few runs folds only their events."""
     heads = events.groupBy("run_id").agg(F.min("ts").alias("started_at"))
@@ -160,7 +195,7 @@ def stage_progress(runs: DataFrame) -> DataFrame:
     return rows.select(
         "run_id",
         "position",
-        F.col("s.stage").alias("stage"),
+        F.coalesce(F.try_element_at(lookup(STAGE_LABELS), F.col("s.stage")), F.col("s.stage")).alias("stage"),
         F.when(status.isNull(), F.lit(NOT_STARTED))
         .otherwise(F.coalesce(F.try_element_at(statuses, status), status))
         .alias("status"),

@@ -76,20 +76,53 @@ def seed(versions: DataFrame, shipped: DataFrame, order: Sequence[str] = ()) ->
     return not_stored(once, versions, ["name"], offered=shipped).select(*shipped.columns)
 
 
+def _rising(places: Column) -> Column:
+    """Length of the longest rising run within ``places``: the least end of a run of every length, kept up to date."""
+
+    def onward(tails: Column, x: Column) -> Column:
+        before = F.filter(tails, lambda t: t < x)
+        after = F.slice(tails, F.size(before) + 2, F.greatest(F.size(tails) - F.size(before) - 1, F.lit(0)))
+        return F.concat(before, F.array(x), after)
+
+    return F.size(F.aggregate(places, F.array().cast("array<int>"), onward))
+
+
 def line_delta(versions: DataFrame) -> DataFrame:
-    """Lines each version adds to and drops from the version before it, as sets.
+    """``name, version, previous_version, added, dropped, moved``: how each version differs from the one before it.
 
-    Versions of a name are consecutive, so the one before is found by its number: no order is built.
+    ``added`` and ``dropped`` hold a line as many times as the version has it more often, or less often, in
+    the order of the lines themselves. ``moved`` counts lines that are once in both but not in the longest
+    run of such lines that stands in the same order in both. Versions of a name are consecutive, so the one
+    before is found by its number. Lines are counted by hash aggregates; bodies meet once, by their key.
     """
     before = versions.select(
         "name", F.col("version").alias("previous_version"), (F.col("version") + 1).alias("version"), F.col("body").alias("previous_body")
     )
-    paired = versions.join(before, ["name", "version"])
-    new, old = F.split("body", "\n"), F.split("previous_body", "\n")
-    return paired.select(
-        "name",
-        "version",
-        "previous_version",
-        F.array_except(new, old).alias("added"),
-        F.array_except(old, new).alias("dropped"),
+    paired = versions.join(before, ["name", "version"]).select(
+        "name", "version", "previous_version", F.split("body", "\n").alias("new"), F.split("previous_body", "\n").alias("old")
+    )
+
+    def lines(column: str, sign: int) -> DataFrame:
+        each = paired.select("name", "version", F.posexplode(column).alias("at", "line"))
+        return each.select("name", "version", "line", F.lit(sign).alias("sign"), "at")
+
+    new, old = F.col("sign") > 0, F.col("sign") < 0
+    counted = lines("new", 1).unionByName(lines("old", -1)).groupBy("name", "version", "line").agg(
+        F.sum("sign").cast("int").alias("more"), F.count_if(new).alias("n"), F.count_if(old).alias("o"),
+        F.min(F.when(new, F.col("at"))).alias("new_at"), F.min(F.when(old, F.col("at"))).alias("old_at"),
+    )
+    changed = F.col("more") != 0
+    once = (F.col("n") == 1) & (F.col("o") == 1)
+    per_version = counted.groupBy("name", "version").agg(
+        F.sort_array(F.collect_list(F.when(changed, F.struct("line", "more")))).alias("changed"),
+        F.sort_array(F.collect_list(F.when(once, F.struct("new_at", "old_at")))).alias("kept"),
+    )
+
+    def times(sign: int) -> Column:
+        wanted = F.filter("changed", lambda c: c["more"] * sign > 0)
+        return F.flatten(F.transform(wanted, lambda c: F.array_repeat(c["line"], F.abs(c["more"]))))
+
+    return per_version.select(
+        "name", "version", (F.col("version") - 1).cast("int").alias("previous_version"), times(1).alias("added"), times(-1).alias("dropped"),
+        (F.size("kept") - _rising(F.transform("kept", lambda k: k["old_at"]))).cast("bigint").alias("moved"),
     )

@@ -58,6 +58,16 @@ def natural_id(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)])), 256)
 
 
+def time_ordered_id(at: Column, *parts: Column) -> Column:
+    """Deterministic row id that sorts by time: 48 bits of milliseconds, then 80 bits of the natural key's hash.
+
+    Written as 32 hexadecimal digits, so that ids sort as text the way their times do. A missing time is the
+    epoch; times before it are taken as it.
+    """
+    millis = F.greatest(F.coalesce(F.unix_millis(at), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+    return F.concat(F.lpad(F.lower(F.hex(millis)), 12, "0"), F.substring(natural_id(*parts), 1, 20))
+
+
 def raw_post_rules() -> dict[str, Column]:
     return {
         "url_canon": F.col("url_canon").isNotNull(),

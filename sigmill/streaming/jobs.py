@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sigmill.functions import urls
 from sigmill.functions.expr import with_once
 from sigmill.operators.dedup import keep_first
+from sigmill.plans.ledger import fold_partials, partial_runs
 from sigmill.plans.tables import append_new
 
 
@@ -48,6 +49,25 @@ def ledger_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def store_partials(batch: DataFrame, path: str, epoch: int) -> None:
+    """One batch's additions to the ledger, under its own number: storing a batch again replaces what it stored."""
+    partial_runs(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def ledger_table_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Continuous ledger as a table under ``path``, read by ``stored_ledger``.
+
+    Each batch adds one row per run and stage that it touches and never reads what is stored, so its work
+    follows the batch. A batch replayed after a failure replaces its own rows, so nothing counts twice.
+    """
+    return events.writeStream.foreachBatch(lambda batch, epoch: store_partials(batch, path, epoch)).option("checkpointLocation", checkpoint)
+
+
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The run ledger as of the last batch."""
+    return fold_partials(spark.read.option("basePath", path).parquet(f"{path}/epoch=*"))
+
+
 def windowed_health(
     rows: DataFrame, ts: str, source: str, failed: Column, width: str = "1 day", delay: str = "1 day"
 ) -> DataFrame:

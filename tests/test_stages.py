@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import json
+import random
+from collections import Counter
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from sigmill import schemas
 from sigmill.operators import merge
 from sigmill.operators.merge import UnknownKeyError
-from sigmill.plans import ledger, providers, reports, stages, tables, versions
+from sigmill.plans import ledger, providers, reports, snapshots, stages, tables, versions
 from sigmill.sources import landed
 from sigmill.streaming import jobs
 
@@ -151,7 +154,7 @@ def test_versions(spark, rows):
     shipped = spark.createDataFrame([("p", 1, "new text"), ("p", 5, "five"), ("s", 1, "seed")], "name string, version int, body string")
     assert rows(versions.register(stored, shipped)) == [("p", 5, "five"), ("s", 1, "seed")]
     assert rows(versions.seed(stored, shipped), "name") == [("s",)]
-    assert rows(versions.line_delta(stored)) == [("p", 2, 1, ["c"], ["b"])]
+    assert rows(versions.line_delta(stored)) == [("p", 2, 1, ["c"], ["b"], 0)]
 
 
 FEED = """<?xml version="1.0"?><rss><channel>
@@ -436,3 +439,76 @@ def test_gather_runs_as_many_jobs_for_many_sources(spark, tmp_path):
 
     # Adaptive execution may split a job.
     assert jobs(12) <= jobs(3) + 2
+
+
+def rising(places):
+    """Longest rising run by trying every start."""
+    best = [1] * len(places)
+    for i in range(len(places)):
+        best[i] = 1 + max((best[j] for j in range(i) if places[j] < places[i]), default=0)
+    return max(best, default=0)
+
+
+def test_line_delta_counts_repeats_and_moves(spark, rows):
+    rng = random.Random(4)
+    bodies = [["a", "b", "c", "d"], ["d", "a", "b", "c"], ["d", "a", "a", "", "c"], [""], ["x", "x", "x"], ["x", "y", "x"]]
+    bodies += [[rng.choice("abcdefghijklmn") for _ in range(rng.randrange(1, 14))] for _ in range(25)]
+    stored = spark.createDataFrame([("p", i + 1, "\n".join(b)) for i, b in enumerate(bodies)] + [("q", 1, "only")], "name string, version int, body string")
+    want = []
+    for i, (old, new) in enumerate(zip(bodies, bodies[1:], strict=False)):
+        more = Counter(new)
+        more.subtract(Counter(old))
+        once = [x for x in new if new.count(x) == 1 == old.count(x)]
+        added, dropped = ([x for x in sorted(more) for _ in range(sign * more[x])] for sign in (1, -1))
+        want.append(("p", i + 2, i + 1, added, dropped, len(once) - rising([old.index(x) for x in once])))
+    assert rows(versions.line_delta(stored)) == sorted(want, key=repr)
+    assert {w[5] for w in want} > {0, 1}
+
+
+def test_snapshots_commit_once_and_can_be_restored(spark, tmp_path):
+    root = str(tmp_path / "state")
+
+    def numbers(n):
+        return spark.range(n)
+
+    assert snapshots.latest(spark, root) == 0 and snapshots.versions(spark, root) == []
+    with pytest.raises(LookupError):
+        snapshots.read(spark, root)
+    assert snapshots.commit(numbers(3), root, 0) == 1
+    assert snapshots.commit(numbers(5), root, 1) == 2
+    held = snapshots.read(spark, root, 1)
+    with pytest.raises(snapshots.CommitConflict):
+        snapshots.commit(numbers(9), root, 1)
+    # Two writers that both saw version 2 before either committed.
+    with pytest.raises(snapshots.CommitConflict):
+        snapshots._put(spark, root, 2, "data/late")
+    assert len(list((tmp_path / "state" / "data").iterdir())) == 2 and not list((tmp_path / "state" / "draft").glob("[!.]*"))
+    assert held.count() == 3 and snapshots.read(spark, root).count() == 5
+    assert snapshots.roll_back(spark, root, 1, 2) == 3
+    assert snapshots.read(spark, root).count() == 3
+    # Versions 1 and 3 share their files: only those of version 2 go.
+    assert snapshots.expire(spark, root, keep=1) == 1
+    assert snapshots.versions(spark, root) == [3] and snapshots.read(spark, root).count() == 3
+    with pytest.raises(LookupError):
+        snapshots.roll_back(spark, root, 2, 3)
+
+
+def test_stored_ledger_counts_a_replayed_batch_once(spark, rows, tmp_path):
+    day = datetime(2026, 1, 1)
+    events = spark.createDataFrame(
+        [(i, f"r{i % 3}", day.replace(minute=i), None if i % 7 == 0 else "extract", "finished" if i % 7 == 0 else ["running", "done"][i % 2], {"pains": i, "failed": 1}, Decimal(i), "v" if i % 2 else None)
+         for i in range(40)], schemas.RUN_EVENT)
+    path = str(tmp_path / "ledger")
+    for epoch, batch in ((0, events.filter("event_id >= 25")), (1, events.filter("event_id < 25")), (1, events.filter("event_id < 25"))):
+        jobs.store_partials(batch, path, epoch)
+    assert rows(jobs.stored_ledger(spark, path)) == rows(ledger.fold_runs(events))
+
+
+def test_time_ordered_ids(spark):
+    times = [datetime(1960, 1, 1), datetime(2026, 1, 1), datetime(2026, 1, 1, 0, 0, 0, 1000), datetime(2286, 1, 1), None]
+    frame = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "t timestamp, k int")
+    ids = [r[0] for r in frame.orderBy("k").select(schemas.time_ordered_id(F.col("t"), F.col("k"))).collect()]
+    assert ids[1:4] == sorted(ids[1:4]) and len(set(ids)) == 5 and {len(i) for i in ids} == {32}
+    assert ids[0][:12] == ids[4][:12] == "0" * 12
+    again = [r[0] for r in frame.orderBy("k").select(schemas.time_ordered_id(F.col("t"), F.col("k"))).collect()]
+    assert again == ids

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions.text import strip
-from sigmill.plans import tables
-from sigmill.session import scratch_dir
+from sigmill.plans import snapshots, tables
+from sigmill.session import cut, scratch_dir
 from sigmill.sources import landed
 from sigmill.streaming import jobs
 from workload.base import Tables, query, stamp
@@ -171,3 +171,34 @@ def collect_stream_table(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(schema).json(f"{path}/in")
     jobs.collect_stream(stream, name, f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
     return t.spark.table(name).select("url_canon", F.md5("body").alias("body_md5"))
+
+
+@query(
+    "published_snapshots",
+    """SELECT 'first' AS reading, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 3 = 0
+       UNION ALL SELECT 'newest', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+       UNION ALL SELECT 'rolled back', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 3 = 0
+       UNION ALL SELECT 'conflicts', 1, 2 UNION ALL SELECT 'expired', 1, NULL""",
+)
+def published_snapshots(t: Tables) -> DataFrame:
+    """Two snapshots, a writer that comes too late, the older version read and restored, and the other one dropped."""
+    root, spark = scratch_dir(t.spark, "snapshots"), t.spark
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    third = orders.filter("o_orderkey % 3 = 0")
+    first = snapshots.commit(third, root, 0)
+    second = snapshots.commit(orders, root, first)
+    conflicts = 0
+    try:
+        snapshots.commit(third, root, first)
+    except snapshots.CommitConflict:
+        conflicts += 1
+
+    def reading(name: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")).select(F.lit(name).alias("reading"), "rows", "keys")
+
+    seen = cut(reading("first", snapshots.read(spark, root, first)).unionByName(reading("newest", snapshots.read(spark, root))), "readings")
+    third_version = snapshots.roll_back(spark, root, first, second)
+    expired = snapshots.expire(spark, root, keep=1)
+    back = reading("rolled back", snapshots.read(spark, root, third_version))
+    facts = spark.createDataFrame([("conflicts", conflicts, second), ("expired", expired, None)], "reading string, rows bigint, keys bigint")
+    return seen.unionByName(back).unionByName(facts)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigmill import schemas
 from sigmill.functions import text as tx
-from sigmill.operators.ordering import with_rank_in_group
+from sigmill.operators.ordering import dense_order_ids, with_rank_in_group
 from sigmill.plans import ledger, versions
-from sigmill.streaming.jobs import ledger_stream, windowed_health
+from sigmill.session import scratch_dir
+from sigmill.streaming.jobs import ledger_stream, ledger_table_stream, stored_ledger, windowed_health
 from workload.base import Tables, query, stamp
 
 _STAGES = "string_agg(stage || '=' || status, ', ' ORDER BY stage)"
@@ -42,6 +44,33 @@ def run_ledger(t: Tables) -> DataFrame:
     return _flat(ledger.fold_runs(t.run_event))
 
 
+def _forget_last_commit(t: Tables, checkpoint: str) -> None:
+    """As if the job had been lost after writing its last batch and before noting so."""
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    last = max((f.getPath() for f in files.listStatus(path) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    files.delete(last, False)
+
+
+@query("run_ledger_stream", _RUN, _RUN_VIEWS)
+def run_ledger_stream(t: Tables) -> DataFrame:
+    """The ledger kept by a stream that stops, resumes with more events and has to write its last batch again."""
+    root = scratch_dir(t.spark, "ledger")
+    checkpoint, events = f"{root}/checkpoint", t.run_event
+
+    def run() -> None:
+        stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+        ledger_table_stream(stream, f"{root}/ledger", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    for half in (0, 1):
+        landed = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        landed.repartition(4, "event_id").write.mode("append").parquet(f"{root}/in")
+        run()
+    _forget_last_commit(t, checkpoint)
+    run()
+    return _flat(stored_ledger(t.spark, f"{root}/ledger"))
+
+
 @query("recent_runs", _RUN + " ORDER BY r.started_at DESC, r.run_id LIMIT 20", _RUN_VIEWS)
 def recent_runs(t: Tables) -> DataFrame:
     return _flat(ledger.recent_runs(ledger.fold_runs(ledger.newest_events(t.run_event, 20)), 20))
@@ -79,7 +108,7 @@ _PROGRESS_KEYS = [
 
 @query(
     "stage_progress",
-    f"""SELECT r.run_id, k.position, k.stage,
+    f"""SELECT r.run_id, k.position, CASE k.stage {' '.join(f"WHEN '{s}' THEN '{label}'" for s, label in ledger.STAGE_LABELS.items())} ELSE k.stage END AS stage,
                CASE WHEN g.status IS NULL THEN '— (не запускалась)' WHEN g.status = 'running' THEN 'выполняется'
                     WHEN g.status = 'done' THEN 'готово' WHEN g.status = 'error' THEN 'ошибка' ELSE g.status END AS status,
                coalesce(string_agg(k.label || ' ' || t.value, ', ' ORDER BY k.key_pos) FILTER (WHERE t.value IS NOT NULL),
@@ -116,6 +145,27 @@ def run_durations(t: Tables) -> DataFrame:
     return runs.select("run_id", tx.duration_seconds(F.col("started_at"), F.col("finished_at")).alias("seconds"))
 
 
+@query(
+    "health_stream",
+    """WITH e AS (SELECT event_type, value, ts, date_trunc('day', ts) AS d, event_id % 5 = 0 AS second FROM events),
+            -- A row of the second landing is late if its day had ended when the first landing was done.
+            m AS (SELECT max(ts) FILTER (WHERE NOT second) - INTERVAL 1 DAY AS w1, max(ts) - INTERVAL 1 DAY AS w2 FROM e)
+       SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source, count(*) AS total_count,
+              count(*) FILTER (WHERE value < 10) AS failed_count
+       FROM e, m WHERE NOT (second AND d + INTERVAL 1 DAY <= w1) AND d + INTERVAL 1 DAY <= w2 GROUP BY ALL""",
+)
+def health_stream(t: Tables) -> DataFrame:
+    """Health per day and source as a stream in append mode; a fifth of all events lands after its watermark has moved on."""
+    root = scratch_dir(t.spark, "health")
+    events = t.events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for landing in (F.col("event_id") % 5 != 0, F.col("event_id") % 5 == 0):
+        events.filter(landing).write.mode("append").parquet(f"{root}/in")
+        rows = t.spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        out = windowed_health(rows, "ts", "event_type", F.col("value") < 10).writeStream.outputMode("append").format("parquet")
+        out.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").withColumn("window_start", stamp("window_start"))
+
+
 @query(
     "health_by_day",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source,
@@ -187,25 +237,49 @@ def next_version(t: Tables) -> DataFrame:
     return rows.select("name", "version", F.md5("body").alias("body_md5"))
 
 
+# Lines that are once in both versions, by their place in the old one, in the order of the new one; of these the longest
+# rising run stays in place and the others have moved. ``tails`` are the least ends of rising runs of each length.
+_RISING = "lambda tails, y: list_concat(list_filter(tails, lambda t: t < y[1]), y, tails[len(list_filter(tails, lambda t: t < y[1])) + 2:])"
+
+
 @query(
     "version_delta",
     f"""WITH v AS ({_VERSIONS}),
-        p AS (SELECT name, version, lag(version) OVER w AS previous_version,
-                     list_distinct(string_split(body, chr(10))) AS new_lines,
-                     list_distinct(string_split(lag(body) OVER w, chr(10))) AS old_lines
-              FROM v WINDOW w AS (PARTITION BY name ORDER BY version))
-        SELECT name, version, previous_version,
-               len(new_lines) - len(list_intersect(new_lines, old_lines)) AS added,
-               len(old_lines) - len(list_intersect(new_lines, old_lines)) AS dropped
-        FROM p WHERE previous_version IS NOT NULL""",
+        b AS (SELECT name, version, lag(version) OVER w AS previous_version, string_split(body, chr(10)) AS new_lines,
+                     string_split(lag(body) OVER w, chr(10)) AS old_lines
+              FROM v WINDOW w AS (PARTITION BY name ORDER BY version)),
+        p AS (SELECT * FROM b WHERE previous_version IS NOT NULL),
+        c AS (SELECT name, version, line, count(*) FILTER (WHERE new) AS n, count(*) FILTER (WHERE NOT new) AS o
+              FROM (SELECT name, version, unnest(new_lines) AS line, true AS new FROM p
+                    UNION ALL SELECT name, version, unnest(old_lines), false FROM p) GROUP BY ALL),
+        d AS (SELECT name, version, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS added, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS dropped
+              FROM c GROUP BY ALL),
+        u AS (SELECT name, version, list([old_at] ORDER BY new_at) AS places
+              FROM (SELECT name, version, list_position(new_lines, line) AS new_at, list_position(old_lines, line) AS old_at
+                    FROM c JOIN p USING (name, version) WHERE n = 1 AND o = 1) GROUP BY ALL)
+        SELECT name, version, previous_version, added, dropped,
+               coalesce(len(places) - len(list_reduce(places, {_RISING})), 0) AS moved
+        FROM p JOIN d USING (name, version) LEFT JOIN u USING (name, version)""",
 )
 def version_delta(t: Tables) -> DataFrame:
     return versions.line_delta(_versions(t)).select(
         "name", "version", "previous_version",
-        F.size("added").cast("bigint").alias("added"), F.size("dropped").cast("bigint").alias("dropped"),
+        F.size("added").cast("bigint").alias("added"), F.size("dropped").cast("bigint").alias("dropped"), "moved",
     )
 
 
+@query(
+    "time_ordered_ids",
+    """SELECT event_id, printf('%012x', epoch_us(ts) // 1000) || substr(sha256('{"k0":"' || event_id || '","k1":"' || event_type || '"}'), 1, 20) AS id,
+              row_number() OVER (ORDER BY epoch_us(ts) // 1000, sha256('{"k0":"' || event_id || '","k1":"' || event_type || '"}')) AS place
+       FROM events""",
+)
+def time_ordered_ids(t: Tables) -> DataFrame:
+    """Ids of all events, and the place of each in the order of the ids alone."""
+    rows = t.events.select("event_id", schemas.time_ordered_id(F.col("ts").cast("timestamp"), F.col("event_id"), F.col("event_type")).alias("id"))
+    return dense_order_ids(rows, ["id"], "place").select("event_id", "id", (F.col("place") + 1).alias("place"))
+
+
 @query(
     "version_rollback",
     f"""SELECT name, CAST((SELECT max(version) FROM ({_VERSIONS}) WHERE name = 'src1') + 1 AS INTEGER) AS version,

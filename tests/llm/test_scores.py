@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sigmill.llm import fingerprints, licenses, lm, shingles, toxicity
 from tests.llm.test_dedup import AWKWARD, frame
@@ -171,7 +172,21 @@ def test_every_known_sentence_is_recognised():
     for name, sentence in licenses.SENTENCES:
         text = "Before it.\n" + sentence.replace("<n>", "2.1") + ".\nAfter it"
         assert [s[0] for s in licenses.sentences(text)] == [name], sentence
-    assert {i for _, rule in licenses.RULES for i in rule} == {n for n, _ in licenses.SENTENCES}
+    assert {i for _, rule in licenses.RULES for i in rule} == {n for n, _ in licenses.SENTENCES} | {"spdx"}
+
+
+def test_tags_single_sentences_and_sentences_far_apart(spark):
+    said = dict(licenses.SENTENCES)
+    grant, asis = said["mit-grant"] + ":", said["mit-asis"] + "."
+    notice = said["mit-notice"] + "."
+    rows = [
+        (1, "// SPDX-License-Identifier: Apache-2.0\nint main;"), (2, "# SPDX-License-Identifier: (MIT OR GPL-2.0-only)"),
+        (3, f"Head.\n{grant}\n" + "other words. " * 400 + f"\n{notice}\n" + "x. " * 200_000 + f"\n{asis}"), (4, f"Head.\n{asis}"), (5, f"Head.\n{grant}"),
+        (6, ""), (7, None), (8, "SPDX-License-Identifier:"),
+    ]
+    got = sorted((r["doc_id"], r["match"], r["license"], r["n_sentences"]) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == [(1, 0, "Apache-2.0", 1), (2, 0, "MIT OR GPL-2.0-only", 1), (3, 0, "MIT", 3), (4, 0, "MIT", 1), (5, 0, "MIT", 1)]
+    assert licenses.scan(frame(spark, [])).count() == 0
 
 
 def test_license_scan_against_plain_search(spark):
@@ -191,19 +206,19 @@ def test_gradients_descend():
     raws = [(rng.integers(0, 40, 400) * 7 % 1024).astype("<u2").tobytes()]
     target, near, _ = lm.windows(raws)
     m, seen = lm.new_model(), {k: np.zeros(s, np.float32) for k, s in lm.SHAPES.items()}
-    before = lm.forward(m, target, near)[0].mean()
+    before = lm.forward(m, target, near).mean()
     for _ in range(60):
         lm.descend(m, seen, target, near)
-    assert lm.forward(m, target, near)[0].mean() > before + 1
+    assert lm.forward(m, target, near).mean() > before + 1
     # Probabilities over the whole vocabulary add up to one.
     one = np.repeat(near[:1], lm.VOCABULARY, axis=0)
-    assert abs(np.exp(lm.forward(m, np.arange(lm.VOCABULARY), one)[0]).sum() - 1) < 1e-3
+    assert abs(np.exp(lm.forward(m, np.arange(lm.VOCABULARY), one)).sum() - 1) < 1e-3
     assert np.array_equal(lm.flat(lm.unflat(lm.flat(m))), lm.flat(m))
 
 
 def test_lm_prefers_natural_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    words = lm.vocabulary(docs)
+    words = lm.vocabulary(lm.word_counts(docs))
     every = docs.filter("doc_id % 5 > 0")
     tokens = lm.cut(lm.tokenised(every, words, 2), "test")
     model = lm.train(tokens, 2)
@@ -213,8 +228,8 @@ def test_lm_prefers_natural_order(spark):
     rng, total, plain, n, wins = np.random.default_rng(0), 0.0, 0.0, 0, 0
     for r in held:
         ids = np.frombuffer(r["ids"], "<u2")
-        natural = lm.forward(model, *lm.windows([r["ids"]])[:2])[0].sum()
-        mixed = lm.forward(model, *lm.windows([rng.permutation(ids).tobytes()])[:2])[0].sum()
+        natural = lm.forward(model, *lm.windows([r["ids"]])[:2]).sum()
+        mixed = lm.forward(model, *lm.windows([rng.permutation(ids).tobytes()])[:2]).sum()
         total, plain, n, wins = total + natural, plain + unigram[ids].sum(), n + len(ids), wins + (natural > mixed)
     assert total / n > plain / n and wins > 0.7 * len(held)
 
@@ -243,26 +258,47 @@ def test_words_of_one_shared_id_have_their_own_probability(spark):
     assert abs(got[100] - got[101] - math.log(20)) < 1e-4
 
 
-def test_word_counts_are_those_of_the_whole_corpus(spark):
+def plain_log_probability(m, target, near):
+    """The network's word for one token, in scalar arithmetic."""
+    h = [math.tanh(float(m["bias"][j]) + sum(float(m["near"][k][near[k]][j]) for k in range(len(near)))) for j in range(lm.HIDDEN)]
+
+    def log_softmax(weights, bias, at):
+        out = [float(bias[c]) + sum(h[j] * float(weights[j][c]) for j in range(lm.HIDDEN)) for c in range(len(bias))]
+        return out[at] - math.log(sum(math.exp(x) for x in out))
+
+    c, t = divmod(target, lm.MEMBERS)
+    return log_softmax(m["class"], m["class_bias"], c) + log_softmax(m["token"][c], m["token_bias"][c], t)
+
+
+@pytest.mark.parametrize("held", [lm.HELD, 300, 0])
+def test_scores_of_whole_texts(spark, held):
+    """Word counts, shares and the summed score of whole texts, against brute force under the same network."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    words = lm.vocabulary(docs, 20)
-    tokens = lm.cut(lm.tokenised(docs.repartition(7), words, 1), "test")
+    counts = lm.word_counts(docs.repartition(7))
+    words = lm.vocabulary(counts, 20, held)
     every = Counter(h for r in docs.collect() for h in word_hashes(r["text"]).tolist())
-    ids = dict(zip(every, words.ids_of(np.array(list(every), np.uint64)), strict=True))
+    assert {r["hash"] % (1 << 64): r["n"] for r in counts.collect()} == every
+    assert len(words.hashes) == 20 and len(words.known) <= held
+    ids = dict(zip(every, words.ids_of(np.array(list(every), np.uint64)).tolist(), strict=True))
     of_ids = Counter()
     for h, n in every.items():
         of_ids[ids[h]] += n
-    logs = lm.shared_logs(tokens)
-    assert all(abs(logs[k] - math.log(of_ids[lm.SHARED + k])) < 1e-9 for k in range(lm.RARE) if of_ids[lm.SHARED + k])
-    rows = {r["chunk"]: np.frombuffer(r["rare"], "<u8") for r in tokens.filter("rare is not null").collect()}
-    for part_bytes in (1 << 30, 5000):
-        pieces = {}
-        for r in sorted(lm.word_logs(tokens, part_bytes).collect(), key=lambda r: r["part"]):
-            pieces[r["chunk"]] = pieces.get(r["chunk"], b"") + r["logs"]
-        assert sorted(pieces) == sorted(rows)
-        for chunk, rare in rows.items():
-            want = np.log([every[h] for h in rare.tolist()])
-            assert np.allclose(np.frombuffer(pieces[chunk], "<f4"), want, atol=1e-5)
+    tokens = lm.cut(lm.tokenised(docs, words, 1), "test")
+    model = lm.new_model(5)
+    got = {r["doc_id"]: r for r in lm.scored(tokens, model, lm.open_logs(tokens, counts, words)).collect()}
+    assert len(got) == docs.count()
+    short = sorted((r for r in docs.collect() if r["text"]), key=lambda r: len(r["text"]))[:25]
+    for r in short:
+        hashes = word_hashes(r["text"]).tolist()
+        row = [lm.VOCABULARY] * lm.REACH + [ids[h] for h in hashes] + [lm.VOCABULARY] * lm.REACH
+        want = 0.0
+        for i, h in enumerate(hashes):
+            at = i + lm.REACH
+            want += plain_log_probability(model, row[at], [row[at + o] for o in lm.OFFSETS])
+            if ids[h] >= lm.SHARED:
+                want += math.log(every[h]) - math.log(of_ids[ids[h]])
+        assert got[r["doc_id"]]["n_tokens"] == len(hashes)
+        assert abs(got[r["doc_id"]]["log_likelihood"] - want) < 1e-3 * max(1, len(hashes))
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -1,12 +1,10 @@
-"""Text, date and display expressions. All native columns unless stated otherwise."""
+"""Text, date and display expressions, all native columns."""
 
 from __future__ import annotations
 
-import html
 from collections.abc import Mapping
-from html.entities import name2codepoint
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,32 +35,53 @@ def is_short(text: Column | str) -> Column:
 
 # --- HTML -----------------------------------------------------------------------------------
 
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# What may be a reference; a name needn't end in a semicolon.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that count without one, the longest first: what follows such a name is text.
+_OPEN_NAMES = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+# Numbers 128 to 159 are read as bytes of this code page, where it has a character.
+_BYTES = {str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
 
 
 def _codepoint_char(code: Column) -> Column:
+    """The character of a number; none for numbers that aren't characters, a mark for those that can't be."""
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+    none = control | code.between(0xFDD0, 0xFDEF) | (valid & (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return (
+        F.when(code.between(0x80, 0x9F), F.try_element_at(lookup(_BYTES), code.cast("string")))
+        .when(none, F.lit(""))
+        .otherwise(char)
+    )
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Decode numeric and HTML 4 named entities in one pass; unknown names stay as text."""
+    """Decode numeric and HTML 5 named references in one pass, those without a semicolon too; unknown names stay as text."""
     text = _c(text)
-    names = lookup({name: chr(code) for name, code in name2codepoint.items()})
+    names = lookup(html5)
+
+    def number(digits: Column) -> Column:
+        # Numbers beyond a long are beyond every character.
+        return _codepoint_char(F.coalesce(digits.try_cast("bigint"), F.lit(0x110000).cast("bigint")))
+
+    def named(body: Column) -> Column:
+        start = F.regexp_extract(body, _OPEN_NAMES, 0)
+        rest = F.concat(F.try_element_at(names, start), F.substr(body, F.length(start) + 1))
+        return F.coalesce(F.try_element_at(names, body), F.when(start != "", rest), F.concat(F.lit("&"), body))
 
     def decoded(entity: Column) -> Column:
-        digits = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
-        hexes = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-        name = F.regexp_extract(entity, r"^&([A-Za-z0-9]+);$", 1)
+        digits = F.regexp_extract(entity, r"^&#([0-9]+);?$", 1)
+        hexes = F.regexp_extract(entity, r"^&#[xX]0*([0-9a-fA-F]+);?$", 1)
         return (
             F.when(entity == "&amp;", F.lit("&"))
             .when(entity == "&quot;", F.lit('"'))
             .when(entity == "&lt;", F.lit("<"))
             .when(entity == "&gt;", F.lit(">"))
-            .when(digits != "", _codepoint_char(digits.cast("bigint")))
-            .when(hexes != "", _codepoint_char(F.conv(hexes, 16, 10).cast("bigint")))
-            .otherwise(F.coalesce(F.try_element_at(names, name), entity))
+            .when(digits != "", number(digits))
+            .when(hexes != "", number(F.when(F.length(hexes) <= 8, F.conv(hexes, 16, 10))))
+            .otherwise(named(F.substr(entity, F.lit(2))))
         )
 
     pieces = F.split(text, _ENTITY, -1)
@@ -77,15 +96,6 @@ def decode_entities(text: Column | str) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def decode_entities_html5(text: Column | str) -> Column:
-    """The full HTML 5 entity table, for corpora that use more than the HTML 4 names (Arrow batches)."""
-
-    def unescape(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
-
-    return F.pandas_udf(unescape, "string")(_c(text))
-
-
 def _without_blocks(markup: Column) -> Column:
     # Scripts go before tags: a script may hold "</p>" inside a string.
     markup = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+from html.entities import html5
 from email.utils import parsedate_to_datetime
 
 import pytest
@@ -79,7 +80,15 @@ def test_review_url(spark):
 def test_entities(spark):
     given = ["a &amp; b &lt;x&gt; &#8381; &#x20BD;&nbsp;| &bogus; &amp;lt; &#0; &amp;#8381; &eacute;", "plain", "&amp;&amp;"]
     assert values(spark, given, tx.decode_entities("v")) == [html.unescape(t) for t in given]
-    assert values(spark, ["&NotEqualTilde;"], tx.decode_entities_html5("v")) == [html.unescape("&NotEqualTilde;")]
+
+
+def test_every_named_and_numbered_entity(spark):
+    names = sorted(html5)
+    given = [f"a&{n}b" for n in names] + [f"&{n.rstrip(';')}" for n in names] + [f"&x{n} &{n}&{n}" for n in names[::9]]
+    given += ["&notit; &notin; &ampersand &AMP&amp;amp; &copy2024 &unknown; & &; &#; &#x; &#xZ; &a b", "&" + "n" * 40 + ";", "&é;", "&lt&gt", "&\U0001F600;"]
+    numbers = [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 10**12, 10**30]
+    given += [f"x&#{n};y" for n in numbers] + [f"x&#{n} y" for n in numbers] + [f"x&#x{n:x};y" for n in numbers] + [f"x&#X000{n:X}gy" for n in numbers]
+    assert values(spark, given, tx.decode_entities("v")) == [html.unescape(t) for t in given]
 
 
 ARTICLE = """<html><head><style>.x{display:none}</style></head><body><nav>Home</nav>

@@ -177,7 +177,7 @@ class Tables:
     def checks(self) -> DataFrame:
         """Phrase checks: three words of every document, its check day by cluster."""
         phrase = F.array_join(spread_words(3), " ")
-        cluster = F.col("doc_id") % 12
+        cluster = F.floor(F.col("doc_id") / 25).cast("bigint")
         return self.documents.select(
             cluster.alias("cluster_id"),
             phrase.alias("phrase"),
@@ -250,7 +250,7 @@ SQL_VIEWS = {
     "check_v": f"""
         SELECT cluster_id, phrase, CAST(('0x' || substr(sha256(phrase), 1, 8)) AS BIGINT) % 10001 AS frequency,
                TIMESTAMP '2024-01-01' + to_days(CAST(cluster_id AS INTEGER)) AS checked_at, seq
-        FROM (SELECT doc_id % 12 AS cluster_id, doc_id AS seq, array_to_string({spread_words_sql("3")}, ' ') AS phrase
+        FROM (SELECT doc_id // 25 AS cluster_id, doc_id AS seq, array_to_string({spread_words_sql("3")}, ' ') AS phrase
               FROM documents)""",
     "run_event_v": """
         SELECT event_id, user_id AS run_id, ts,

@@ -245,7 +245,7 @@ def feed_posts(t: Tables) -> DataFrame:
              stored AS (SELECT url_canon FROM c WHERE page_id % 5 = 0)
         SELECT count(DISTINCT url_canon) AS collected,
                (SELECT count(*) FROM offered) - count(DISTINCT url_canon) AS skipped,
-               (SELECT count(*) FROM pages WHERE page_id % 3 = 0 AND html NOT LIKE '%<article%') AS warnings
+               (SELECT count(*) FROM pages WHERE page_id % 3 = 0 AND length(html) < 800) AS warnings
         FROM offered WHERE url_canon NOT IN (SELECT url_canon FROM stored)""",
 )
 def collect_counters(t: Tables) -> DataFrame:
@@ -256,7 +256,7 @@ def collect_counters(t: Tables) -> DataFrame:
         F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("suspect_short"),
     )
     stored = canon.filter("page_id % 5 = 0").select("url_canon")
-    failed = t.pages.filter("page_id % 3 = 0 AND html NOT LIKE '%<article%'").select("url")
+    failed = t.pages.filter("page_id % 3 = 0 AND length(html) < 800").select("url")
     return stages.collect(offered, stored, F.lit("2024-01-01").cast("timestamp"), failed).counters
 
 

@@ -45,6 +45,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
+        "map_version",
     )
 
 

@@ -1,20 +1,25 @@
-"""Sharding over fixed virtual slots with a versioned slot-to-shard map."""
+"""Sharding over fixed virtual slots with a stored, versioned slot-to-shard map.
+
+The map is a small table with one row per slot in ``<path>/version=<n>``. A version never changes: a corpus that
+has grown, or one more shard, edits the newest one and stores the result as the next, so that records only move
+with the slots that were edited.
+"""
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import blank
-from sigmill.session import cut
+from sigmill.session import cut, scratch_dir
 
 #: Virtual slots. The slot of a record never changes; the map below has one row per slot and so is bounded.
 SLOTS = 16_384
 #: Rebalancing stops when the largest and smallest shard differ by less than this part of the mean.
 TOLERANCE = 0.0005
-MAP_SCHEMA = "version int, vslot int, shard int"
+MAP_SCHEMA = "vslot int, shard int"
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -99,17 +104,51 @@ def add_shard(current: list[int], sizes: list[int], shards: int) -> list[int]:
     return new
 
 
-def map_versions(docs_spark, stats: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """The versioned map as a table: version 0 by ranges of slots, version 1 after rebalancing by bytes.
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the map under ``path``, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
+
 
-    ``stats`` has at most ``slots`` rows; nothing that grows with the records reaches the driver.
+def _store(spark: SparkSession, path: str, version: int, slot_map: list[int]) -> None:
+    # Fails if somebody else has stored this version.
+    spark.createDataFrame(list(enumerate(slot_map)), MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version={version}")
+
+
+def edited_map(spark: SparkSession, path: str, stats: DataFrame, shards: int, slots: int = SLOTS) -> int:
+    """Bring the newest stored map up to date with the slots' bytes and the number of shards; returns its version.
+
+    Without a stored map, version 0 holds contiguous ranges of slots. Each shard more is an edit of its own, and so
+    is rebalancing; an edit that changes nothing stores nothing. ``stats`` has at most ``slots`` rows, as the map
+    does; nothing that grows with the records reaches the driver.
     """
     sizes = [0] * slots
     for r in stats.select("vslot", "bytes").collect():
         sizes[r[0]] = r[1]
-    start = first_map(slots, shards)
-    rows = [(n, v, s) for n, m in enumerate((start, rebalance(start, sizes, shards))) for v, s in enumerate(m)]
-    return docs_spark.createDataFrame(rows, MAP_SCHEMA)
+    known = stored_versions(spark, path)
+    if known:
+        version = known[-1]
+        current = [r["shard"] for r in stored_map(spark, path, version).orderBy("vslot").collect()]
+        if len(current) != slots or max(current) >= shards:
+            raise ValueError(f"the stored map has {len(current)} slots and {max(current) + 1} shards")
+    else:
+        version, current = 0, first_map(slots, shards)
+        _store(spark, path, version, current)
+    while True:
+        have = max(current) + 1
+        new = add_shard(current, sizes, have) if have < shards else rebalance(current, sizes, shards)
+        if new == current:
+            return version
+        version, current, last = version + 1, new, have >= shards
+        _store(spark, path, version, current)
+        if last:
+            return version
 
 
 def place(recs: DataFrame, slot_map: DataFrame, stats: DataFrame) -> DataFrame:
@@ -131,13 +170,18 @@ def place(recs: DataFrame, slot_map: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot, vslot``: shards of near equal bytes.
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot, vslot, map_version``: shards of near equal bytes.
+
+    The map is kept under ``path``: a later call starts from what this one stores. Without a path it is a new one
+    in the session's shared folder.
 
     Rows that repeat an id with an equal text share a virtual slot and so a shard; each has its own place.
     Copies under other ids spread over the slots. Empty table: no rows.
     """
     recs = cut(records(docs, slots), "records")
     stats = slot_stats(recs)
-    slot_map = map_versions(docs.sparkSession, stats, shards, slots).filter("version = 1").select("vslot", "shard")
-    return place(recs, slot_map, stats)
+    spark = docs.sparkSession
+    path = path or scratch_dir(spark, "slot-map")
+    version = edited_map(spark, path, stats, shards, slots)
+    return place(recs, stored_map(spark, path, version), stats).withColumn("map_version", F.lit(version))

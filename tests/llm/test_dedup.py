@@ -82,6 +82,33 @@ def test_map_edits():
     assert load.max() < 1.15 * load.mean()
 
 
+def test_the_stored_map_is_edited_not_made_anew(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 300)) for i in range(1200)]
+
+    def run(rows, shards):
+        got = sharding.shard(frame(spark, rows), shards=shards, slots=256, path=path).collect()
+        return {r["doc_id"]: r["shard"] for r in got}, got[0]["map_version"]
+
+    first, version = run(rows, 8)
+    assert version == 1 and sharding.stored_versions(spark, path) == [0, 1]
+    assert run(rows, 8) == (first, 1)  # nothing to edit
+    more = rows + [(5000 + i, "y" * rng.randint(0, 300)) for i in range(150)]
+    grown, version = run(more, 8)
+    assert version == 2 and sharding.stored_versions(spark, path) == [0, 1, 2]
+    moved = sum(grown[d] != s for d, s in first.items())
+    assert 0 < moved < 0.3 * len(first)
+    old = [r["shard"] for r in sharding.stored_map(spark, path, 1).orderBy("vslot").collect()]
+    wide, version = run(more, 9)
+    assert version >= 3 and set(wide.values()) == set(range(9))
+    added = [r["shard"] for r in sharding.stored_map(spark, path, 3).orderBy("vslot").collect()]
+    newest = [r["shard"] for r in sharding.stored_map(spark, path, 2).orderBy("vslot").collect()]
+    assert all(b == a or b == 8 for a, b in zip(newest, added, strict=True)) and old != newest
+    with pytest.raises(ValueError):
+        run(more, 8)
+
+
 def test_components_match_union_find(spark):
     random.seed(4)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]

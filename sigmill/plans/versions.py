@@ -14,10 +14,9 @@ from sigmill.schemas import natural_id
 
 
 def active_versions(versions: DataFrame) -> DataFrame:
-    """The row with the highest version per name."""
-    rest = [c for c in versions.columns if c not in ("name", "version")]
-    best = versions.groupBy("name").agg(F.max("version").alias("version"), F.max_by(F.struct(*rest), "version").alias("r"))
-    return best.select(*[F.col(f"r.{c}").alias(c) if c in rest else F.col(c) for c in versions.columns])
+    """The row with the highest version per name: numbers are aggregated, the bodies of other versions never move."""
+    best = versions.groupBy(F.col("name").alias("_name")).agg(F.max("version").alias("_version"))
+    return versions.join(best, (F.col("name") == F.col("_name")) & (F.col("version") == F.col("_version")), "left_semi")
 
 
 def names(versions: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def test_ledger(spark, rows):
     assert [r["run_id"] for r in ledger.recent_runs(runs, 1).collect()] == ["r2"]
     progress = {r["stage"]: (r["status"], r["metrics"]) for r in ledger.stage_progress(runs).filter("run_id = 'r1'").collect()}
     assert progress == {
-        "collect": ("готово", "собрано 5, дубликаты URL 1"), "extract": ("ошибка", "—"),
-        "cluster": ("— (не запускалась)", "—"), "score": ("— (не запускалась)", "—")}
+        "Сбор": ("готово", "собрано 5, дубликаты URL 1"), "Извлечение": ("ошибка", "—"),
+        "Кластеризация": ("— (не запускалась)", "—"), "Скоринг": ("— (не запускалась)", "—")}
 
 
 def test_versions(spark, rows):

@@ -37,6 +37,7 @@ def is_short(text: Column | str) -> Column:
 
 # What may be a reference; a name needn't end in a semicolon.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CLOSED_ENTITY = _ENTITY.replace(";?", ";")
 # Names that count without one, the longest first: what follows such a name is text.
 _OPEN_NAMES = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 # Numbers 128 to 159 are read as bytes of this code page, where it has a character.
@@ -57,8 +58,11 @@ def _codepoint_char(code: Column) -> Column:
     )
 
 
-def decode_entities(text: Column | str) -> Column:
-    """Decode numeric and HTML 5 named references in one pass, those without a semicolon too; unknown names stay as text."""
+def decode_entities(text: Column | str, closed: bool = False) -> Column:
+    """Decode numeric and HTML 5 named references in one pass; unknown names stay as text.
+
+    With ``closed`` references without a semicolon, such as one that a page's title was cut in, stay as text too.
+    """
     text = _c(text)
     names = lookup(html5)
 
@@ -69,7 +73,8 @@ def decode_entities(text: Column | str) -> Column:
     def named(body: Column) -> Column:
         start = F.regexp_extract(body, _OPEN_NAMES, 0)
         rest = F.concat(F.try_element_at(names, start), F.substr(body, F.length(start) + 1))
-        return F.coalesce(F.try_element_at(names, body), F.when(start != "", rest), F.concat(F.lit("&"), body))
+        opened = F.lit(None).cast("string") if closed else F.when(start != "", rest)
+        return F.coalesce(F.try_element_at(names, body), opened, F.concat(F.lit("&"), body))
 
     def decoded(entity: Column) -> Column:
         digits = F.regexp_extract(entity, r"^&#([0-9]+);?$", 1)
@@ -84,8 +89,9 @@ def decode_entities(text: Column | str) -> Column:
             .otherwise(named(F.substr(entity, F.lit(2))))
         )
 
-    pieces = F.split(text, _ENTITY, -1)
-    entities = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), 0), decoded)
+    entity = _CLOSED_ENTITY if closed else _ENTITY
+    pieces = F.split(text, entity, -1)
+    entities = F.transform(F.regexp_extract_all(text, F.lit(entity), 0), decoded)
     joined = F.array_join(
         F.transform(
             F.arrays_zip(pieces.alias("p"), entities.alias("e")),
@@ -108,17 +114,20 @@ def _region(markup: Column, tag: str) -> Column:
     return F.regexp_extract(markup, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)</{tag}>", 1)
 
 
-def _visible(markup: Column) -> Column:
+def _visible(markup: Column, closed: bool) -> Column:
     spaced = F.regexp_replace(markup, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(decode_entities(spaced), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(spaced, closed), r"\s+", " "))
 
 
-def main_text(markup: Column | str) -> Column:
-    """Readable text of a page: the ``<article>`` if it has text, else ``<body>``, else everything."""
+def main_text(markup: Column | str, closed: bool = False) -> Column:
+    """Readable text of a page: the ``<article>`` if it has text, else ``<body>``, else everything.
+
+    ``closed`` is that of ``decode_entities``.
+    """
     clean = _without_blocks(_c(markup))
-    article = F.nullif(_visible(_region(clean, "article")), F.lit(""))
-    body = F.nullif(_visible(_region(clean, "body")), F.lit(""))
-    return F.coalesce(article, body, _visible(clean))
+    article = F.nullif(_visible(_region(clean, "article"), closed), F.lit(""))
+    body = F.nullif(_visible(_region(clean, "body"), closed), F.lit(""))
+    return F.coalesce(article, body, _visible(clean, closed))
 
 
 # --- model answers --------------------------------------------------------------------------

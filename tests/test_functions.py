@@ -91,6 +91,14 @@ def test_every_named_and_numbered_entity(spark):
     assert values(spark, given, tx.decode_entities("v")) == [html.unescape(t) for t in given]
 
 
+def test_closed_entities(spark):
+    given = ["a &amp; b &amp c&lt", "&amp;&amp</h1>", "&#39; &#39 &#x27; &#x27g", "&ampersand; &notit; &copy;2024 &copy2024", "&eacute;&amp;lt;", "plain"]
+    wanted = ["a & b &amp c&lt", "&&amp</h1>", "' &#39 ' &#x27g", "&ampersand; &notit; ©2024 &copy2024", "é&lt;", "plain"]
+    assert values(spark, given, tx.decode_entities("v", closed=True)) == wanted
+    page = "<body><h1>Salt &amp;&amp</h1><p>more &amp; more</p></body>"
+    assert values(spark, [page, page.replace("body", "article")], tx.main_text("v", closed=True)) == ["Salt &&amp more & more"] * 2
+
+
 ARTICLE = """<html><head><style>.x{display:none}</style></head><body><nav>Home</nav>
 <!-- <p>comment</p> --><article class="a"><h1>Title</h1><p>First <b>bold<p>second &amp; third</article>
 <script>track("</p>never-leak");</script><noscript>off</noscript><footer>test footer</footer></body></html>"""

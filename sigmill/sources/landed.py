@@ -98,16 +98,17 @@ def feed_posts(
     kind: str,
     cutoff: datetime | None = None,
     inclusive: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     """Feed items joined with the landed pages they link to (``url``, ``html``).
 
     Items without a landed page, a usable link or any text are dropped. One landed page may be
-    linked by many items; pages are keyed by canonical URL.
+    linked by many items; pages are keyed by canonical URL. ``closed`` is that of ``main_text``.
     """
     recent = with_once(
         items.filter(since(F.col("published_at"), cutoff, inclusive)), "url_canon", urls.canonical_url("link")
     )
-    texts = page_texts(pages).select("url_canon", "body", "suspect_short")
+    texts = page_texts(pages, closed).select("url_canon", "body", "suspect_short")
     return (
         recent.filter("url_canon IS NOT NULL")
         .join(texts, "url_canon")
@@ -119,12 +120,12 @@ def feed_posts(
     )
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame, closed: bool = False) -> DataFrame:
     """Landed pages as text, one row per canonical URL (the first by URL wins)."""
     # The page is picked before its text is extracted, so copies cost no extraction.
     keyed = with_once(pages.select("url", "html"), "url_canon", urls.canonical_url("url"))
     picked = keep_first(keyed.filter("url_canon IS NOT NULL"), ["url_canon"], ["url"])
-    return with_once(picked, "body", tx.main_text("html")).drop("html").withColumn("suspect_short", tx.is_short("body"))
+    return with_once(picked, "body", tx.main_text("html", closed)).drop("html").withColumn("suspect_short", tx.is_short("body"))
 
 
 def reviews(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

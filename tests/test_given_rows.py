@@ -28,7 +28,7 @@ def compared(spark, folder, name, **tables):
 CUT_TITLE = "<html><title>Salt &amp</title><body><h1>Salt &amp;&amp</h1><p>more &amp; more</p></body></html>"
 
 
-@pytest.mark.parametrize("name", ["page_text_health"])
+@pytest.mark.parametrize("name", ["page_text", "page_text_health", "feed_posts"])
 def test_page_cut_within_a_reference(spark, tmp_path, name):
     urls = ["https://a.example/1?x=1&utm_source=q", "https://a.example/2", "https://b.example/3"]
     compared(spark, tmp_path, name, pages={"page_id": [1, 2, 3], "url": urls, "html": [CUT_TITLE, CUT_TITLE.replace("&amp<", "<"), CUT_TITLE * 20]})

@@ -279,4 +279,5 @@ def token_cost(prompt_tokens: Column, completion_tokens: Column, price_per_mtok:
 
 
 def micro_units(cost: Column) -> Column:
-    return F.bround(cost * 1_000_000, 0).cast("bigint")
+    """Whole millionths; a half goes away from zero."""
+    return F.round(cost * 1_000_000, 0).cast("bigint")

@@ -32,3 +32,9 @@ CUT_TITLE = "<html><title>Salt &amp</title><body><h1>Salt &amp;&amp</h1><p>more
 def test_page_cut_within_a_reference(spark, tmp_path, name):
     urls = ["https://a.example/1?x=1&utm_source=q", "https://a.example/2", "https://b.example/3"]
     compared(spark, tmp_path, name, pages={"page_id": [1, 2, 3], "url": urls, "html": [CUT_TITLE, CUT_TITLE.replace("&amp<", "<"), CUT_TITLE * 20]})
+
+
+def test_half_a_micro_unit(spark, tmp_path):
+    # Five characters at 0.5 a million.
+    talk = {"conv_id": [2, 6, 1], "role": ["user", "assistant", "user"], "text": ["abcd", "e", "ab"]}
+    assert ("m2", 5, 2.5e-06, 3) in compared(spark, tmp_path, "model_cost", conversations=talk)

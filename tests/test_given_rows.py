@@ -38,3 +38,8 @@ def test_half_a_micro_unit(spark, tmp_path):
     # Five characters at 0.5 a million.
     talk = {"conv_id": [2, 6, 1], "role": ["user", "assistant", "user"], "text": ["abcd", "e", "ab"]}
     assert ("m2", 5, 2.5e-06, 3) in compared(spark, tmp_path, "model_cost", conversations=talk)
+
+
+def test_a_cluster_has_its_share_of_all_documents(spark, tmp_path):
+    documents = {"doc_id": list(range(240)), "text": [f"word{i} and more of {i}" for i in range(240)]}
+    assert len(compared(spark, tmp_path, "cluster_checks", documents=documents)) == 240 // 12

@@ -176,8 +176,15 @@ class Tables:
     @property
     def checks(self) -> DataFrame:
         """Phrase checks: three words of every document, its check day by cluster."""
+        return self._checks(F.floor(F.col("doc_id") / 25).cast("bigint"))
+
+    @property
+    def dealt_checks(self) -> DataFrame:
+        """The same with the documents dealt over twelve clusters, each of which grows with the table."""
+        return self._checks(F.col("doc_id") % 12)
+
+    def _checks(self, cluster: Column) -> DataFrame:
         phrase = F.array_join(spread_words(3), " ")
-        cluster = F.floor(F.col("doc_id") / 25).cast("bigint")
         return self.documents.select(
             cluster.alias("cluster_id"),
             phrase.alias("phrase"),
@@ -216,6 +223,14 @@ class Tables:
         return self.spark.createDataFrame([("pv0", "extract", 1), ("pv1", "extract", 2)], "id string, name string, version int")
 
 
+def _checks_sql(cluster: str) -> str:
+    return f"""
+        SELECT cluster_id, phrase, CAST(('0x' || substr(sha256(phrase), 1, 8)) AS BIGINT) % 10001 AS frequency,
+               TIMESTAMP '2024-01-01' + to_days(CAST(cluster_id AS INTEGER)) AS checked_at, seq
+        FROM (SELECT {cluster} AS cluster_id, doc_id AS seq, array_to_string({spread_words_sql("3")}, ' ') AS phrase
+              FROM documents)"""
+
+
 SQL_VIEWS = {
     "source_v": """
         SELECT 'id-' || name AS id, name, name <> 'src3' AS enabled
@@ -247,11 +262,8 @@ SQL_VIEWS = {
         SELECT DISTINCT cluster_id, CAST((cluster_id * 37 % 100) / 10.0 AS DECIMAL(5,2)) AS total,
                'rationale ' || cluster_id AS rationale_md
         FROM pain_v WHERE cluster_id % 4 <> 0""",
-    "check_v": f"""
-        SELECT cluster_id, phrase, CAST(('0x' || substr(sha256(phrase), 1, 8)) AS BIGINT) % 10001 AS frequency,
-               TIMESTAMP '2024-01-01' + to_days(CAST(cluster_id AS INTEGER)) AS checked_at, seq
-        FROM (SELECT doc_id // 25 AS cluster_id, doc_id AS seq, array_to_string({spread_words_sql("3")}, ' ') AS phrase
-              FROM documents)""",
+    "check_v": _checks_sql("doc_id // 25"),
+    "dealt_check_v": _checks_sql("doc_id % 12"),
     "run_event_v": """
         SELECT event_id, user_id AS run_id, ts,
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE CASE event_type WHEN 'signup' THEN 'collect'

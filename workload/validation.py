@@ -385,12 +385,12 @@ def latest_checks(t: Tables) -> DataFrame:
 
 @query(
     "cluster_checks",
-    """SELECT phrase, frequency, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at FROM check_v
-       WHERE cluster_id = 5 ORDER BY check_v.checked_at DESC, phrase""",
-    ("check_v",),
+    """SELECT phrase, frequency, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at FROM dealt_check_v
+       WHERE cluster_id = 5 ORDER BY dealt_check_v.checked_at DESC, phrase""",
+    ("dealt_check_v",),
 )
 def cluster_checks(t: Tables) -> DataFrame:
-    return reports.demand_checks(t.checks, 5).withColumn("checked_at", stamp("checked_at"))
+    return reports.demand_checks(t.dealt_checks, 5).withColumn("checked_at", stamp("checked_at"))
 
 
 @query(

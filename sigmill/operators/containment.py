@@ -12,6 +12,9 @@ Words or runs of a text are first looked up in a bit set of the anchors, whose s
 What is left is joined to the dictionary on the anchor, and takes along a slice of the text around it, about as
 long as the longest phrase on either side; no text is shuffled whole. The join's hot anchors are split by
 their measured size at run time (``spark.sql.adaptive.skewJoin``).
+
+Equal phrases are one until the end: what is matched and shuffled are texts and different phrases, and only the
+last step, which shuffles nothing any more, gives a row to each of the copies.
 """
 
 from __future__ import annotations
@@ -150,6 +153,17 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     dictionary order). Empty phrases and NULL texts match nothing.
     """
     usable = phrases.filter("phrase <> ''").select(F.col("pos").cast("bigint").alias("pos"), "phrase")
+    copies = usable.groupBy("phrase").agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("members"))
+    copies = cut(copies, "phrases")
+    found = _contained(texts, copies.select("pos", "phrase"))
+    several = copies.filter(F.size("members") > 1).select("pos", "members")
+    if several.isEmpty():
+        return found
+    return found.join(several, "pos", "left").select("id", F.explode(F.coalesce("members", F.array("pos"))).alias("pos"))
+
+
+def _contained(texts: DataFrame, usable: DataFrame) -> DataFrame:
+    """``contained_phrases`` for different phrases, none of them empty."""
     bodies = texts.filter("text <> ''").select("id", "text")
     words = cut(usable.select("pos", "phrase", F.explode_outer(_inner_words("phrase")).alias("word")), "words")
     n, longest = words.agg(F.count("word"), F.max(F.length("phrase"))).first()

@@ -236,3 +236,13 @@ def test_encoder_and_backfill(spark):
     again = backfill_embeddings(filled, lambda: trigram_encoder(32))
     assert {r["id"]: list(r["embedding"]) for r in again.collect()} == {k: list(v) for k, v in got.items()}
     assert encode_texts(frame, "id", "body", lambda: trigram_encoder(8), batch_size=1).count() == 3
+
+
+def test_copies_of_phrases_are_expanded_after_the_last_shuffle(spark, rows):
+    texts = spark.range(40).selectExpr("id", "concat('so it says here: ', id % 2, ' of two') AS text")
+    phrases = spark.range(60).selectExpr("id AS pos", "concat('says here: ', id % 3, ' of') AS phrase")
+    found = containment.contained_phrases(texts, phrases)
+    assert rows(found) == sorted(((i, j) for i in range(40) for j in range(60) if i % 2 == j % 3), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("Generate explode(coalesce(members"):]
+    assert "Exchange" not in plan[: plan.index("Generate explode(coalesce(members")].replace("BroadcastExchange", "") and "Exchange" in above

@@ -234,7 +234,8 @@ def gather(
     found = rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnRenamed("source_name", "_name")
+        # A row for each source: it goes to the posts, which are never dealt by source.
+        right = F.broadcast(right.withColumnRenamed("source_name", "_name"))
         return left.join(right, left["source_name"].eqNullSafe(right["_name"]), how).drop("_name")
 
     missing = joined(wanted, found, "left_anti").select("source_name", F.lit(0).cast("bigint").alias("files"), F.lit("nothing landed").alias("reason"))

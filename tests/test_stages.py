@@ -426,6 +426,20 @@ def test_gather_meets_a_break_anywhere(spark, rows, tmp_path):
     assert posts.filter("source_id = '0'").select("published_at").distinct().first()[0] == datetime(2026, 1, 5, 7)
 
 
+def test_gathered_posts_are_not_dealt_by_source(spark, tmp_path):
+    (tmp_path / "source_name=one").mkdir()
+    (tmp_path / "source_name=one" / "a.json").write_text('{"url": "https://p.example/1", "text": "t"}')
+    enabled = spark.createDataFrame([("id-one", "one")], "id string, name string")
+    for limit in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(limit, -1)
+    try:
+        plan = landed.gather(spark, str(tmp_path), enabled).posts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_gather_runs_as_many_jobs_for_many_sources(spark, tmp_path):
     def jobs(n):
         root = tmp_path / f"of{n}"

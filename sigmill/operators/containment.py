@@ -6,7 +6,7 @@ One native plan for a dictionary of any size; every phrase has an anchor that it
   hold least often, times the phrases that share it. Texts are looked at word by word.
 * Any other phrase, and one whose words too many phrases share, is anchored by a run of its characters, the
   one that the fewest other phrases hold. Texts are looked at character by character, if there are such
-  phrases at all.
+  phrases at all. A few such phrases need no anchor: one regular expression finds them all, which costs less.
 
 Words or runs of a text are first looked up in a bit set of the anchors, whose size follows the dictionary.
 What is left is joined to the dictionary on the anchor, and takes along a slice of the text around it, about as
@@ -33,13 +33,15 @@ WINDOW_CHARS = 64
 PIECE_CHARS = 16_384
 # Phrases that may share an anchor word.
 SHARED = 256
+# Phrases without an anchor word that one regular expression looks for; where there are more, their runs are looked up.
+FEW = 256
 
 
 def _pieces(texts: DataFrame, longest: int) -> DataFrame:
     """``id, piece``: pieces of each text that overlap, so that whatever is at most ``longest`` long is whole in one."""
     size = max(PIECE_CHARS, longest)
-    chunks = F.split("text", f"(?s)(?<=\\G.{{{size}}})")
-    over = F.transform(chunks, lambda c, i: F.concat(c, F.left(F.coalesce(F.get(chunks, i + 1), F.lit("")), F.lit(longest - 1))))
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(size))
+    over = F.transform(starts, lambda at: F.substr(F.col("text"), at, F.lit(size + longest - 1)))
     return texts.select("id", F.explode(F.when(F.length("text") <= size, F.array("text")).otherwise(over)).alias("piece"))
 
 
@@ -146,6 +148,24 @@ def _by_run(pieces: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.select("id", "pos")
 
 
+def _by_scan(pieces: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The pieces in one pass: where a phrase begins, the longest that does so stands for all that it begins with."""
+    few = phrases.collect()  # ``FEW`` at most
+
+    def literal(text: str) -> str:
+        return "".join(c if c.isalnum() else "\\" + c for c in text)
+
+    by_first: dict[str, list[str]] = {}
+    for phrase in sorted((r["phrase"] for r in few), key=lambda p: (-len(p), p)):
+        by_first.setdefault(phrase[0], []).append(literal(phrase[1:]))
+    firsts = "".join(map(literal, by_first))
+    pattern = f"(?=[{firsts}])(?=(" + "|".join(f"{literal(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
+    begun = [(whole["phrase"], r["pos"]) for whole in few for r in few if whole["phrase"].startswith(r["phrase"])]
+    wholes = pieces.sparkSession.createDataFrame(begun, "whole string, pos bigint")
+    each = pieces.select("id", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(pattern), 1))).alias("whole"))
+    return each.join(F.broadcast(wholes), "whole").select("id", "pos")
+
+
 def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(id, pos)`` for every phrase that occurs in a text, compared verbatim.
 
@@ -179,7 +199,8 @@ def _contained(texts: DataFrame, usable: DataFrame) -> DataFrame:
     if n:
         parts.append(_by_word(pieces, dictionary.filter(by_word), n, before, after))
     if runs:
-        parts.append(_by_run(pieces, dictionary.filter(~by_word).select("pos", "phrase")))
+        find = _by_scan if runs <= FEW else _by_run
+        parts.append(find(pieces, dictionary.filter(~by_word).select("pos", "phrase")))
     if not parts:
         return texts.select("id", F.lit(0).cast("bigint").alias("pos")).limit(0)
     found = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]

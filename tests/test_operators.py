@@ -246,3 +246,17 @@ def test_copies_of_phrases_are_expanded_after_the_last_shuffle(spark, rows):
     plan = found._jdf.queryExecution().executedPlan().toString()
     above = plan[plan.index("Generate explode(coalesce(members"):]
     assert "Exchange" not in plan[: plan.index("Generate explode(coalesce(members")].replace("BroadcastExchange", "") and "Exchange" in above
+
+
+def test_few_phrases_are_found_in_one_pass(spark, rows, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab.[^-]\\Q é\n\U0001F600"), size=n)) for n in rng.integers(0, 90, 50)]
+    phrases = sorted({t[i : i + n] for t in texts for i, n in ((0, 1), (2, 2), (3, 3), (5, 6))} - {""})
+    text_frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    phrase_frame = spark.createDataFrame(list(enumerate(phrases)), "pos bigint, phrase string")
+    wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
+    for name, value in (("PIECE_CHARS", 5), ("FEW", 0), ("FEW", len(phrases))):
+        monkeypatch.setattr(containment, name, value)
+        found = containment.contained_phrases(text_frame, phrase_frame)
+        assert rows(found) == wanted
+    assert "regexp_extract_all" in found._jdf.queryExecution().toString()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
 BATCH_SIZE = 32
+# An encoder's batch ends early at this many characters, so that its memory doesn't follow the length of texts.
+BATCH_CHARS = 1 << 17
+# Rows of an Arrow batch that are Python objects at once.
+_ROWS = 128
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -24,6 +27,22 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=matrix, where=length > 0).astype(np.float32)
 
 
+def _encoded(encode: Encoder, texts: list[str], batch_size: int) -> np.ndarray:
+    parts, start, chars = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start == batch_size or chars + len(text) > BATCH_CHARS):
+            parts.append(_units(encode(texts[start:i])))
+            start, chars = i, 0
+        chars += len(text)
+    return np.concatenate([*parts, _units(encode(texts[start:]))])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(start, _ROWS)
+
+
 def encode_texts(
     df: DataFrame,
     id_col: str,
@@ -37,19 +56,18 @@ def encode_texts(
     ``make_encoder`` runs once per task, so a model loads there and is never shipped per batch.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for frame in frames:
-            texts = (prefix + frame["text"]).tolist()
-            parts = []
-            for start in range(0, len(texts), batch_size):
-                parts.append(_units(encode(texts[start : start + batch_size])))
-            if parts:
-                yield pd.DataFrame({"id": frame["id"], "embedding": list(np.concatenate(parts))})
+        for batch in _slices(batches):
+            vectors = _encoded(encode, [prefix + t for t in batch.column("text").to_pylist()], batch_size)
+            ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], names=["id", "embedding"]
+            )
 
     id_type = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, f"id {id_type}, embedding array<float>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {id_type}, embedding array<float>").withColumnRenamed("id", id_col)
 
 
 def backfill_embeddings(pains: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
@@ -60,13 +78,12 @@ def backfill_embeddings(pains: DataFrame, make_encoder: Callable[[], Encoder]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index("embedding")
             have, bodies = batch.column(at).to_pylist(), batch.column("body").to_pylist()
             open_ = [i for i, v in enumerate(have) if v is None and bodies[i] is not None]
-            for start in range(0, len(open_), BATCH_SIZE):
-                some = open_[start : start + BATCH_SIZE]
-                for i, v in zip(some, _units(encode([PASSAGE_PREFIX + bodies[i] for i in some])), strict=True):
+            if open_:
+                for i, v in zip(open_, _encoded(encode, [PASSAGE_PREFIX + bodies[i] for i in open_], BATCH_SIZE), strict=True):
                     have[i] = v
             yield batch.set_column(at, "embedding", pa.array(have, batch.schema.field(at).type)) if open_ else batch
 

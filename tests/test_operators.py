@@ -260,3 +260,18 @@ def test_few_phrases_are_found_in_one_pass(spark, rows, monkeypatch):
         found = containment.contained_phrases(text_frame, phrase_frame)
         assert rows(found) == wanted
     assert "regexp_extract_all" in found._jdf.queryExecution().toString()
+
+
+def test_encoders_batches_end_at_a_number_of_characters(spark, monkeypatch):
+    from sigmill.operators import encode
+
+    monkeypatch.setattr(encode, "BATCH_CHARS", 100)
+    seen, texts = [], ["a" * n for n in (30, 30, 30, 300, 5, 99, 1, 1)]
+
+    def lengths(some):
+        seen.append([len(t) for t in some])
+        return np.array([[len(t), 1.0] for t in some])
+
+    vectors = encode._encoded(lengths, texts, 3)
+    assert seen == [[30, 30, 30], [300], [5], [99, 1], [1]]
+    assert np.allclose(vectors[:, 0] / vectors[:, 1], [len(t) for t in texts])

@@ -50,8 +50,8 @@ EPSILON = 5e-13
 # What rounding may add to an angle.
 SLACK = 1e-6
 
-_ROWS = 2048
-_COLS = 4096
+_ROWS = 1024
+_COLS = 1024
 # Rows that routing gives out at once.
 _ROUTED = 8192
 

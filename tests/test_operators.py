@@ -275,3 +275,18 @@ def test_encoders_batches_end_at_a_number_of_characters(spark, monkeypatch):
     vectors = encode._encoded(lengths, texts, 3)
     assert seen == [[30, 30, 30], [300], [5], [99, 1], [1]]
     assert np.allclose(vectors[:, 0] / vectors[:, 1], [len(t) for t in texts])
+
+
+def traced(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_products_are_taken_in_small_blocks():
+    units = np.eye(16)[np.arange(6000) % 16]
+    assert traced(lambda: leaders._improve(units, np.arange(6000), units, np.arange(6000), 0.5)) < 48 << 20

@@ -290,3 +290,8 @@ def traced(work):
 def test_products_are_taken_in_small_blocks():
     units = np.eye(16)[np.arange(6000) % 16]
     assert traced(lambda: leaders._improve(units, np.arange(6000), units, np.arange(6000), 0.5)) < 48 << 20
+
+
+def test_reach_is_decided_in_small_blocks():
+    points, others = np.eye(32)[np.arange(4096) % 16], np.eye(32)[16 + np.arange(6000) % 16]
+    assert traced(lambda: leaders._reached(points, others, 0.5)) < 48 << 20

@@ -86,18 +86,27 @@ def _rising(places: Column) -> Column:
     return F.size(F.aggregate(places, F.array().cast("array<int>"), onward))
 
 
+# Bytes of bodies that one task compares, about.
+DELTA_BYTES = 8 << 20
+
+
 def line_delta(versions: DataFrame) -> DataFrame:
     """``name, version, previous_version, added, dropped, moved``: how each version differs from the one before it.
 
     ``added`` and ``dropped`` hold a line as many times as the version has it more often, or less often, in
     the order of the lines themselves. ``moved`` counts lines that are once in both but not in the longest
     run of such lines that stands in the same order in both. Versions of a name are consecutive, so the one
-    before is found by its number. Lines are counted by hash aggregates; bodies meet once, by their key.
+    before is found by its number. Lines are counted by hash aggregates; bodies meet once, by their key, in as
+    many tasks as their bytes need.
     """
+    size = versions.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    tasks = max(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // DELTA_BYTES + 1)
+    versions = versions.select("name", "version", "body")
     before = versions.select(
         "name", F.col("version").alias("previous_version"), (F.col("version") + 1).alias("version"), F.col("body").alias("previous_body")
     )
-    paired = versions.join(before, ["name", "version"]).select(
+    keys = ["name", "version"]
+    paired = versions.repartition(tasks, *keys).join(before.repartition(tasks, *keys), keys).select(
         "name", "version", "previous_version", F.split("body", "\n").alias("new"), F.split("previous_body", "\n").alias("old")
     )
 

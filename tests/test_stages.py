@@ -426,6 +426,14 @@ def test_gather_meets_a_break_anywhere(spark, rows, tmp_path):
     assert posts.filter("source_id = '0'").select("published_at").distinct().first()[0] == datetime(2026, 1, 5, 7)
 
 
+def test_line_delta_takes_tasks_by_bytes(spark, rows, monkeypatch):
+    stored = spark.createDataFrame([("p", 1, "a\nb"), ("p", 2, "b\nc"), ("q", 1, "a")], "name string, version int, body string")
+    monkeypatch.setattr(versions, "DELTA_BYTES", 1)
+    found = versions.line_delta(stored)
+    assert "version#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 8), REPARTITION_BY_NUM" in plan
+    assert rows(found) == [("p", 2, 1, ["c"], ["a"], 0)]
+
+
 def test_gathered_posts_are_not_dealt_by_source(spark, tmp_path):
     (tmp_path / "source_name=one").mkdir()
     (tmp_path / "source_name=one" / "a.json").write_text('{"url": "https://p.example/1", "text": "t"}')

@@ -52,7 +52,8 @@ SLACK = 1e-6
 
 _ROWS = 1024
 _COLS = 1024
-# Rows that routing gives out at once.
+# Visits that routing works out at once, and rows that it gives out at once.
+_VISITS = 1 << 18
 _ROUTED = 8192
 
 
@@ -68,7 +69,7 @@ def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         raise ValueError("all vectors must have the same length")
     matrix = flat.reshape(n, flat.size // n)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-    return np.divide(matrix, norms, out=matrix.copy(), where=norms > 0)
+    return np.divide(matrix, norms, out=matrix, where=norms > 0)  # the cast above is a copy
 
 
 def _reached(points: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
@@ -214,18 +215,20 @@ def build_index(points: DataFrame, tile_rows: int | None = None) -> Index | None
 
 
 def _improve(
-    points: np.ndarray, at: np.ndarray, leaders: np.ndarray, leader_at: np.ndarray, threshold: float
+    points: np.ndarray, at: np.ndarray, leaders: np.ndarray, leader_at: np.ndarray, threshold: float, whether: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
     """Best similarity and the position of a leader that reaches it, -1 where none reaches the threshold.
 
-    Only leaders before the point count; among equal ones the latest wins. ``leader_at`` is sorted.
+    Only leaders before the point count; among equal ones the latest wins. ``leader_at`` is sorted. With
+    ``whether`` it only matters if there is one: a point that has met one is not compared further.
     """
     best, choice = np.full(len(points), threshold), np.full(len(points), -1, dtype=np.int64)
     usable = int(np.searchsorted(leader_at, at.max()))
     for start in range(0, usable, _COLS):
         cols = slice(start, min(start + _COLS, usable))
-        for lo in range(0, len(points), _ROWS):
-            r = slice(lo, lo + _ROWS)
+        rows = np.flatnonzero(choice < 0) if whether else np.arange(len(points))
+        for lo in range(0, len(rows), _ROWS):
+            r = rows[lo : lo + _ROWS]
             sims = points[r] @ leaders[cols].T
             sims[leader_at[cols][None, :] >= at[r][:, None]] = -np.inf
             top = sims.max(axis=1)
@@ -241,9 +244,8 @@ def _routed(index: Index, threshold: float, elsewhere: bool):
     """Each point once for every tile it can reach; with ``elsewhere`` not for its own ``cell`` and ``tile``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, _VISITS // int(index.tiles.sum()))
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
             reach = index.reachable(_unit_rows(batch.column("vector")), threshold)
             row, cell = np.nonzero(reach)
             times = index.tiles[cell]
@@ -261,7 +263,7 @@ def _routed(index: Index, threshold: float, elsewhere: bool):
     return run
 
 
-def _streamed(threshold: float):
+def _streamed(threshold: float, whether: bool):
     """Rows sorted by (cell, tile, mark, seq): each tile's residents (mark 0), then its visitors, which stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +288,10 @@ def _streamed(threshold: float):
                     group = pa.Table.from_batches(held).combine_chunks()
                     seqs, names = group.column("seq").to_numpy(), group.column("id").combine_chunks()
                     leaders = _unit_rows(group.column("vector"))
+                    del group
+                    held = held[:1]  # all residents have come
                 at = part.column("seq").to_numpy()
-                best, choice = _improve(_unit_rows(part.column("vector")), at, leaders, seqs, threshold)
+                best, choice = _improve(_unit_rows(part.column("vector")), at, leaders, seqs, threshold, whether)
                 found = np.flatnonzero(choice >= 0)
                 if len(found):
                     chosen = choice[found]
@@ -299,11 +303,13 @@ def _streamed(threshold: float):
     return run
 
 
-def _met(points: DataFrame, residents: DataFrame, index: Index, threshold: float, elsewhere: bool = False) -> DataFrame:
+def _met(
+    points: DataFrame, residents: DataFrame, index: Index, threshold: float, elsewhere: bool = False, whether: bool = False
+) -> DataFrame:
     """``seq, leader_seq, leader_id, similarity``: each point's best earlier resident of each tile it reaches.
 
     ``residents`` have ``seq, id, vector, cell, tile``; so must the points with ``elsewhere``, which meet
-    other tiles than their own.
+    other tiles than their own. With ``whether`` any earlier resident within the threshold stands for the best.
     """
     id_type = residents.schema["id"].dataType.simpleString()
     columns = ["seq", "vector", "cell", "tile"] if elsewhere else ["seq", "vector"]
@@ -315,7 +321,7 @@ def _met(points: DataFrame, residents: DataFrame, index: Index, threshold: float
         visitors.withColumn("id", F.lit(None).cast(id_type))
     )
     dealt = both.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "mark", "seq")
-    return dealt.mapInArrow(_streamed(threshold), f"seq bigint, leader_seq bigint, leader_id {id_type}, similarity double")
+    return dealt.mapInArrow(_streamed(threshold, whether), f"seq bigint, leader_seq bigint, leader_id {id_type}, similarity double")
 
 
 def routing(points: DataFrame, index: Index, threshold: float) -> DataFrame:
@@ -331,10 +337,10 @@ def _ruled(threshold: float):
 
     def decided(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         block = pa.Table.from_batches(rows).combine_chunks()
-        held = block.column("held").to_numpy(zero_copy_only=False)
-        what = np.full(len(held), LEADER, np.int8)  # zero vectors reach nothing
-        if block.column("cell")[0].as_py() >= 0:
-            what = _decide(_unit_rows(block.column("vector")), held, threshold)
+        if block.column("cell")[0].as_py() < 0:  # zero vectors reach nothing
+            what = np.full(block.num_rows, LEADER, np.int8)
+        else:
+            what = _decide(_unit_rows(block.column("vector")), block.column("held").to_numpy(zero_copy_only=False), threshold)
         table = block.drop_columns(["held"]).append_column("what", pa.array(what.astype(np.int32)))
         return table.combine_chunks().to_batches()[0]
 
@@ -351,6 +357,9 @@ def _ruled(threshold: float):
                         yield decided(rows)
                     where, rows = tuple(keys[:, lo]), []
                 rows.append(batch.slice(lo, hi - lo))
+                if keys[0, lo] < 0:  # however many there are, none waits for another
+                    yield decided(rows)
+                    rows = []
         if rows:
             yield decided(rows)
 
@@ -368,7 +377,7 @@ def find_leaders(points: DataFrame, index: Index, threshold: float) -> DataFrame
     while True:
         held = open_.withColumn("held", F.lit(False))
         if several:
-            waiting = _met(open_, open_, index, threshold, elsewhere=True).select("seq").distinct()
+            waiting = _met(open_, open_, index, threshold, elsewhere=True, whether=True).select("seq").distinct()
             held = open_.join(waiting.withColumn("held", F.lit(True)), "seq", "left").withColumn("held", F.coalesce("held", F.lit(False)))
         ruled = held.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "seq")
         schema = ", ".join(f"`{c}` {t}" for c, t in open_.dtypes)
@@ -380,7 +389,7 @@ def find_leaders(points: DataFrame, index: Index, threshold: float) -> DataFrame
         if not several or rest.isEmpty():
             discard(last)
             break
-        covered = _met(rest, new, index, threshold).select("seq").distinct()
+        covered = _met(rest, new, index, threshold, whether=True).select("seq").distinct()
         open_ = cut(rest.join(covered, "seq", "left_anti"), "open")
         discard(last)
     out = leaders[0]

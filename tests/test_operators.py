@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,46 @@ def test_products_are_taken_in_small_blocks():
 def test_reach_is_decided_in_small_blocks():
     points, others = np.eye(32)[np.arange(4096) % 16], np.eye(32)[16 + np.arange(6000) % 16]
     assert traced(lambda: leaders._reached(points, others, 0.5)) < 48 << 20
+
+
+def test_unit_rows_are_made_in_place():
+    vectors = pa.array([[3.0, 0.0, 4.0, 0.0] * 16, [0.0] * 64] * 10000, pa.list_(pa.float32()))
+    units = []
+    assert traced(lambda: units.append(leaders._unit_rows(vectors))) < 1.5 * 20000 * 64 * 8
+    assert units[0][:2].tolist() == [[0.15, 0.0, 0.2, 0.0] * 16, [0.0] * 64]
+
+
+def test_visits_are_worked_out_in_small_parts():
+    n, tiles = 10000, 400
+    index = leaders.Index(np.eye(1, 4), np.zeros((1, 1)), np.full((1, 1), np.pi), np.array([tiles]))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([[1.0, 0, 0, 0]] * n)], names=["seq", "vector"])
+    visits = []
+    assert traced(lambda: visits.extend(b.num_rows for b in leaders._routed(index, 0.5, False)(iter([batch])))) < 48 << 20
+    assert sum(visits) == n * tiles
+
+
+def test_zero_vectors_are_not_gathered():
+    names, taken = ["seq", "vector", "cell", "tile", "held"], []
+
+    def batches():
+        for k in range(3):
+            taken.append(k)
+            marks = [pa.array([-1] * 5, pa.int32()), pa.array([0] * 5, pa.int32()), pa.array([False] * 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(5 * k, 5 * k + 5)), pa.array([[0.0, 0.0]] * 5), *marks], names=names)
+
+    out = leaders._ruled(0.5)(batches())
+    assert next(out).column("what").to_pylist() == [leaders.LEADER] * 5 and taken == [0]
+    assert [s for b in out for s in b.column("seq").to_pylist()] == list(range(5, 15))
+
+
+def test_a_point_that_has_met_a_leader_is_not_compared_further():
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(5000, 8))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    at = np.arange(5000)
+    for threshold in (0.5, 0.9, 0.97):
+        best, full = leaders._improve(units, at, units, at, threshold)
+        some, met = leaders._improve(units, at, units, at, threshold, whether=True)
+        assert ((full >= 0) == (met >= 0)).all() and (met <= full).all() and (some <= best + leaders.EPSILON).all()
+        found = np.flatnonzero(met >= 0)
+        assert (met[found] < found).all() and ((units[found] * units[met[found]]).sum(axis=1) >= threshold - 1e-9).all()

@@ -249,6 +249,44 @@ def test_copies_of_phrases_are_expanded_after_the_last_shuffle(spark, rows):
     assert "Exchange" not in plan[: plan.index("Generate explode(coalesce(members")].replace("BroadcastExchange", "") and "Exchange" in above
 
 
+def test_rows_of_one_phrase_with_many_texts_and_copies_are_dealt_out(spark, rows, monkeypatch):
+    for name, value in (("BLOCK_TEXTS", 16), ("BLOCK_COPIES", 16), ("TASK_ROWS", 1024)):
+        monkeypatch.setattr(containment, name, value, raising=False)
+    texts = spark.range(200).selectExpr("nullif(id, 7) AS id", "concat('so it says here ', id) AS text")
+    phrases = spark.range(150).selectExpr("id AS pos", "if(id = 5, 'here 1', 'it says here') AS phrase")
+    found = containment.contained_phrases(texts, phrases)
+    one = [i for i in range(200) if str(i).startswith("1")]
+    wanted = [(i, j) for i in range(200) for j in range(150) if j != 5] + [(i, 5) for i in one]
+    assert rows(found) == sorted(((None if i == 7 else i, j) for i, j in wanted), key=repr)
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 10 and max(per_task) < len(wanted) / 4
+
+
+def test_phrases_that_share_their_words_are_found_where_words_begin(spark, rows, monkeypatch):
+    def characters(*_):
+        raise AssertionError("looked at character by character")
+
+    monkeypatch.setattr(containment, "_by_run", characters)
+    phrases = [f" the of to {i:03d}abcdefghijklm" for i in range(300)]
+    texts = [f"é\U0001F600 all{phrases[i]}no and{phrases[(i * 7) % 300]}" for i in range(40)] + ["the of to 001abcdefghijklm"]
+    text_frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    phrase_frame = spark.createDataFrame(list(enumerate(phrases)), "pos bigint, phrase string")
+    wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
+    assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
+
+
+def test_places_of_words_in_pieces_of_awkward_texts(spark, rows, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab \n é\U0001F600"), size=n)) for n in rng.integers(0, 120, 60)]
+    phrases = sorted({t[i : i + n] for t in texts for i, n in ((0, 5), (3, 9), (7, 14), (20, 40))} - {""})
+    text_frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    phrase_frame = spark.createDataFrame(list(enumerate(phrases)), "pos bigint, phrase string")
+    for name, value in (("START_LENGTHS", (2, 4, 8)), ("START_CHARS", 10), ("PIECE_CHARS", 50)):
+        monkeypatch.setattr(containment, name, value, raising=False)
+    wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
+    assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
+
+
 def test_few_phrases_are_found_in_one_pass(spark, rows, monkeypatch):
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list("ab.[^-]\\Q é\n\U0001F600"), size=n)) for n in rng.integers(0, 90, 50)]

@@ -267,6 +267,7 @@ def test_phrases_that_share_their_words_are_found_where_words_begin(spark, rows,
         raise AssertionError("looked at character by character")
 
     monkeypatch.setattr(containment, "_by_run", characters)
+    monkeypatch.setattr(containment, "MANY", 256, raising=False)
     phrases = [f" the of to {i:03d}abcdefghijklm" for i in range(300)]
     texts = [f"é\U0001F600 all{phrases[i]}no and{phrases[(i * 7) % 300]}" for i in range(40)] + ["the of to 001abcdefghijklm"]
     text_frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
@@ -281,7 +282,7 @@ def test_places_of_words_in_pieces_of_awkward_texts(spark, rows, monkeypatch):
     phrases = sorted({t[i : i + n] for t in texts for i, n in ((0, 5), (3, 9), (7, 14), (20, 40))} - {""})
     text_frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     phrase_frame = spark.createDataFrame(list(enumerate(phrases)), "pos bigint, phrase string")
-    for name, value in (("START_LENGTHS", (2, 4, 8)), ("START_CHARS", 10), ("PIECE_CHARS", 50)):
+    for name, value in (("START_LENGTHS", (2, 4, 8)), ("START_CHARS", 10), ("PIECE_CHARS", 50), ("MANY", 1)):
         monkeypatch.setattr(containment, name, value, raising=False)
     wanted = sorted(((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p in t), key=repr)
     assert rows(containment.contained_phrases(text_frame, phrase_frame)) == wanted
